@@ -60,4 +60,18 @@ FROM doc d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
 LEFT JOIN took k ON d.source IS NOT DISTINCT FROM k.source AND d.doc_id IS NOT DISTINCT FROM k.doc_id
 """
 
-ORACLES = {"op4_url_filters": OP4, "op5_mixing": OP5}
+OP6 = r"""
+WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS phrase, least(len(w), 10) AS n
+        FROM item, unnest(range(1, greatest(2, len(w) - 8))) t(k) WHERE len(w) > 0),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') AS phrase FROM doc, sizes, unnest(range(1, len(w) - n + 2)) t(k)),
+hit AS (SELECT a.rid, a.k, a.n, v.item_id FROM spot a JOIN win v ON a.phrase = v.phrase AND a.n = v.n),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hit, unnest(range(k, k + n)) t(p) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items, sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN covered c USING (rid) LEFT JOIN found f USING (rid)
+"""
+
+ORACLES = {"op6_decontamination": OP6, "op4_url_filters": OP4, "op5_mixing": OP5}
