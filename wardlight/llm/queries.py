@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, url_filters
+from . import decontaminate, html_extract, mixing, quality, sharding, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,4 +34,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op5_mixing, op6_decontamination, op7_sharding)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.repetition_quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", *(f"dup_chars_{n}" for n in quality.NGRAM_LIMITS))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op9_quality, op10_html)}
