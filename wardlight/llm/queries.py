@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, quality, sharding, url_filters
+from . import decontaminate, html_extract, langid, mixing, quality, sharding, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.filter_urls(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -44,4 +54,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_langid, op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op9_quality, op10_html)}
