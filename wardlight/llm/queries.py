@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, mixing, quality, sharding, url_filters
+from . import decontaminate, html_extract, jaccard, langid, mixing, quality, sharding, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.filter_urls(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -54,4 +58,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_jaccard, op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op9_quality, op10_html)}

@@ -6,6 +6,7 @@ machine costs the rerun of single tasks only.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/wardlight/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []
         self.made = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self.__dict__.setdefault("held", []).append(out)
+        self.held.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -51,3 +53,9 @@ class Scratch:
         for path in gone:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(hadoop).delete(target, True)
+        self.held = [t for t in self.held if tables and not any(t is x for x in tables)]
+
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps: it does so once the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
