@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard, langid, mixing, quality, sharding, url_filters
+from . import decontaminate, html_extract, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that shares a passage with another; other documents don't appear."""
+    return substring_dedup.by_document(substring_dedup.repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.filter_urls(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -48,6 +53,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_summary(docs, line_dedup.repeated_chunks(docs))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.repetition_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", *(f"dup_chars_{n}" for n in quality.NGRAM_LIMITS))
@@ -58,4 +68,4 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_jaccard, op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op9_quality, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_jaccard, op3_substring_dedup, op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op8_line_dedup, op9_quality, op10_html)}
