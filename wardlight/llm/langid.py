@@ -187,29 +187,29 @@ def fit(docs: DataFrame, **options) -> Model | None:
     return train(texts, rows["lang"].to_pylist(), **options)
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs that don't clash, with lang_pred and score (0 to 1), from the whole text alone.
+def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs that don't clash, with lang_pred and score (0 to 1; or so named), from the whole text alone.
 
     Every byte of a text gets label probabilities from both directions; over letters they are averaged, the label with
     the largest mean is lang_pred, and this mean is score. A null text or one without a letter has ``und`` and score 0,
     and so has every text if there is no model; repeated rows are judged alike; an empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_text")]
+    kept = [c for c in docs.columns if c not in (*names, "_text")]
     text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(len(kept))
             for a, b in textops.groups(texts, 1 << 21):
                 part = texts.slice(a, b - a)
-                names, scores = ["und"] * (b - a), [0.0] * (b - a)
+                labels, scores = ["und"] * (b - a), [0.0] * (b - a)
                 if model is not None:
                     p = pooled(model, part)
                     best = p.argmax(axis=1)
                     for i, missing in enumerate(part.is_null().to_pylist()):
                         if not missing:
-                            names[i], scores[i] = model.labels[best[i]], min(1.0, round(float(p[i, best[i]]), 4))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+                            labels[i], scores[i] = model.labels[best[i]], min(1.0, round(float(p[i, best[i]]), 4))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
     return docs.select(*kept, text.alias("_text")).mapInArrow(run, schema)
