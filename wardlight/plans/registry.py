@@ -1,4 +1,6 @@
-"""All queries over the reference domain, by name, and the SQL that must give the same rows."""
+"""All queries over the security domain, by name, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import desk
+
+QUERIES: dict = {**desk.QUERIES}
+ORACLES: dict = {**desk.ORACLES}
