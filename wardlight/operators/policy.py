@@ -113,7 +113,7 @@ def tool_evidence(success: Column) -> Column:
 RESUME_WINDOW_S, RESUME_SKEW_S = 30 * 60, 60
 
 
-def resume_eligible(progress: DataFrame, latest: DataFrame, now: Column, me: str | None = None) -> DataFrame:
+def resume_eligible(progress: DataFrame, latest: DataFrame, now: Column, me: str | None = None, window_s: int = RESUME_WINDOW_S) -> DataFrame:
     """(alert_id, yes, reason): whether work that was started and not completed may be taken up from its recorded result.
 
     progress is the last row of each alert, latest its last record.
@@ -126,7 +126,7 @@ def resume_eligible(progress: DataFrame, latest: DataFrame, now: Column, me: str
             (F.col("phase") != "started", False, "completed"),
             (F.col("at").isNull(), False, "no start time"),
             (age < -RESUME_SKEW_S, False, "started in the future"),
-            (age > RESUME_WINDOW_S, False, "too old"),
+            (age > window_s, False, "too old"),
             (F.col("done_at").isNull(), False, "no record"),
             (foreign, False, "another writer"),
             (nz(F.col("dup")).isNotNull(), False, "suppressed"),

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql is not None:
             whole = re.sub(r"epoch_ms\(([^()]*)\)", r"(epoch_us(\1) // 1000)", sql)  # rounded down
-            ORACLES[f.__name__] = f"WITH {SQL} {whole}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {SQL} {whole}"
         return f
 
     return put
@@ -262,12 +262,7 @@ def provenance_filter(spark, sf):
 def resume_gate(spark, sf):
     d = ledgers(spark, sf)
     p, r = lg.last_wins(d.watch_progress, "alert_id"), lg.last_wins(d.investigations, "alert_id")
-    at, policy_window = F.to_timestamp(F.lit("2024-01-15 12:00:00")), policy.RESUME_WINDOW_S
-    try:
-        policy.RESUME_WINDOW_S = 86400
-        return policy.resume_eligible(p, r, at).select("alert_id", "reason")
-    finally:
-        policy.RESUME_WINDOW_S = policy_window
+    return policy.resume_eligible(p, r, F.to_timestamp(F.lit("2024-01-15 12:00:00")), window_s=86400).select("alert_id", "reason")
 
 
 # -- scorecard and digest

@@ -1,6 +1,6 @@
 """All queries over the security domain, by name, and the SQL that must give the same rows."""
 
-from . import desk
+from . import content, desk
 
-QUERIES: dict = {**desk.QUERIES}
-ORACLES: dict = {**desk.ORACLES}
+QUERIES: dict = {**desk.QUERIES, **content.QUERIES}
+ORACLES: dict = {**desk.ORACLES, **content.ORACLES}
