@@ -32,9 +32,11 @@ class Model:
     bias: np.ndarray
 
 
-def _read(m: Model, data: np.ndarray) -> np.ndarray:
+def _read(m: Model, data: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
     """States (2, T, B, h) of both directions for byte columns data (T, B); the second direction reads from the end.
 
+    Where ``inside`` (T, B) is false a column has ended already: the second direction starts only after that.
+
     A minimal gated unit: f = sigmoid(a + U s), c = tanh(b + V (f s)), s = s + f (c - s).
     """
     steps, batch = data.shape
@@ -43,6 +45,7 @@ def _read(m: Model, data: np.ndarray) -> np.ndarray:
     states = np.empty((2, steps, batch, h), dtype=np.float32)
     s = np.zeros((2, batch, h), dtype=np.float32)
     seen = np.empty((2, batch, 2 * h), dtype=np.float32)
+    ended = None if inside is None or inside.all() else inside[::-1].astype(np.float32)
     for t in range(steps):
         for d in range(2):
             np.take(m.table[d], both[d, t], axis=0, out=seen[d], mode="clip")
@@ -51,6 +54,8 @@ def _read(m: Model, data: np.ndarray) -> np.ndarray:
         np.tanh(f, out=f)
         f += 1.0
         f *= 0.5
+        if ended is not None:
+            f[1] *= ended[t][:, None]
         c = np.matmul(f * s, m.state)
         c += seen[:, :, h:]
         np.tanh(c, out=c)
@@ -61,9 +66,9 @@ def _read(m: Model, data: np.ndarray) -> np.ndarray:
     return states
 
 
-def probabilities(m: Model, data: np.ndarray) -> np.ndarray:
+def probabilities(m: Model, data: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
     """Label probabilities (T, B, k) at every position of byte columns (T, B)."""
-    states = _read(m, data)
+    states = _read(m, data, inside)
     logits = states[0] @ m.out[0] + states[1][::-1] @ m.out[1] + m.bias
     logits -= logits.max(axis=2, keepdims=True)
     np.exp(logits, out=logits)
@@ -157,7 +162,7 @@ def pooled(m: Model, texts: pa.Array) -> np.ndarray:
         inside = place < end[mine]
         block = np.where(inside, data[np.minimum(place, len(data) - 1)], 32).astype(np.uint8)
         counted = inside & (place >= low[mine]) & (place < high[mine]) & LETTER[block]
-        p = probabilities(m, block)
+        p = probabilities(m, block, inside)
         np.add.at(total, owner[mine], np.einsum("tbk,tb->bk", p, counted.astype(np.float32)).astype(np.float64))
     letters = np.concatenate([[0], np.cumsum(LETTER[data])])
     count = letters[offsets[1:]] - letters[offsets[:-1]]
