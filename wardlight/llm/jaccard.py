@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -13,8 +13,8 @@ from .store import Scratch
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Documents of a region that are compared directly; beyond, it is split.
-LEAF = 256
+#: Orders of the tokens in which regions are sought.
+ROUNDS = 3
 #: A token in more prefixes than this goes to the end of the order of pivots, as long as there are at most MOST_COMMON of them.
 COMMON, MOST_COMMON = 32, 100_000
 CELLS = 256
@@ -68,76 +68,101 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda x: _each_text(x, size, body), "doc_id long, n long, h1 long, h2 long, head array<long>")
 
 
-def forest(n: int) -> tuple[list[int], object]:
-    """A union-find over n things: (parents, find)."""
-    parent = list(range(n))
+def _keys(core: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, keys): for each of ROUNDS orders of the tokens, the first of the document: its nearest pivots."""
 
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def body(rows, sets):
+        keys = np.array([[int(textops.mix(s.view(np.uint64) + np.uint64(r)).min().view(np.int64)) for r in range(ROUNDS)] for s in sets], dtype=np.int64).reshape(-1)
+        ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * ROUNDS)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "n", "keys"])
 
-    return parent, find
+    return core.select("doc_id", "text").mapInArrow(lambda x: _each_text(x, size, body), "doc_id long, n long, keys array<long>")
 
 
-def linked_in_leaf(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between these sets, as many as connect all that are linked: each set in turn is the pivot that the later ones are measured from."""
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    marked = np.zeros(int(tokens.max()) + 1, dtype=np.int32)
-    parent, find = forest(len(sets))
-    out = []
-    for i in range(len(sets) - 1):
-        mine = tokens[starts[i] : starts[i] + n[i]]
-        marked[mine] = 1
-        shared = np.add.reduceat(marked[tokens[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
-        marked[mine] = 0
-        for j in (np.flatnonzero(shared >= least_overlap(n[i], n[i + 1 :], percent)) + i + 1).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
-    return out
+def _differences(tasks: DataFrame, core: DataFrame, size: int) -> DataFrame:
+    """(doc_id, pivot, n, np, diff) for tasks (doc_id, pivot): set sizes, and the tokens that only one of the two has."""
 
+    def run(batches):
+        for batch in batches:
+            for a, b in textops.groups(batch.column(2)):
+                part = batch.slice(a, b - a)
+                xs, ps = shingle_sets(part.column(2), size), shingle_sets(part.column(3), size)
+                diffs = [np.setxor1d(x, p, assume_unique=True) for x, p in zip(xs, ps, strict=True)]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(d) for d in diffs])]).astype(np.int32))
+                columns = [part.column(0), part.column(1), pa.array([len(x) for x in xs], pa.int64()), pa.array([len(p) for p in ps], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(diffs)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pivot", "n", "np", "diff"])
 
-def _home_regions(core: DataFrame, size: int, percent: int, scratch: Scratch) -> list[DataFrame]:
-    """Links found inside the regions of the nearest pivots.
+    pivots = core.join(tasks.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("text").alias("p"))
+    rows = tasks.join(core.select("doc_id", "text"), "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "text", "p")
+    return rows.mapInArrow(run, "doc_id long, pivot long, n long, np long, diff array<long>")
 
-    Every token is a pivot: the set that holds it alone. A document's nearest pivots are its own tokens, the first in
-    order wins. A region of more than LEAF documents is dealt into parts of that size; one document stands for each
-    group that a part has linked, and the parts' representatives meet again in the region, until they fit one part or
-    get no fewer. Whatever is left unlinked here is left to the windows.
-    """
 
-    def leaf(key, rows):
-        text = rows["text"].combine_chunks()
-        text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
-        ids, sets = rows["doc_id"].to_pylist(), shingle_sets(text, size)
-        links = linked_in_leaf(sets, percent)
-        parent, find = forest(len(ids))
-        for i, j in links:
-            a, b = find(i), find(j)
-            parent[max(a, b)] = min(a, b)
-        heads = [i for i in range(len(ids)) if find(i) == i]
-        a = [ids[i] for i, _ in links] + [ids[i] for i in heads]
-        b = [ids[j] for _, j in links] + [None] * len(heads)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found, now, before = [], core.select("home", "doc_id", "text"), None
-    while True:
-        sizes = now.groupBy("home").count().where("count > 1")
-        parts = now.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("count") / LEAF)))
-        got = scratch.keep(parts.groupBy("home", "part").applyInArrow(leaf, "a long, b long"))
-        found.append(got.where("b is not null"))
-        large = sizes.where(F.col("count") > LEAF).select("home")
-        left = now.join(large, "home", "left_semi").join(got.where("b is null").select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
-        left = scratch.keep(left.select("home", "doc_id", "text"))
-        n = left.count()
-        if n == 0 or before is not None and n > before // 2:
-            return found
-        before, now = n, left
+def _regions(core: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, region): the Voronoi region of each document, named by the document that is its pivot.
+
+    In each round documents with the same first token meet. The largest region among them gives the pivot; who stands
+    nearer to it than half of its own set enters that region. A family of copies that an edit has split in one
+    order of the tokens meets in the next.
+    """
+    keys = scratch.keep(_keys(core, size))
+    now = keys.select("doc_id", "n", F.col("doc_id").alias("region"))
+    for r in range(ROUNDS):
+        placed = now.join(keys.select("doc_id", F.element_at("keys", r + 1).alias("key")), "doc_id")
+        votes = placed.groupBy("key", "region").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", (-F.col("region")).alias("r"))).alias("best"), F.sum("m").alias("all")).where(F.col("all") > 1)
+        tasks = placed.join(votes.select("key", (-F.col("best.r")).alias("pivot")), "key").where("pivot <> region and pivot <> doc_id").select("doc_id", "pivot")
+        near = _differences(scratch.keep(tasks), core, size).where(2 * F.size("diff") <= F.col("n")).select(F.col("doc_id").alias("d"), "pivot")
+        later = now.join(near, F.col("doc_id") == F.col("d"), "left").select("doc_id", "n", F.coalesce("pivot", "region").alias("region"))
+        # a pivot that has itself moved on leads to where it went
+        hop = later.select(F.col("doc_id").alias("d"), F.col("region").alias("to"))
+        moved = hop.where("d <> to")
+        later = later.join(moved, F.col("region") == F.col("d"), "left").select("doc_id", "n", F.when(F.col("to") == F.col("doc_id"), F.col("doc_id")).otherwise(F.coalesce("to", "region")).alias("region"))
+        now = scratch.keep(later)
+    return now
+
+
+def slack(n, m, percent: int = PERCENT):
+    """How many tokens at most only one of two linked sets has."""
+    return n + m - 2 * least_overlap(n, m, percent)
+
+
+def _slack_column(n: Column, m: Column, percent: int) -> Column:
+    return n + m - 2 * F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+
+
+def _inside(regions: DataFrame, core: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) inside regions, as many as connect all linked documents of one region.
+
+    Within a region a document stands for its difference to the pivot: the symmetric difference of two such differences
+    is that of the documents, so distances are kept, and what the whole family shares is gone. Whoever is linked to
+    the pivot is connected by that. Another document y can only be linked to x if their differences share
+    (|Dx| + |Dy| - slack) / 2 tokens; so it shares one of its rarest |Dy| - least + 1 with x, and pairs meet there.
+    """
+    diffs = scratch.keep(_differences(regions.where("region <> doc_id").select("doc_id", F.col("region").alias("pivot")), core, size))
+    size_d, limit = F.size("diff").cast("long"), _slack_column(F.col("n"), F.col("np"), percent)
+    linked = diffs.where(size_d <= limit).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    d = diffs.select("doc_id", "pivot", "n", size_d.alias("k"), (size_d <= limit).alias("at_pivot"), F.explode("diff").alias("token"))
+    lone = diffs.where(size_d > limit).groupBy("pivot").agg(F.count("*").alias("others"))
+    d = d.join(lone.select("pivot"), "pivot", "left_semi")  # a region without others has nothing more to find
+    counts = d.groupBy("pivot", "token").agg(F.count("*").alias("df"), F.count_if(~F.col("at_pivot")).alias("free")).where("df > 1 and free > 0")
+    d = d.join(counts, ["pivot", "token"])
+    widest = F.floor(F.lit(100 - percent) * F.col("n") * (1 + 100 / percent) / (100 + percent)) + 1
+    have = F.when(F.col("at_pivot"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.col("k") - widest))
+    # tokens that no other document has can't be shared: they come first in the order and fill the front of the window
+    alone = d.groupBy("doc_id").agg(F.count("*").alias("together"))
+    d = d.join(alone, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) + F.col("k") - F.col("together"))
+    d = d.where((F.col("rank") <= F.col("k") - have + 1) & (F.col("together") >= have))
+    x = d.select("pivot", "token", F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("k").alias("i"), F.col("at_pivot").alias("p"))
+    y = d.select("pivot", "token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("k").alias("j"), F.col("at_pivot").alias("q"))
+    room = _slack_column(F.col("n"), F.col("m"), percent)
+    fits = (~F.col("p") | ~F.col("q")) & (F.col("a") < F.col("b")) & (F.abs(F.col("i") - F.col("j")) <= room) & (F.abs(F.col("n") - F.col("m")) <= room)
+    pairs = x.join(y, ["pivot", "token"]).where(fits).select("a", "b").distinct()
+    small = diffs.where(size_d <= 2).select("pivot", F.col("doc_id").alias("a"))  # so near the pivot that rounding alone may let one more in
+    edge = diffs.where((size_d > limit) & (size_d <= limit + 2)).select("pivot", F.col("doc_id").alias("b"))
+    pairs = pairs.unionByName(small.join(edge, "pivot").select("a", "b"))
+    sets = diffs.select("doc_id", "n", "diff")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), "n", F.col("diff").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("diff").alias("y")), "b")
+    apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
+    return linked.unionByName(both.where(apart <= room).select("a", "b"))
 
 
 def _windows(core: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -195,10 +220,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
     """(doc_id, n_shingles, component_id) for each row of docs: the smallest doc_id that links lead to.
 
     Equal sets are one point. A point can only have a partner if enough of its first tokens occur in others; only such
-    points go on, with their texts. They are joined in the regions of their nearest pivots first, recursively; what
-    these links connect needs no further comparison. Then every point enters the regions of all pivots within its
-    window, and pairs that are not connected yet and meet in a region are compared: by size and place, by cell counts,
-    by their sets. So no link between different components is lost, and no group of copies is spelled out in pairs.
+    points go on, with their texts. They fall into Voronoi regions around documents as pivots, and each region is joined
+    recursively, in the space of differences to its pivot. Then every point is replicated into all windows that its
+    threshold reaches, and pairs of different regions that are not connected yet and meet there are compared: by size
+    and place, by cell counts, by their sets. So no link between different components is lost, and no group of copies is spelled out in pairs.
 
     Tokens are 64-bit hashes of shingles. A null or empty text has an empty set, links with nothing, and is its own
     component; a row without doc_id has a null component and links nothing; rows that repeat a doc_id are judged by
@@ -213,15 +238,13 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
     shared = tokens.groupBy("token").count().where("count > 1").select("token")
     seen = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("doc_id").count()
     need = F.size("head") - _window_column(F.col("n"), percent) + 1
-    chosen = scratch.keep(points.join(seen, "doc_id").where(F.col("count") >= need).select("doc_id", F.element_at("head", 1).alias("home")).distinct())
+    chosen = scratch.keep(points.join(seen, "doc_id").where(F.col("count") >= need).select("doc_id").distinct())
     core = scratch.keep(docs.join(chosen, "doc_id"))
     scratch.sweep()
 
-    near = _home_regions(core, size, percent, scratch)
-    links = near[0]
-    for more in near[1:]:
-        links = links.unionByName(more)
-    links = scratch.keep(links.select("a", "b"))
+    regions = _regions(core, size, scratch)
+    links = scratch.keep(_inside(regions, core, size, percent, scratch))
+    scratch.sweep()
     groups = scratch.keep(connected_components(links, scratch))
 
     first = scratch.keep(_windows(core, np.zeros(0, dtype=np.int64), size, percent))
@@ -232,12 +255,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
     common = np.sort(counts.where(F.col("count") > least).select("token").toArrow()["token"].to_numpy())
     placed = scratch.keep(_windows(core, common, size, percent)) if len(common) else first
     group = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
-    rows = scratch.keep(placed.join(group, "doc_id", "left").select("doc_id", "n", F.coalesce("g", "doc_id").alias("g"), F.posexplode("tokens").alias("place", "token")))
-    mixed = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
+    where = regions.select("doc_id", "region")
+    rows = placed.join(group, "doc_id", "left").join(where, "doc_id").select("doc_id", "n", F.coalesce("g", "doc_id").alias("g"), "region", F.posexplode("tokens").alias("place", "token"))
+    rows = scratch.keep(rows)
+    mixed = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("region").alias("r1"), F.max("region").alias("r2")).where("lo < hi and r1 < r2").select("token")
     rows = rows.join(mixed.hint("shuffle_hash"), "token")
-    x = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("g").alias("ga"), F.col("place").alias("i"))
-    y = rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("gb"), F.col("place").alias("j"))
-    fits = (F.col("ga") != F.col("gb")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))) & (100 * F.col("n") >= percent * F.col("m"))
+    x = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("g").alias("ga"), F.col("region").alias("ra"), F.col("place").alias("i"))
+    y = rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("gb"), F.col("region").alias("rb"), F.col("place").alias("j"))
+    fits = (F.col("ga") != F.col("gb")) & (F.col("ra") != F.col("rb")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))) & (100 * F.col("n") >= percent * F.col("m"))
     fits = fits & ((100 + percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= percent * (F.col("n") + F.col("m")))
     pairs = x.join(y, "token").where(fits).select("a", "b").distinct()
     cells = placed.select("doc_id", "n", "cells")
