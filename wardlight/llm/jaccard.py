@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +21,8 @@ ROUNDS = 3
 #: A token in more prefixes than this goes to the end of the order of pivots, as long as there are at most MOST_COMMON of them.
 COMMON, MOST_COMMON = 32, 100_000
 CELLS = 256
+#: Holds for every id; the optimizer builds a Bloom filter only from a side that has some condition.
+_SOME = "doc_id >= -9223372036854775807 or doc_id <= 0"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -93,31 +98,32 @@ def _differences(tasks: DataFrame, core: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pivot", "n", "np", "diff"])
 
     pivots = core.join(tasks.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("text").alias("p"))
-    rows = tasks.join(core.select("doc_id", "text"), "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "text", "p")
+    rows = tasks.where(_SOME).join(core.select("doc_id", "text"), "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "text", "p")
     return rows.mapInArrow(run, "doc_id long, pivot long, n long, np long, diff array<long>")
 
 
-def _regions(core: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, n, region): the Voronoi region of each document, named by the document that is its pivot.
+def _regions(core: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, n, region): the Voronoi region of each document, named by the document that is its pivot; and the differences measured on the way.
 
     In each round documents with the same first token meet. The largest region among them gives the pivot; who stands
     nearer to it than half of its own set enters that region. A family of copies that an edit has split in one
     order of the tokens meets in the next.
     """
     keys = scratch.keep(_keys(core, size))
-    now = keys.select("doc_id", "n", F.col("doc_id").alias("region"))
+    now, measured = keys.select("doc_id", "n", F.col("doc_id").alias("region")), []
     for r in range(ROUNDS):
         placed = now.join(keys.select("doc_id", F.element_at("keys", r + 1).alias("key")), "doc_id")
         votes = placed.groupBy("key", "region").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", (-F.col("region")).alias("r"))).alias("best"), F.sum("m").alias("all")).where(F.col("all") > 1)
         tasks = placed.join(votes.select("key", (-F.col("best.r")).alias("pivot")), "key").where("pivot <> region and pivot <> doc_id").select("doc_id", "pivot")
-        near = _differences(scratch.keep(tasks), core, size).where(2 * F.size("diff") <= F.col("n")).select(F.col("doc_id").alias("d"), "pivot")
+        measured.append(scratch.keep(_differences(scratch.keep(tasks), core, size).where(2 * F.size("diff") <= F.col("n"))))
+        near = measured[-1].select(F.col("doc_id").alias("d"), "pivot")
         later = now.join(near, F.col("doc_id") == F.col("d"), "left").select("doc_id", "n", F.coalesce("pivot", "region").alias("region"))
         # a pivot that has itself moved on leads to where it went
         hop = later.select(F.col("doc_id").alias("d"), F.col("region").alias("to"))
         moved = hop.where("d <> to")
         later = later.join(moved, F.col("region") == F.col("d"), "left").select("doc_id", "n", F.when(F.col("to") == F.col("doc_id"), F.col("doc_id")).otherwise(F.coalesce("to", "region")).alias("region"))
         now = scratch.keep(later)
-    return now
+    return now, measured
 
 
 def slack(n, m, percent: int = PERCENT):
@@ -129,7 +135,7 @@ def _slack_column(n: Column, m: Column, percent: int) -> Column:
     return n + m - 2 * F.ceil(F.lit(percent) * (n + m) / (100 + percent))
 
 
-def _inside(regions: DataFrame, core: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def _inside(regions: DataFrame, measured: list[DataFrame], core: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) inside regions, as many as connect all linked documents of one region.
 
     Within a region a document stands for its difference to the pivot: the symmetric difference of two such differences
@@ -137,7 +143,11 @@ def _inside(regions: DataFrame, core: DataFrame, size: int, percent: int, scratc
     the pivot is connected by that. Another document y can only be linked to x if their differences share
     (|Dx| + |Dy| - slack) / 2 tokens; so it shares one of its rarest |Dy| - least + 1 with x, and pairs meet there.
     """
-    diffs = scratch.keep(_differences(regions.where("region <> doc_id").select("doc_id", F.col("region").alias("pivot")), core, size))
+    wanted = regions.where("region <> doc_id").select("doc_id", F.col("region").alias("pivot"))
+    known = reduce(DataFrame.unionByName, measured).dropDuplicates(["doc_id", "pivot"])
+    known = scratch.keep(known.join(wanted, ["doc_id", "pivot"], "left_semi"))
+    rest = scratch.keep(wanted.join(known.select("doc_id", "pivot"), ["doc_id", "pivot"], "left_anti"))
+    diffs = scratch.keep(known.unionByName(_differences(rest, core, size)))
     size_d, limit = F.size("diff").cast("long"), _slack_column(F.col("n"), F.col("np"), percent)
     linked = diffs.where(size_d <= limit).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     d = diffs.select("doc_id", "pivot", "n", size_d.alias("k"), (size_d <= limit).alias("at_pivot"), F.explode("diff").alias("token"))
@@ -216,6 +226,24 @@ def _verified(pairs: DataFrame, core: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+@contextmanager
+def _filtered_scans(spark):
+    """Within this, Spark may send a Bloom filter of a join's small side to the scan of the other, so that texts which no join needs aren't shuffled.
+
+    The filter has a fixed size; beyond its capacity it lets more through, and the join decides in any case.
+    """
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1TB"}
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs: the smallest doc_id that links lead to.
 
@@ -229,6 +257,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
     component; a row without doc_id has a null component and links nothing; rows that repeat a doc_id are judged by
     their own texts; an empty table gives an empty result; further columns are ignored.
     """
+    with _filtered_scans(docs.sparkSession):
+        return _components(docs, size, percent)
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.keep(signatures(docs, size, percent))
@@ -239,11 +272,11 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
     seen = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("doc_id").count()
     need = F.size("head") - _window_column(F.col("n"), percent) + 1
     chosen = scratch.keep(points.join(seen, "doc_id").where(F.col("count") >= need).select("doc_id").distinct())
-    core = scratch.keep(docs.join(chosen, "doc_id"))
+    core = scratch.keep(docs.join(chosen.where(_SOME), "doc_id"))
     scratch.sweep()
 
-    regions = _regions(core, size, scratch)
-    links = scratch.keep(_inside(regions, core, size, percent, scratch))
+    regions, measured = _regions(core, size, scratch)
+    links = scratch.keep(_inside(regions, measured, core, size, percent, scratch))
     scratch.sweep()
     groups = scratch.keep(connected_components(links, scratch))
 
