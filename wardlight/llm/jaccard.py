@@ -156,7 +156,9 @@ def _inside(regions: DataFrame, measured: list[DataFrame], core: DataFrame, size
     counts = d.groupBy("pivot", "token").agg(F.count("*").alias("df"), F.count_if(~F.col("at_pivot")).alias("free")).where("df > 1 and free > 0")
     d = d.join(counts, ["pivot", "token"])
     widest = F.floor(F.lit(100 - percent) * F.col("n") * (1 + 100 / percent) / (100 + percent)) + 1
-    have = F.when(F.col("at_pivot"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.col("k") - widest))
+    # for x at the pivot and y not: |Dy| > slack(y, pivot), and slacks differ by no more than |Dx| * (100 - percent) / (100 + percent) and rounding
+    at_pivot = F.ceil((F.col("k") * F.lit(2 * percent / (100 + percent)) - 1) / 2 - 1e-9)
+    have = F.greatest(F.lit(1), F.when(F.col("at_pivot"), at_pivot).otherwise(F.col("k") - widest))
     # tokens that no other document has can't be shared: they come first in the order and fill the front of the window
     alone = d.groupBy("doc_id").agg(F.count("*").alias("together"))
     d = d.join(alone, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) + F.col("k") - F.col("together"))
