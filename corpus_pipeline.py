@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from wardlight.llm import decontaminate, jaccard, langid, mixing, sharding
 from wardlight.llm.store import Scratch
 
+#: Near copies: words of a shingle, and percent of similarity.
+SIZE, PERCENT = 5, 80
 #: Documents whose best language has less of the probability are rejected.
 LEAST_SCORE = 0.35
 ORACLE_SQL = None  # a trained network decides in the first stage
@@ -39,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component; rows without doc_id can't be named and stay."""
-    found = jaccard.jaccard_components(docs)
+    found = jaccard.jaccard_components(docs, size=SIZE, percent=PERCENT)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     rows = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
