@@ -15,6 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical[\"'\s/>])[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -29,22 +30,38 @@ def parts(url: Column) -> Column:
     return F.struct(F.translate(F.regexp_extract(url, _PARTS, 1), UPPER, LOWER).alias("host"), F.regexp_extract(url, _PARTS, 2).alias("path"), F.regexp_extract(url, _PARTS, 3).alias("query"))
 
 
+def _without_dots(path: Column) -> Column:
+    """path with its segments ``.`` and ``..`` carried out."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    segments = F.aggregate(F.split(F.substring(path, 2, 1 << 30), "/"), F.array().cast("array<string>"), step)
+    whole = F.concat(F.lit("/"), F.array_join(segments, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(segments) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
 def node(url: Column) -> Column:
-    """What names a resource: host, path and query, without scheme and fragment; null where there is no host."""
-    return _let(parts(url), lambda p: F.when(p["host"] != "", F.concat(p["host"], F.when(p["path"] == "", "/").otherwise(p["path"]), p["query"])))
+    """What names a resource: host, path without dots and query, without scheme and fragment; null where there is no host."""
+    return _let(parts(url), lambda p: F.when(p["host"] != "", F.concat(p["host"], F.when(p["path"] == "", "/").otherwise(_without_dots(p["path"])), p["query"])))
 
 
 def resolve(link: Column, base: Column) -> Column:
-    """An absolute, scheme-relative or root-relative link as an absolute url; null for others."""
-    absolute = lambda x: F.when(x.rlike("(?i)^https?://"), x).when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.startswith("/"), F.concat(F.lit("http://"), parts(base)["host"], x))
-    return _let(F.regexp_replace(link, "(?i)&amp;", "&"), absolute)
+    """A link, absolute or relative to the scheme, root, folder or page of ``base``, as an absolute url; null for a scheme without ``//``."""
+
+    def absolute(x: Column, b: Column) -> Column:
+        root = F.concat(F.lit("http://"), b["host"])
+        folder = F.when(b["path"] == "", "/").otherwise(F.regexp_extract(b["path"], r"(?s)^(.*/)", 1))
+        page = F.concat(root, F.when(b["path"] == "", "/").otherwise(b["path"]))
+        there = F.when(x.rlike("(?i)^[a-z][a-z0-9+.-]*://"), x).when(x.startswith("//"), F.concat(F.lit("http:"), x)).when(x.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None).when(b["host"] == "", None)
+        return there.when(x.startswith("/"), F.concat(root, x)).when(x.startswith("?"), F.concat(page, x)).when(x.startswith("#"), F.concat(page, b["query"])).otherwise(F.concat(root, folder, x))
+
+    return _let(F.struct(F.regexp_replace(link, "(?i)&amp;", "&").alias("x"), parts(base).alias("b")), lambda v: absolute(v["x"], v["b"]))
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): nodes of a page and of the page that it names as canonical or sends its reader to."""
     found = F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))
-    out = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("_from"), F.explode(found).alias("_to")).where("_to <> ''")
-    return out.select(node(F.col("_from")).alias("a"), node(resolve(F.col("_to"), F.col("_from"))).alias("b")).where("a <> b")
+    out = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("_from"), F.regexp_extract(html, _BASE, 1).alias("_base"), F.explode(found).alias("_to")).where("_to <> ''")
+    base = F.when(F.col("_base") == "", F.col("_from")).otherwise(F.coalesce(resolve(F.col("_base"), F.col("_from")), F.col("_from")))
+    return out.select(node(F.col("_from")).alias("a"), node(resolve(F.col("_to"), base)).alias("b")).where("a <> b")
 
 
 def matched_rule(h: Column, p: Column, rules) -> Column:
@@ -61,8 +78,8 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
 
     Pages that redirect to or name each other as canonical are one resource: connected components over ``redirects``
     (from_url, to_url) and the links in the pages themselves. A page under a rule takes the verdict of that rule, so an
-    explicit allow always stands; another page is blocked if a page of its component is blocked by a rule, and else
-    allowed. Rows with a null url, or a url without ``://``, have an empty host and path, no rule and no alias; a null
+    explicit allow always stands; another page is blocked if a page or a mere target of its component is blocked by a
+    rule, and else allowed. Rows with a null url, or a url without ``://``, have an empty host and path, no rule and no alias; a null
     html has no links; repeated rows are judged alike; an empty table gives an empty result. Columns of the input
     with the names of the added ones are replaced.
     """
@@ -80,8 +97,10 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
         scratch.drop()
     else:
         members = scratch.keep(members)
-        blocked = judged.where(own == "block").select(node(F.col(url)).alias("node")).distinct()
-        bad = members.join(blocked, "node", "left_semi").select("component").distinct()
+        ruled = judged.where(own == "block").select(node(F.col(url)).alias("node")).distinct()
+        named = parts(F.concat(F.lit("http://"), F.col("node")))
+        listed = members.where(_let(named, lambda p: matched_rule(p["host"], p["path"], rules))["verdict"] == "block").select("component")
+        bad = members.join(ruled, "node", "left_semi").select("component").unionByName(listed).distinct()
         shut = scratch.keep(members.join(bad, "component", "left_semi").select(F.col("node").alias("_shut")).distinct())
         judged = judged.withColumn("_node", node(F.col(url))).join(shut, F.col("_node") == F.col("_shut"), "left")
         verdict = F.coalesce(own, F.when(F.col("_shut").isNotNull(), "block"), F.lit("allow"))
