@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
+
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript title textarea iframe svg math object head select option".split())
@@ -17,6 +20,8 @@ CONTAINER = frozenset("article main section div td body center".split())
 BOILERPLATE = frozenset("nav header footer aside form menu button dialog".split())
 CLOSES_P = BLOCK - {"br", "body", "html"}
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: The support that one unseen page gives a path, and the part of a page's best score that covers its article.
+PRIOR, COVER = 0.95, 0.5
 #: Words of class, id and role that mark what surrounds an article, and that mark the article itself.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
@@ -123,23 +128,28 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
     return blocks, containers
 
 
-def votes(page: str, most: int = 4) -> list[tuple[str, float]]:
-    """(path, score) of the best containers of a page: characters outside links in the container, by what kind it is."""
+def path_key(host: str | None, path: str) -> int:
+    """What names a path of a host."""
+    return int.from_bytes(hashlib.blake2b(f"{host}\0{path}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def votes(page: str) -> list[tuple[str, int]]:
+    """(path, score) of all containers of a page that hold text: characters outside links in the container, by what kind it is."""
     best: dict[str, float] = {}
     _, containers = parse(page)
     for c in containers:
-        best[c.path] = best.get(c.path, 0.0) + max(0, c.words - 2 * c.linked) * c.weight
-    return sorted(((p, s) for p, s in best.items() if s > 0), key=lambda x: (-x[1], len(x[0]), x[0]))[:most]
+        if c.words:
+            best[c.path] = best.get(c.path, 0.0) + max(0, c.words - 2 * c.linked) * c.weight
+    return [(p, round(s)) for p, s in best.items()]
 
 
-def extract(page: str, paths: list[str]) -> str:
-    """The text of the containers with the first of these paths that has text in this page; without one, of all that isn't boilerplate."""
-    blocks, _ = parse(page)
+def extract(page: str, host: str | None, key: int | None) -> str:
+    """The text of the containers whose path has this key; without one, of all that isn't boilerplate."""
+    blocks, containers = parse(page)
     kept = [(text, node) for text, node in blocks if not node.aside]
-    for path in paths:
-        found = [text for text, node in kept if node.path == path or node.path.startswith(path + ">")]
-        if found:
-            return "\n".join(found)
+    for path in {c.path: None for c in containers} if key is not None else ():
+        if path_key(host, path) == key:
+            return "\n".join(text for text, node in kept if node.path == path or node.path.startswith(path + ">"))
     return "\n".join(text for text, _ in kept)
 
 
@@ -147,38 +157,46 @@ def host(url):
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def extract_pages(pages: DataFrame, url: str = "url", source: str = "html", most_paths: int = 8) -> DataFrame:
+def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """All columns of pages that don't clash, with text (the article) in place of the markup.
 
-    First each page scores its containers and votes with its best generalised tag-class paths; votes are summed
-    by host and path before anything meets, so a host of any size is a few rows. Then each page takes the
-    containers under the first of its host's ``most_paths`` winning paths that holds text in it, without menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.
+    First each page scores all its containers by their generalised tag-class paths. A path's support is its part of the
+    best score of the pages of the host that have it, with PRIOR for one page more. Then each page takes the containers
+    under that one of its own paths with the most support among those that cover its article, which is COVER of its
+    best score; without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. All
+    paths of a host are rows, and none is left out.
 
     A null or empty page gives an empty text; pages without a host share one vote; repeated rows are treated alike; an
     empty table gives an empty result; columns named text and _host are replaced.
     """
+    scratch = Scratch(pages.sparkSession, "html")
 
     def ballot(batches):
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for path, score in votes(page.as_py() or ""):
-                    sums[h, path] = sums.get((h, path), 0.0) + score
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([round(v) for v in sums.values()], pa.int64())], ["host", "path", "score"])
+            out = []
+            for page, h, p1, p2 in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                found = votes(page.as_py() or "")
+                best = max((score for _, score in found), default=0)
+                out += [(p1, p2, path_key(h, path), score, best, len(path)) for path, score in found]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 6)], ["p1", "p2", "k", "score", "best", "length"])
 
     kept = [c for c in pages.columns if c not in ("text", "_host", source)]
-    counted = pages.select(host(F.col(url)).alias("host"), source).mapInArrow(ballot, "host string, path string, score long").groupBy("host", "path").agg(F.sum("score").alias("score"))
-    rank = Window.partitionBy("host").orderBy(F.desc("score"), F.length("path"), "path")
-    winners = counted.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most_paths)
-    winners = winners.groupBy(F.col("host").alias("_host")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("_paths"))
-    joined = pages.select(*kept, source, host(F.col(url)).alias("_mine")).join(winners, F.col("_mine") == F.col("_host"), "left").select(*kept, source, "_paths")
+    mine = host(F.col(url))
+    names = (F.xxhash64(mine, F.col(source)), F.xxhash64(F.col(source), F.lit(1), mine))
+    cast = scratch.keep(pages.select(source, mine.alias("_mine"), names[0].alias("p1"), names[1].alias("p2")).mapInArrow(ballot, "p1 long, p2 long, k long, score long, best long, length long"))
+    n, part = F.count("*"), F.coalesce(F.sum("score") / F.sum("best"), F.lit(PRIOR))
+    support = cast.where("best > 0").groupBy("k").agg(((n * part + PRIOR) / (n + 1)).alias("support"))
+    own = cast.where(F.col("score") >= COVER * F.col("best")).join(support, "k", "left")
+    first = F.struct(F.coalesce("support", F.lit(0.0)).alias("support"), (-F.col("length")).alias("length"), "k")
+    chosen = scratch.keep(own.groupBy("p1", "p2").agg(F.max(first)["k"].alias("_key")))
+    scratch.drop(cast)
+    joined = pages.select(*kept, source, mine.alias("_mine"), names[0].alias("_p1"), names[1].alias("_p2")).join(chosen, (F.col("_p1") == F.col("p1")) & (F.col("_p2") == F.col("p2")), "left").select(*kept, source, "_mine", "_key")
     schema = joined.select(*kept).schema.add("text", "string")
 
     def take(batches):
         for batch in batches:
             columns = [batch.column(i) for i in range(len(kept))]
-            texts = [extract(page.as_py() or "", paths.as_py() or []) for page, paths in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True)]
+            texts = [extract(page.as_py() or "", h, key) for page, h, key in zip(batch.column(len(kept)), batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*kept, "text"])
 
     return joined.mapInArrow(take, schema)
