@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
 
     Equal sets are one point. A point can only have a partner if enough of its first tokens occur in others; only such
     points go on, with their texts. They fall into Voronoi regions around documents as pivots, and each region is joined
-    recursively, in the space of differences to its pivot. Then every point is replicated into all windows that its
+    by tokens of the differences to its pivot, in a single level. Then every point is replicated into all windows that its
     threshold reaches, and pairs of different regions that are not connected yet and meet there are compared: by size
     and place, by cell counts, by their sets. So no link between different components is lost, and no group of copies is spelled out in pairs.
 
