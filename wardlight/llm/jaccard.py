@@ -1,4 +1,4 @@
-"""Exact Jaccard join of shingle sets as a join in a metric space: pivots, regions, windows at their borders."""
+"""Exact Jaccard join of shingle sets as a join in a metric space: pivots, Voronoi regions, windows at their borders."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .cells import excess, join_cells
 from .components import connected_components
 from .store import Scratch
 
@@ -18,11 +19,13 @@ from .store import Scratch
 PERCENT = 90
 #: Orders of the tokens in which regions are sought.
 ROUNDS = 3
-#: A token in more prefixes than this goes to the end of the order of pivots, as long as there are at most MOST_COMMON of them.
+#: The MOST_COMMON most frequent tokens that are in more than COMMON windows go to the end of the order of tokens.
 COMMON, MOST_COMMON = 32, 100_000
+#: Documents whose differences to one pivot are measured in one task's share.
+A_SHARE = 1024
 CELLS = 256
-#: Holds for every id; the optimizer builds a Bloom filter only from a side that has some condition.
-_SOME = "doc_id >= -9223372036854775807 or doc_id <= 0"
+#: Holds for every row; the optimizer builds a Bloom filter only from a side that has some condition.
+_SOME = "{0} >= -9223372036854775807 or {0} <= 0"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -46,10 +49,6 @@ def window(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
-def least_overlap(n, m, percent: int = PERCENT):
-    return -((-percent * (n + m)) // (100 + percent))
-
-
 def _each_text(batches, size: int, body):
     """Calls body(batch of rows, their sets) for groups of rows of bounded text size. Text is the last column."""
     for batch in batches:
@@ -58,34 +57,74 @@ def _each_text(batches, size: int, body):
             yield body(batch.slice(a, b - a), shingle_sets(texts.slice(a, b - a), size))
 
 
+def _name(s: np.ndarray) -> int:
+    """64 bits that name a set of tokens."""
+    return int(textops.mix(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def _least_shared(n: int, percent: int) -> int:
+    """How many of the first tokens of a set of n must be among the first of others, if it has a partner.
+
+    A partner of m tokens has all but ``window(m) - 1`` of them in common with the set, so each of the two has as many common
+    tokens in its head as the head is longer than that, and those that come first are in both. The smallest partner counts.
+    """
+    m = -(-percent * n // 100)
+    return min(-(-percent * m // 100), _head(m, percent) - window(m, percent) + 1)
+
+
+def _head(n: int, percent: int) -> int:
+    return min(n, window(n, percent) + window(n, percent) // 8 + 4)
+
+
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, h1, h2, head): set size, 128 bits that name the set, and its first tokens: the window and a quarter more."""
+    """(doc_id, n, id, head, need): set size, 64 bits that name the set, its first tokens, and how many of these others must share.
+
+    Of equal sets that come together one has a head.
+    """
 
     def body(rows, sets):
-        n = [len(s) for s in sets]
-        a = [int(textops.mix(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
-        b = [int(np.bitwise_xor.reduce(textops.mix(s.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) if len(s) else 0 for s in sets]
-        heads = [s[: window(len(s), percent) + window(len(s), percent) // 4 + 4] if len(s) else s for s in sets]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-        head = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), head], ["doc_id", "n", "h1", "h2", "head"])
+        names, first = [_name(s) for s in sets], {}
+        for i, x in enumerate(names):
+            first.setdefault(x, i)
+        heads = [s[: _head(len(s), percent)] if first[x] == i else s[:0] for i, (s, x) in enumerate(zip(sets, names, strict=True))]
+        need = [_least_shared(len(s), percent) if len(s) else 0 for s in sets]
+        columns = [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), _lists(heads), pa.array(need, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "id", "head", "need"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda x: _each_text(x, size, body), "doc_id long, n long, h1 long, h2 long, head array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lambda x: _each_text(x, size, body), "doc_id long, n long, id long, head array<long>, need long")
 
 
-def _keys(core: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, keys): for each of ROUNDS orders of the tokens, the first of the document: its nearest pivots."""
+def _points(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(id, text, n, keys, cells, tokens) of the rows (id, text) whose text has the set that id names.
+
+    keys: for each of ROUNDS orders of the tokens, the first of the set. tokens: the first ``window(n)`` in an order with
+    common ones last; a partner shares one of them. cells counts all tokens by hash, at most 255 each.
+    """
 
     def body(rows, sets):
-        keys = np.array([[int(textops.mix(s.view(np.uint64) + np.uint64(r)).min().view(np.int64)) for r in range(ROUNDS)] for s in sets], dtype=np.int64).reshape(-1)
-        ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * ROUNDS)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys))], ["doc_id", "n", "keys"])
+        names = [_name(s) for s in sets]
+        good = [i for i, (x, y) in enumerate(zip(names, rows.column(0).to_pylist(), strict=True)) if x == y]
+        sets, rows = [sets[i] for i in good], rows.take(pa.array(good, pa.int64()))
+        late = [np.isin(s, common, assume_unique=True, kind="sort") if len(common) else np.zeros(len(s), dtype=bool) for s in sets]
+        first = [np.concatenate([s[~x], s[x]])[: window(len(s), percent)] for s, x in zip(sets, late, strict=True)]
+        keys = [np.array([textops.mix(s.view(np.uint64) + np.uint64(r)).min() for r in range(ROUNDS)], dtype=np.uint64).view(np.int64) for s in sets]
+        counts = [np.minimum(np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
+        columns = [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), _lists(keys), pa.array(counts, pa.binary()), _lists(first)]
+        return pa.RecordBatch.from_arrays(columns, ["id", "text", "n", "keys", "cells", "tokens"])
 
-    return core.select("doc_id", "text").mapInArrow(lambda x: _each_text(x, size, body), "doc_id long, n long, keys array<long>")
+    return rows.select("id", "text").mapInArrow(lambda x: _each_text(x, size, body), "id long, text string, n long, keys array<long>, cells binary, tokens array<long>")
 
 
 def _differences(tasks: DataFrame, core: DataFrame, size: int) -> DataFrame:
-    """(doc_id, pivot, n, np, diff) for tasks (doc_id, pivot): set sizes, and the tokens that only one of the two has."""
+    """(id, pivot, n, np, diff) for tasks (id, pivot): set sizes, and the tokens that only one of the two has.
+
+    A pivot of many tasks is dealt in shares, so no task holds all of a hot one.
+    """
 
     def run(batches):
         for batch in batches:
@@ -93,139 +132,81 @@ def _differences(tasks: DataFrame, core: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(a, b - a)
                 xs, ps = shingle_sets(part.column(2), size), shingle_sets(part.column(3), size)
                 diffs = [np.setxor1d(x, p, assume_unique=True) for x, p in zip(xs, ps, strict=True)]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(d) for d in diffs])]).astype(np.int32))
-                columns = [part.column(0), part.column(1), pa.array([len(x) for x in xs], pa.int64()), pa.array([len(p) for p in ps], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(diffs)))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pivot", "n", "np", "diff"])
+                columns = [part.column(0), part.column(1), pa.array([len(x) for x in xs], pa.int64()), pa.array([len(p) for p in ps], pa.int64()), _lists(diffs)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "pivot", "n", "np", "diff"])
 
-    pivots = core.join(tasks.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("text").alias("p"))
-    rows = tasks.where(_SOME).join(core.select("doc_id", "text"), "doc_id").join(pivots, "pivot").select("doc_id", "pivot", "text", "p")
-    return rows.mapInArrow(run, "doc_id long, pivot long, n long, np long, diff array<long>")
+    shares = tasks.groupBy("pivot").agg(F.ceil(F.count("*") / A_SHARE).cast("int").alias("shares"))
+    pivots = core.join(shares.where(_SOME.format("pivot")).withColumnRenamed("pivot", "id"), "id").select(F.col("id").alias("pivot"), F.explode(F.sequence(F.lit(1), "shares")).alias("share"), F.col("text").alias("p"))
+    dealt = tasks.join(shares, "pivot").select("id", "pivot", (F.pmod(F.xxhash64("id"), F.col("shares")) + 1).cast("int").alias("share"))
+    rows = core.select("id", "text").join(dealt.where(_SOME.format("id")), "id").join(pivots, ["pivot", "share"]).select("id", "pivot", "text", "p")
+    return rows.mapInArrow(run, "id long, pivot long, n long, np long, diff array<long>")
 
 
 def _regions(core: DataFrame, size: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, n, region): the Voronoi region of each document, named by the document that is its pivot; and the differences measured on the way.
+    """(id, n, region): the Voronoi region of each point, named by the point that is its pivot; and the differences measured on the way.
 
-    In each round documents with the same first token meet. The largest region among them gives the pivot; who stands
+    In each round points with the same first token meet. The largest region among them gives the pivot; who stands
     nearer to it than half of its own set enters that region. A family of copies that an edit has split in one
     order of the tokens meets in the next.
     """
-    keys = scratch.keep(_keys(core, size))
-    now, measured = keys.select("doc_id", "n", F.col("doc_id").alias("region")), []
+    keys = core.select("id", "n", "keys")
+    now, measured = keys.select("id", "n", F.col("id").alias("region")), []
     for r in range(ROUNDS):
-        placed = now.join(keys.select("doc_id", F.element_at("keys", r + 1).alias("key")), "doc_id")
-        votes = placed.groupBy("key", "region").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", (-F.col("region")).alias("r"))).alias("best"), F.sum("m").alias("all")).where(F.col("all") > 1)
-        tasks = placed.join(votes.select("key", (-F.col("best.r")).alias("pivot")), "key").where("pivot <> region and pivot <> doc_id").select("doc_id", "pivot")
+        placed = now.join(keys.select("id", F.element_at("keys", r + 1).alias("key")), "id")
+        votes = placed.groupBy("key", "region").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "region")).alias("best"), F.sum("m").alias("all")).where(F.col("all") > 1)
+        tasks = placed.join(votes.select("key", F.col("best.region").alias("pivot")), "key").where("pivot <> region and pivot <> id").select("id", "pivot")
         measured.append(scratch.keep(_differences(scratch.keep(tasks), core, size).where(2 * F.size("diff") <= F.col("n"))))
-        near = measured[-1].select(F.col("doc_id").alias("d"), "pivot")
-        later = now.join(near, F.col("doc_id") == F.col("d"), "left").select("doc_id", "n", F.coalesce("pivot", "region").alias("region"))
+        later = now.join(measured[-1].select("id", "pivot"), "id", "left").select("id", "n", F.coalesce("pivot", "region").alias("region"))
         # a pivot that has itself moved on leads to where it went
-        hop = later.select(F.col("doc_id").alias("d"), F.col("region").alias("to"))
-        moved = hop.where("d <> to")
-        later = later.join(moved, F.col("region") == F.col("d"), "left").select("doc_id", "n", F.when(F.col("to") == F.col("doc_id"), F.col("doc_id")).otherwise(F.coalesce("to", "region")).alias("region"))
-        now = scratch.keep(later)
+        moved = later.where("id <> region").select(F.col("id").alias("region"), F.col("region").alias("to"))
+        now = scratch.keep(later.join(moved, "region", "left").select("id", "n", F.when(F.col("to") == F.col("id"), F.col("id")).otherwise(F.coalesce("to", "region")).alias("region")))
     return now, measured
 
 
-def slack(n, m, percent: int = PERCENT):
-    """How many tokens at most only one of two linked sets has."""
-    return n + m - 2 * least_overlap(n, m, percent)
-
+def _members(regions: DataFrame, measured: list[DataFrame], core: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """(id, pivot, n, np, diff) of each point in a region that isn't its pivot."""
+    wanted = regions.where("region <> id").select("id", F.col("region").alias("pivot"))
+    known = reduce(DataFrame.unionByName, measured).dropDuplicates(["id", "pivot"])
+    known = scratch.keep(known.join(wanted, ["id", "pivot"], "left_semi"))
+    rest = scratch.keep(wanted.join(known.select("id", "pivot"), ["id", "pivot"], "left_anti"))
+    return scratch.keep(known.unionByName(_differences(rest, core, size)))
 
-def _slack_column(n: Column, m: Column, percent: int) -> Column:
-    return n + m - 2 * F.ceil(F.lit(percent) * (n + m) / (100 + percent))
 
+def _visitors(core: DataFrame, regions: DataFrame, members: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, pivot, n, np, diff) of each point of a smaller region that may be linked with one of a larger: it is replicated there.
 
-def _inside(regions: DataFrame, measured: list[DataFrame], core: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) inside regions, as many as connect all linked documents of one region.
-
-    Within a region a document stands for its difference to the pivot: the symmetric difference of two such differences
-    is that of the documents, so distances are kept, and what the whole family shares is gone. Whoever is linked to
-    the pivot is connected by that. Another document y can only be linked to x if their differences share
-    (|Dx| + |Dy| - slack) / 2 tokens; so it shares one of its rarest |Dy| - least + 1 with x, and pairs meet there.
-    """
-    wanted = regions.where("region <> doc_id").select("doc_id", F.col("region").alias("pivot"))
-    known = reduce(DataFrame.unionByName, measured).dropDuplicates(["doc_id", "pivot"])
-    known = scratch.keep(known.join(wanted, ["doc_id", "pivot"], "left_semi"))
-    rest = scratch.keep(wanted.join(known.select("doc_id", "pivot"), ["doc_id", "pivot"], "left_anti"))
-    diffs = scratch.keep(known.unionByName(_differences(rest, core, size)))
-    size_d, limit = F.size("diff").cast("long"), _slack_column(F.col("n"), F.col("np"), percent)
-    linked = diffs.where(size_d <= limit).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    d = diffs.select("doc_id", "pivot", "n", size_d.alias("k"), (size_d <= limit).alias("at_pivot"), F.explode("diff").alias("token"))
-    lone = diffs.where(size_d > limit).groupBy("pivot").agg(F.count("*").alias("others"))
-    d = d.join(lone.select("pivot"), "pivot", "left_semi")  # a region without others has nothing more to find
-    counts = d.groupBy("pivot", "token").agg(F.count("*").alias("df"), F.count_if(~F.col("at_pivot")).alias("free")).where("df > 1 and free > 0")
-    d = d.join(counts, ["pivot", "token"])
-    widest = F.floor(F.lit(100 - percent) * F.col("n") * (1 + 100 / percent) / (100 + percent)) + 1
-    # for x at the pivot and y not: |Dy| > slack(y, pivot), and slacks differ by no more than |Dx| * (100 - percent) / (100 + percent) and rounding
-    at_pivot = F.ceil((F.col("k") * F.lit(2 * percent / (100 + percent)) - 1) / 2 - 1e-9)
-    have = F.greatest(F.lit(1), F.when(F.col("at_pivot"), at_pivot).otherwise(F.col("k") - widest))
-    # tokens that no other document has can't be shared: they come first in the order and fill the front of the window
-    alone = d.groupBy("doc_id").agg(F.count("*").alias("together"))
-    d = d.join(alone, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) + F.col("k") - F.col("together"))
-    d = d.where((F.col("rank") <= F.col("k") - have + 1) & (F.col("together") >= have))
-    x = d.select("pivot", "token", F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("k").alias("i"), F.col("at_pivot").alias("p"))
-    y = d.select("pivot", "token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("k").alias("j"), F.col("at_pivot").alias("q"))
-    room = _slack_column(F.col("n"), F.col("m"), percent)
-    fits = (~F.col("p") | ~F.col("q")) & (F.col("a") < F.col("b")) & (F.abs(F.col("i") - F.col("j")) <= room) & (F.abs(F.col("n") - F.col("m")) <= room)
-    pairs = x.join(y, ["pivot", "token"]).where(fits).select("a", "b").distinct()
-    small = diffs.where(size_d <= 2).select("pivot", F.col("doc_id").alias("a"))  # so near the pivot that rounding alone may let one more in
-    edge = diffs.where((size_d > limit) & (size_d <= limit + 2)).select("pivot", F.col("doc_id").alias("b"))
-    pairs = pairs.unionByName(small.join(edge, "pivot").select("a", "b"))
-    sets = diffs.select("doc_id", "n", "diff")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), "n", F.col("diff").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("diff").alias("y")), "b")
-    apart = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
-    return linked.unionByName(both.where(apart <= room).select("a", "b"))
-
-
-def _windows(core: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, cells, token, place): each document in the regions of its first tokens, rare ones before common ones.
-
-    A partner shares one of the first ``window(n)`` tokens of any order: so much of the set lies within the threshold of
-    its border. cells counts the tokens by hash, at most 255 each.
+    Linked points share a token of their windows, so each such token that stands in several regions makes a point a
+    candidate for the larger ones. By the triangle inequality a point can only be linked with a member of a region if it is no
+    farther from the pivot than the farthest member and the threshold together: the region's ``reach``. Distances are
+    first bounded by counts of tokens: summed over disjoint parts of the universe, they obey the same inequality.
     """
-
-    def body(rows, sets):
-        ids, ns, cells, tokens, places, lengths = [], [], [], [], [], []
-        for doc, s in zip(rows.column(0).to_pylist(), sets, strict=True):
-            late = np.isin(s, common, assume_unique=True, kind="sort") if len(common) else np.zeros(len(s), dtype=bool)
-            first = np.concatenate([s[~late], s[late]])[: window(len(s), percent)]
-            ids.append(doc)
-            ns.append(len(s))
-            cells.append(np.minimum(np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes())
-            tokens.append(first)
-            lengths.append(len(first))
-        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(cells, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)))], ["doc_id", "n", "cells", "tokens"])
-
-    return core.select("doc_id", "text").mapInArrow(lambda x: _each_text(x, size, body), "doc_id long, n long, cells binary, tokens array<long>")
-
-
-def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose cell counts differ by no more than linked sets can: summed over disjoint parts of the universe, the distances to the empty set obey the triangle inequality."""
-
-    def run(batches):
+    far = members.groupBy(F.col("pivot").alias("region")).agg(F.count("*").alias("others"), F.max(F.lit(100 + percent) * F.size("diff") + F.lit(100 - percent) * F.col("n")).alias("far"))
+    about = regions.where("id = region").join(far, "region", "left").select("region", F.coalesce("others", F.lit(0)).alias("others"), F.greatest(F.coalesce("far", F.lit(0)), F.lit(100 - percent) * F.col("n")).alias("reach"))
+    about = scratch.keep(about)
+    where = regions.select("id", "region").join(about.select("region", "others"), "region")
+    rows = scratch.keep(core.select("id", "n", "tokens").join(where, "id").select("id", "n", "region", "others", F.posexplode("tokens").alias("place", "token")))
+    met = rows.groupBy("token", "region").agg(F.first("others").alias("_others"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("rest")).withColumnRenamed("region", "pivot")
+    met = scratch.keep(met)
+    mixed = met.groupBy("token").agg(F.min("pivot").alias("r1"), F.max("pivot").alias("r2")).where("r1 < r2").select("token")
+    x = rows.join(mixed.hint("shuffle_hash"), "token")
+    larger = (F.col("_others") > F.col("others")) | (F.col("_others") == F.col("others")) & (F.col("pivot") > F.col("region"))
+    least = F.greatest(F.col("lo"), F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9))  # the smallest set of the region that can be a partner
+    fits = larger & (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n"))
+    fits = fits & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("rest")) >= percent * (F.col("n") + least))
+    pairs = x.join(met, "token").where(fits).select("id", "pivot").distinct()
+    cells = core.select("id", "n", "cells")
+    pairs = pairs.join(cells.withColumnRenamed("cells", "x"), "id").join(cells.select(F.col("id").alias("pivot"), F.col("cells").alias("y")), "pivot").join(about.select(F.col("region").alias("pivot"), "reach"), "pivot")
+
+    def near(batches):
         for batch in batches:
-            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            n, reach = (batch.column(k).to_numpy() for k in (2, 3))
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for k in (4, 5))
-            good = np.abs(x - y).sum(axis=1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
-
-    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, core: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose sets really are that similar."""
+            good = (100 + percent) * np.abs(x - y).sum(axis=1, dtype=np.int64) - (100 - percent) * n <= reach
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], ["id", "pivot"])
 
-    def run(batches):
-        for batch in batches:
-            for a, b in textops.groups(batch.column(3)):
-                part = batch.slice(a, b - a)
-                good = [100 * (i := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - i) for x, y in zip(shingle_sets(part.column(2), size), shingle_sets(part.column(3), size), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], ["a", "b"])
-
-    x = core.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    y = core.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    tasks = scratch.keep(pairs.select("id", "pivot", "n", "reach", "x", "y").mapInArrow(near, "id long, pivot long"))
+    found = _differences(tasks, core, size).join(about.select(F.col("region").alias("pivot"), "reach"), "pivot")
+    return scratch.keep(found.where(excess(F.size("diff").cast("long"), F.col("n"), percent) <= F.col("reach")).select("id", "pivot", "n", "np", "diff"))
 
 
 @contextmanager
@@ -250,14 +231,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
     """(doc_id, n_shingles, component_id) for each row of docs: the smallest doc_id that links lead to.
 
     Equal sets are one point. A point can only have a partner if enough of its first tokens occur in others; only such
-    points go on, with their texts. They fall into Voronoi regions around documents as pivots, and each region is joined
-    by tokens of the differences to its pivot, in a single level. Then every point is replicated into all windows that its
-    threshold reaches, and pairs of different regions that are not connected yet and meet there are compared: by size
-    and place, by cell counts, by their sets. So no link between different components is lost, and no group of copies is spelled out in pairs.
+    points go on, with their texts. They fall into Voronoi regions around pivots; points that may be linked with a
+    member of a larger region are replicated there; and each region with its visitors is joined by the tokens of the differences
+    to its pivot, in one task or, if it is large, recursively in parts with new pivots. So no link between different
+    components is lost, and no group of copies is spelled out in pairs.
 
     Tokens are 64-bit hashes of shingles. A null or empty text has an empty set, links with nothing, and is its own
-    component; a row without doc_id has a null component and links nothing; rows that repeat a doc_id are judged by
-    their own texts; an empty table gives an empty result; further columns are ignored.
+    component; a row without doc_id has a null component and links nothing; rows that repeat a doc_id with other texts are
+    linked by that; texts of any length are taken whole; an empty table gives an empty result; further columns are ignored.
     """
     with _filtered_scans(docs.sparkSession):
         return _components(docs, size, percent)
@@ -267,52 +248,43 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.keep(signatures(docs, size, percent))
-    points = scratch.keep(signed.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "head")).alias("p")).select("n", "h1", "h2", "p.doc_id", "p.head"))
-
-    tokens = points.select("doc_id", F.explode("head").alias("token"))
-    shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    seen = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("doc_id").count()
-    need = F.size("head") - _window_column(F.col("n"), percent) + 1
-    chosen = scratch.keep(points.join(seen, "doc_id").where(F.col("count") >= need).select("doc_id").distinct())
-    core = scratch.keep(docs.join(chosen.where(_SOME), "doc_id"))
+    sets = signed.where("n > 0 and doc_id is not null")
+    points = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("need").alias("need"), F.count_if(F.size("head") > 0).alias("heads")))
+
+    tokens = sets.select("id", F.explode("head").alias("token"))
+    shared = scratch.keep(tokens.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("token", "m"))
+    common = shared.where(F.col("m") > COMMON).orderBy(F.desc("m"), "token").limit(MOST_COMMON).select("token").toArrow()["token"].to_numpy()
+    scratch.sweep()
+    seen = tokens.join(shared.select("token").hint("shuffle_hash"), "token").groupBy("id").agg(F.count("*").alias("seen"))
+    chosen = scratch.keep(points.join(seen, "id").where("seen >= need * heads").select("id", "doc_id"))
+    scratch.sweep()
+    core = scratch.keep(_points(docs.join(chosen.where(_SOME.format("doc_id")), "doc_id"), np.sort(common), size, percent))
+    again = core.groupBy("id").count().where("count > 1").select("id")
+    if not again.isEmpty():  # rows with equal doc_id and equal sets
+        core = scratch.keep(core.join(again, "id", "left_anti").unionByName(core.join(again, "id", "left_semi").dropDuplicates(["id"])))
     scratch.sweep()
 
     regions, measured = _regions(core, size, scratch)
-    links = scratch.keep(_inside(regions, measured, core, size, percent, scratch))
+    members = _members(regions, measured, core, size, scratch)
+    visitors = _visitors(core, regions, members, size, percent, scratch)
     scratch.sweep()
-    groups = scratch.keep(connected_components(links, scratch))
-
-    first = scratch.keep(_windows(core, np.zeros(0, dtype=np.int64), size, percent))
-    counts = scratch.keep(first.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > COMMON))
-    least = COMMON
-    while counts.where(F.col("count") > least).count() > MOST_COMMON:
-        least *= 2
-    common = np.sort(counts.where(F.col("count") > least).select("token").toArrow()["token"].to_numpy())
-    placed = scratch.keep(_windows(core, common, size, percent)) if len(common) else first
-    group = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
-    where = regions.select("doc_id", "region")
-    rows = placed.join(group, "doc_id", "left").join(where, "doc_id").select("doc_id", "n", F.coalesce("g", "doc_id").alias("g"), "region", F.posexplode("tokens").alias("place", "token"))
-    rows = scratch.keep(rows)
-    mixed = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("region").alias("r1"), F.max("region").alias("r2")).where("lo < hi and r1 < r2").select("token")
-    rows = rows.join(mixed.hint("shuffle_hash"), "token")
-    x = rows.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("g").alias("ga"), F.col("region").alias("ra"), F.col("place").alias("i"))
-    y = rows.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("g").alias("gb"), F.col("region").alias("rb"), F.col("place").alias("j"))
-    fits = (F.col("ga") != F.col("gb")) & (F.col("ra") != F.col("rb")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))) & (100 * F.col("n") >= percent * F.col("m"))
-    fits = fits & ((100 + percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= percent * (F.col("n") + F.col("m")))
-    pairs = x.join(y, "token").where(fits).select("a", "b").distinct()
-    cells = placed.select("doc_id", "n", "cells")
-    pairs = pairs.join(cells.select(F.col("doc_id").alias("a"), "n", F.col("cells").alias("x")), "a").join(cells.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("cells").alias("y")), "b")
-    more = _verified(scratch.keep(_near(pairs, percent)), core, size, percent)
-    links = scratch.keep(links.unionByName(more))
-    whole = scratch.keep(connected_components(links, scratch))
-
-    names = points.select("n", "h1", "h2", F.col("doc_id").alias("point")).join(whole.withColumnRenamed("node", "point"), "point", "left").select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "point").alias("c"))
-    out = signed.select("doc_id", "n", "h1", "h2").join(names, (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("doc_id").isNotNull(), "left")
-    result = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id")))
+
+    placed_here = members.unionByName(visitors)
+    linked = (100 + percent) * F.size("diff") <= F.lit(100 - percent) * (F.col("n") + F.col("np"))
+    at_pivot = placed_here.where(linked).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    own = placed_here.select("pivot", F.col("np").alias("n")).distinct().select(F.col("pivot").alias("id"), F.col("pivot"), "n", F.col("pivot").alias("label"), F.array().cast("array<long>").alias("tokens"))
+    cells = placed_here.select("id", "pivot", "n", F.when(linked, F.col("pivot")).otherwise(F.col("id")).alias("label"), F.col("diff").alias("tokens")).unionByName(own)
+    cells = scratch.keep(cells.select(F.hex("pivot").alias("cell"), "id", "n", "label", "tokens"))
+    links = at_pivot.unionByName(join_cells(cells, percent, scratch))
+    twice = sets.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    links = links.unionByName(sets.join(twice, "doc_id").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    whole = scratch.keep(connected_components(scratch.keep(links), scratch))
+
+    grouped = points.join(whole.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("c"))
+    least = grouped.groupBy("c").agg(F.min("doc_id").alias("least"))
+    names = grouped.join(least, "c").select(F.col("id").alias("_id"), "least")
+    out = signed.select("doc_id", "n", "id").join(names, (F.col("id") == F.col("_id")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    result = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
     scratch.drop(*[t for t in scratch.held if t is not result])
     scratch.sweep()
     return result
-
-
-def _window_column(n: Column, percent: int) -> Column:
-    return n - F.floor((percent * n + 99) / 100) + 1
