@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .cells import excess, join_cells
 from .components import connected_components
-from .store import Scratch
+from .store import Scratch, filtered_scans
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 90
@@ -209,24 +208,6 @@ def _visitors(core: DataFrame, regions: DataFrame, members: DataFrame, size: int
     return scratch.keep(found.where(excess(F.size("diff").cast("long"), F.col("n"), percent) <= F.col("reach")).select("id", "pivot", "n", "np", "diff"))
 
 
-@contextmanager
-def _filtered_scans(spark):
-    """Within this, Spark may send a Bloom filter of a join's small side to the scan of the other, so that texts which no join needs aren't shuffled.
-
-    The filter has a fixed size; beyond its capacity it lets more through, and the join decides in any case.
-    """
-    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1TB"}
-    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
-    before = {k: spark.conf.get(k) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs: the smallest doc_id that links lead to.
 
@@ -240,7 +221,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
     component; a row without doc_id has a null component and links nothing; rows that repeat a doc_id with other texts are
     linked by that; texts of any length are taken whole; an empty table gives an empty result; further columns are ignored.
     """
-    with _filtered_scans(docs.sparkSession):
+    with filtered_scans(docs.sparkSession):
         return _components(docs, size, percent)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,21 @@ class Scratch:
         """Lets Spark delete the shuffle files of finished steps: it does so once the driver's garbage is collected."""
         gc.collect()
         self.spark._jvm.System.gc()
+
+
+@contextmanager
+def filtered_scans(spark):
+    """Within this, Spark may send a Bloom filter of a join's small side to the scan of the other, so that texts which no join needs aren't shuffled.
+
+    The filter has a fixed size; beyond its capacity it lets more through, and the join decides in any case.
+    """
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1TB"}
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
