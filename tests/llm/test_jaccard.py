@@ -56,7 +56,7 @@ def families(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "COMMON", 8)
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
     rows = families(seed) + [(900, None)]
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)

@@ -18,8 +18,8 @@ from .store import Scratch, filtered_scans
 PERCENT = 90
 #: Orders of the tokens in which regions are sought.
 ROUNDS = 3
-#: The MOST_COMMON most frequent tokens that are in more than COMMON windows go to the end of the order of tokens.
-COMMON, MOST_COMMON = 32, 100_000
+#: Tokens in MANY documents or more of a sample (one in SAMPLE) go to the end of the order of tokens, the MOST_COMMON most frequent at most.
+SAMPLE, MANY, MOST_COMMON = 16, 3, 100_000
 #: Documents whose differences to one pivot are measured in one task's share.
 A_SHARE = 1024
 CELLS = 256
@@ -98,6 +98,18 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda x: _each_text(x, size, body), "doc_id long, n long, id long, head array<long>, need long")
 
 
+def _common(docs: DataFrame, size: int) -> np.ndarray:
+    """Tokens that many documents of a sample have. They only change the order in which tokens are looked at, no result."""
+
+    def body(rows, sets):
+        token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    some = docs.where("doc_id is not null and text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = some.select("doc_id", "text").mapInArrow(lambda x: _each_text(x, size, body), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= MANY)
+    return np.sort(counts.orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toArrow()["token"].to_numpy())
+
+
 def _points(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
     """(id, text, n, keys, cells, tokens) of the rows (id, text) whose text has the set that id names.
 
@@ -233,13 +245,12 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     points = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("need").alias("need"), F.count_if(F.size("head") > 0).alias("heads")))
 
     tokens = sets.select("id", F.explode("head").alias("token"))
-    shared = scratch.keep(tokens.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("token", "m"))
-    common = shared.where(F.col("m") > COMMON).orderBy(F.desc("m"), "token").limit(MOST_COMMON).select("token").toArrow()["token"].to_numpy()
+    shared = scratch.keep(tokens.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("token"))
     scratch.sweep()
-    seen = tokens.join(shared.select("token").hint("shuffle_hash"), "token").groupBy("id").agg(F.count("*").alias("seen"))
+    seen = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("id").agg(F.count("*").alias("seen"))
     chosen = scratch.keep(points.join(seen, "id").where("seen >= need * heads").select("id", "doc_id"))
     scratch.sweep()
-    core = scratch.keep(_points(docs.join(chosen.where(_SOME.format("doc_id")), "doc_id"), np.sort(common), size, percent))
+    core = scratch.keep(_points(docs.join(chosen.where(_SOME.format("doc_id")), "doc_id"), _common(docs, size), size, percent))
     again = core.groupBy("id").count().where("count > 1").select("id")
     if not again.isEmpty():  # rows with equal doc_id and equal sets
         core = scratch.keep(core.join(again, "id", "left_anti").unionByName(core.join(again, "id", "left_semi").dropDuplicates(["id"])))

@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: All runs that still have tables. An operator's result may read from them, so they stay until ``release``.
+LIVE: list[Scratch] = []
+
+
+def release(since: int = 0) -> None:
+    """Deletes all tables of operator runs begun after the first ``since``: for a caller who has stored or used their results."""
+    for scratch in LIVE[since:]:
+        scratch.drop()
+
+
 class Scratch:
     """Tables of one operator run. ``keep`` writes one and reads it back; ``drop`` deletes those no longer needed."""
 
@@ -36,6 +46,7 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.held: list[DataFrame] = []
         self.made = 0
+        LIVE.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -55,6 +66,8 @@ class Scratch:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(hadoop).delete(target, True)
         self.held = [t for t in self.held if tables and not any(t is x for x in tables)]
+        if not tables and self in LIVE:
+            LIVE.remove(self)
 
     def sweep(self) -> None:
         """Lets Spark delete the shuffle files of finished steps: it does so once the driver's garbage is collected."""
