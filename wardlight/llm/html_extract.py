@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import Given
 from .store import Scratch
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript title textarea iframe svg math object head select option".split())
+RAW = frozenset("script style template noscript title textarea iframe svg math object select option".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body center".split())
 BOILERPLATE = frozenset("nav header footer aside form menu button dialog".split())
@@ -25,6 +26,11 @@ PRIOR, COVER = 0.95, 0.5
 #: Words of class, id and role that mark what surrounds an article, and that mark the article itself.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
+#: Words that tell where a part stands or what shape it has, and nothing about what is in it; and those of ASIDE_WORDS that mark even a paragraph or a heading.
+PLACE_WORDS = frozenset("area bar bottom box col column container fixed global group inner item items left link links list main outer page primary right row secondary section site sticky top wrap wrapper".split())
+LINE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner cookie cookies promo promoted sponsor sponsored".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dd dt li td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*\Z|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -32,27 +38,52 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "path", "aside", "weight", "parent", "skip", "words", "linked")
+    __slots__ = ("name", "path", "aside", "lead", "weight", "parent", "words", "linked")
 
-    def __init__(self, name, path, aside, weight, parent):
-        self.name, self.path, self.aside, self.weight, self.parent = name, path, aside, weight, parent
+    def __init__(self, name, path, aside, lead, weight, parent):
+        self.name, self.path, self.aside, self.lead, self.weight, self.parent = name, path, aside, lead, weight, parent
         self.words = self.linked = 0
 
 
-def _marks(rest: str) -> tuple[str, set[str]]:
-    """The generalised class names of a tag, and all words of its class, id and role."""
-    classes, found = [], set()
+def _marks(rest: str) -> tuple[str, set[str], set[str]]:
+    """The generalised class names of a tag, all words of its class, id and role, and those words that alone say what it is.
+
+    A name of several words, such as ``share-prices``, says so only if its other words are words of place.
+    """
+    classes, found, sure = [], set(), set()
     for key, *value in _MARK.findall(rest):
         text = (value[0] or value[1] or value[2]).lower()
-        found.update(re.split(r"[^a-z]+", text))
+        for name in text.split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            found.update(words)
+            if all(w in ASIDE_WORDS or w in PLACE_WORDS for w in words):
+                sure.update(words)
         if key.lower() == "class":
             classes = sorted({re.sub(r"\d+", "#", c) for c in text.split()})
-    return "".join(f".{c}" for c in classes), found
+    return "".join(f".{c}" for c in classes), found, sure & ASIDE_WORDS
+
+
+def _is_aside(name: str, words: set[str], sure: set[str]) -> bool:
+    """Whether an element, by its own marks, stands beside the article."""
+    if name in BOILERPLATE:
+        return True
+    if name in LINES:
+        return bool(sure & LINE_WORDS)
+    return bool(sure) and not (name in ("article", "main", "body", "html") or words & MAIN_WORDS & {"main"} and name in CONTAINER)
+
+
+def _within(node: Node, names) -> bool:
+    while node is not None and node.name not in names:
+        node = node.parent
+    return node is not None
 
 
 def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
-    """(blocks, containers): text blocks in page order with the element they stand in, and all container elements."""
-    root = Node("", "", False, 0.0, None)
+    """(blocks, containers): text blocks in page order with the element they stand in, and all container elements.
+
+    What stands beside the article is marked. Headings in the header of an article belong to it, the rest of that header doesn't.
+    """
+    root = Node("", "", False, False, 0.0, None)
     here, blocks, containers, parts = root, [], [], []
     raw, at, link = None, 0, 0
 
@@ -89,10 +120,9 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
             continue
         ends = bool(m["end"] or m["end2"])
         if raw is not None:
-            if ends and name == raw or raw == "head" and name == "body":
+            if ends and name == raw:
                 raw = None
-            if raw is not None or ends:
-                continue
+            continue
         if ends:
             if name == "a":
                 link = max(0, link - 1)
@@ -115,11 +145,12 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
             here = here.parent
         if name in SAME_CLOSES:
             close(SAME_CLOSES[name], {"ul", "ol", "dl", "table"})
-        shown, words = _marks(m["rest"] or m["rest2"] or "")
+        shown, words, sure = _marks(m["rest"] or m["rest2"] or "")
         mine = words & MAIN_WORDS
-        aside = here.aside or name in BOILERPLATE or bool(words & ASIDE_WORDS) and not (name in ("article", "main", "body", "html") or "main" in mine and name in CONTAINER)
+        lead = here.lead or name == "header" and not here.aside and _within(here, ("article", "main"))
+        aside = here.aside and not (here.lead and name in HEADINGS) or _is_aside(name, words, sure)
         weight = {"article": 1.0, "main": 0.97, "body": 0.7}.get(name, 0.97 if "main" in words else 0.9 if mine else 0.8)
-        here = Node(name, f"{here.path}>{name}{shown}" if name in CONTAINER else here.path, aside, weight, here)
+        here = Node(name, f"{here.path}>{name}{shown}" if name in CONTAINER else here.path, aside, lead and aside, weight, here)
         if name in CONTAINER and not aside:
             containers.append(here)
     if raw is None and at < len(page):
@@ -166,8 +197,9 @@ def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> D
     best score; without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. All
     paths of a host are rows, and none is left out.
 
-    A null or empty page gives an empty text; pages without a host share one vote; repeated rows are treated alike; an
-    empty table gives an empty result; columns named text and _host are replaced.
+    A null or empty page gives an empty text; pages without a host share one vote; of paths with equal support the shortest
+    is taken; html of any length is read whole; repeated rows are treated alike; an empty table gives an empty result; a
+    column named text is replaced, further ones of any name are kept.
     """
     scratch = Scratch(pages.sparkSession, "html")
 
@@ -180,23 +212,27 @@ def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> D
                 out += [(p1, p2, path_key(h, path), score, best, len(path)) for path, score in found]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 6)], ["p1", "p2", "k", "score", "best", "length"])
 
-    kept = [c for c in pages.columns if c not in ("text", "_host", source)]
-    mine = host(F.col(url))
-    names = (F.xxhash64(mine, F.col(source)), F.xxhash64(F.col(source), F.lit(1), mine))
-    cast = scratch.keep(pages.select(source, mine.alias("_mine"), names[0].alias("p1"), names[1].alias("p2")).mapInArrow(ballot, "p1 long, p2 long, k long, score long, best long, length long"))
+    given = Given(pages)
+    kept = given.kept("text", source)
+    mine = host(given[url])
+    names = (F.xxhash64(mine, given[source]), F.xxhash64(given[source], F.lit(1), mine))
+    cast = scratch.keep(given.table.select(given.of(source), mine.alias("mine"), names[0].alias("p1"), names[1].alias("p2")).mapInArrow(ballot, "p1 long, p2 long, k long, score long, best long, length long"))
     n, part = F.count("*"), F.coalesce(F.sum("score") / F.sum("best"), F.lit(PRIOR))
     support = cast.where("best > 0").groupBy("k").agg(((n * part + PRIOR) / (n + 1)).alias("support"))
     own = cast.where(F.col("score") >= COVER * F.col("best")).join(support, "k", "left")
     first = F.struct(F.coalesce("support", F.lit(0.0)).alias("support"), (-F.col("length")).alias("length"), "k")
-    chosen = scratch.keep(own.groupBy("p1", "p2").agg(F.max(first)["k"].alias("_key")))
+    chosen = scratch.keep(own.groupBy("p1", "p2").agg(F.max(first)["k"].alias("chosen")))
     scratch.drop(cast)
-    joined = pages.select(*kept, source, mine.alias("_mine"), names[0].alias("_p1"), names[1].alias("_p2")).join(chosen, (F.col("_p1") == F.col("p1")) & (F.col("_p2") == F.col("p2")), "left").select(*kept, source, "_mine", "_key")
-    schema = joined.select(*kept).schema.add("text", "string")
+    here = given.table.select(*kept, given[source].alias("page"), mine.alias("mine"), names[0].alias("o1"), names[1].alias("o2"))
+    joined = here.join(chosen, (F.col("o1") == F.col("p1")) & (F.col("o2") == F.col("p2")), "left").select(*kept, "page", "mine", "chosen")
+    schema = joined.select(*kept).schema.add("found", "string")
 
     def take(batches):
         for batch in batches:
             columns = [batch.column(i) for i in range(len(kept))]
             texts = [extract(page.as_py() or "", h, key) for page, h, key in zip(batch.column(len(kept)), batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*kept, "text"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*kept, "found"])
 
-    return joined.mapInArrow(take, schema)
+    out = joined.mapInArrow(take, schema)
+    names_out = [(i, c) for i, c in zip(given.inner, given.names, strict=True) if i in kept]
+    return out.select(*(F.col(i).alias(c) for i, c in names_out), F.col("found").alias("text"))

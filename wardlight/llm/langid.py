@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
+from .columns import Given
 
 #: Bytes in a piece that the network reads at once, and of context on either side of it.
 PIECE, CONTEXT = 448, 32
@@ -76,12 +77,60 @@ def probabilities(m: Model, data: np.ndarray, inside: np.ndarray | None = None)
     return logits
 
 
-def train(texts: list[bytes], labels: list[str], hidden: int = 10, length: int = 64, batch: int = 160, rounds: int = 400, rate: float = 0.02, seed: int = 5) -> Model:
-    """Fits the network by backpropagation through time, on random stretches of the texts, with Adam. Every position is to name its text's label."""
+def gradients(w: dict[str, np.ndarray], data: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The loss on byte columns data (T, B) with labels target (B), and its gradient, by backpropagation through time.
+
+    Weights: table (2, 256, 2h), gate and state (2, h, h), out (2, h, k), bias (k). The loss is the mean over letters of
+    minus the log probability of the label.
+    """
+    length, batch = data.shape
+    h, columns = w["gate"].shape[1], np.arange(batch)
+    weight = LETTER[data].astype(w["bias"].dtype)
+    weight /= max(1.0, float(weight.sum()))
+    g = {n: np.zeros_like(x) for n, x in w.items()}
+    both = np.stack([data, data[::-1]])
+    trace, s = [], np.zeros((2, batch, h), dtype=w["bias"].dtype)
+    for t in range(length):
+        x = np.stack([w["table"][d][both[d, t]] for d in range(2)])
+        f = 0.5 * np.tanh(0.5 * (x[:, :, :h] + s @ w["gate"])) + 0.5
+        c = np.tanh(x[:, :, h:] + (f * s) @ w["state"])
+        trace.append((s, f, c))
+        s = s + f * (c - s)
+    after = np.stack([*(x[0] for x in trace[1:]), s], axis=1)
+    forward, backward = after[0], after[1][::-1]
+    logits = forward @ w["out"][0] + backward @ w["out"][1] + w["bias"]
+    p = np.exp(logits - logits.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    loss = float(-(np.log(p[:, columns, target]) * weight).sum())
+    p[:, columns, target] -= 1.0
+    p *= weight[:, :, None]
+    g["bias"] += p.sum(axis=(0, 1))
+    g["out"][0] += np.einsum("tbh,tbk->hk", forward, p, optimize=True)
+    g["out"][1] += np.einsum("tbh,tbk->hk", backward, p, optimize=True)
+    down = np.stack([p @ w["out"][0].T, (p @ w["out"][1].T)[::-1]])
+    ds = np.zeros_like(s)
+    for t in reversed(range(length)):
+        s, f, c = trace[t]
+        ds = ds + down[:, t]
+        dc = ds * f * (1 - c * c)
+        through = dc @ w["state"].transpose(0, 2, 1)
+        df = (ds * (c - s) + through * s) * f * (1 - f)
+        g["state"] += (f * s).transpose(0, 2, 1) @ dc
+        g["gate"] += s.transpose(0, 2, 1) @ df
+        for d in range(2):
+            np.add.at(g["table"][d], both[d, t], np.concatenate([df[d], dc[d]], axis=1))
+        ds = ds * (1 - f) + through * f + df @ w["gate"].transpose(0, 2, 1)
+    return loss, g
+
+
+def train(texts: list[bytes], labels: list[str], hidden: int = 10, length: int = 64, batch: int = 160, rounds: int | None = None, rate: float = 0.02, seed: int = 5) -> Model:
+    """Fits the network on random stretches of the texts, with Adam. Every position is to name its text's label. 400 rounds, or 40 a label if that is more."""
     rng = np.random.Generator(np.random.PCG64(seed))
     names = sorted(set(labels))
     k, h = len(names), hidden
-    which = np.array([names.index(x) for x in labels])
+    rounds = max(400, 40 * k) if rounds is None else rounds
+    number = {x: i for i, x in enumerate(names)}
+    which = np.array([number[x] for x in labels])
     by_label = [np.flatnonzero(which == i) for i in range(k)]
     padded = [np.frombuffer(x.ljust(length, b" "), dtype=np.uint8) for x in texts]
     f32 = lambda *shape, by=1.0: (rng.standard_normal(shape) * by).astype(np.float32)
@@ -91,41 +140,7 @@ def train(texts: list[bytes], labels: list[str], hidden: int = 10, length: int =
         target = rng.integers(0, k, batch)
         rows = [padded[by_label[y][rng.integers(len(by_label[y]))]] for y in target]
         cuts = [int(rng.integers(0, len(x) - length + 1)) for x in rows]
-        data = np.stack([x[c : c + length] for x, c in zip(rows, cuts, strict=True)], axis=1)
-        weight = LETTER[data].astype(np.float32)
-        weight /= max(1.0, float(weight.sum()))
-        g = {n: np.zeros_like(x) for n, x in w.items()}
-        both = np.stack([data, data[::-1]])
-        trace, s = [], np.zeros((2, batch, h), dtype=np.float32)
-        for t in range(length):
-            x = np.stack([w["table"][d][both[d, t]] for d in range(2)])
-            f = 0.5 * np.tanh(0.5 * (x[:, :, :h] + s @ w["gate"])) + 0.5
-            c = np.tanh(x[:, :, h:] + (f * s) @ w["state"])
-            trace.append((s, f, c))
-            s = s + f * (c - s)
-        after = np.stack([*(x[0] for x in trace[1:]), s], axis=1)
-        forward, backward = after[0], after[1][::-1]
-        logits = forward @ w["out"][0] + backward @ w["out"][1] + w["bias"]
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[:, np.arange(batch), target] -= 1.0
-        p *= weight[:, :, None]
-        g["bias"] += p.sum(axis=(0, 1))
-        g["out"][0] += np.einsum("tbh,tbk->hk", forward, p, optimize=True)
-        g["out"][1] += np.einsum("tbh,tbk->hk", backward, p, optimize=True)
-        down = np.stack([p @ w["out"][0].T, (p @ w["out"][1].T)[::-1]])
-        ds = np.zeros((2, batch, h), dtype=np.float32)
-        for t in reversed(range(length)):
-            s, f, c = trace[t]
-            ds = ds + down[:, t]
-            dc = ds * f * (1 - c * c)
-            through = dc @ w["state"].transpose(0, 2, 1)
-            df = (ds * (c - s) + through * s) * f * (1 - f)
-            g["state"] += (f * s).transpose(0, 2, 1) @ dc
-            g["gate"] += s.transpose(0, 2, 1) @ df
-            for d in range(2):
-                np.add.at(g["table"][d], both[d, t], np.concatenate([df[d], dc[d]], axis=1))
-            ds = ds * (1 - f) + through * f + df @ w["gate"].transpose(0, 2, 1)
+        _, g = gradients(w, np.stack([x[c : c + length] for x, c in zip(rows, cuts, strict=True)], axis=1), target)
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         now = rate * min(1.0, 3.0 * (1 - step / (rounds + 1)))
         for n, x in g.items():
@@ -164,23 +179,27 @@ def pooled(m: Model, texts: pa.Array) -> np.ndarray:
         counted = inside & (place >= low[mine]) & (place < high[mine]) & LETTER[block]
         p = probabilities(m, block, inside)
         np.add.at(total, owner[mine], np.einsum("tbk,tb->bk", p, counted.astype(np.float32)).astype(np.float64))
-    letters = np.concatenate([[0], np.cumsum(LETTER[data])])
-    count = letters[offsets[1:]] - letters[offsets[:-1]]
+    count = textops.counts(LETTER[data], offsets)
     return total / np.maximum(count, 1)[:, None]
 
 
-def sample(docs: DataFrame, a_label: int = 300, most_labels: int = 64, width: int = 1200) -> DataFrame:
-    """(lang, text) to learn from: about a_label documents of each label, by a hash of doc_id, and of each text a stretch of ``width`` characters.
+def sample(docs: DataFrame, a_label: int = 300, most_rows: int = 19_200, width: int = 1200) -> DataFrame:
+    """(lang, text) to learn from: about a_label documents of each label, by a hash of doc_id, and of each text a stretch of ``width`` characters from a place chosen by hash.
 
-    The bound is a_label times most_labels rows; labels beyond the most frequent most_labels are not learned.
+    The bound is most_rows. With so many labels that a_label documents of each would exceed it, each has less, but one at least of any label
+    up to most_rows labels.
     """
-    known = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
+    known = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    labels = max(1, counts.count())
+    share = max(1, min(a_label, most_rows // labels))
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place < F.lit(int(min(1.0, a_label / r["count"]) * (1 << 40)))))
-    return known.where(chosen).orderBy(place, "doc_id", "text").limit(a_label * most_labels).select("lang", F.substring("text", 1, width).alias("text"))
+    # twice the share, so that hashing leaves each label enough; exactly the share is taken of these few
+    near = known.withColumn("place", place).join(counts, "lang").where(F.col("place") < F.least(F.lit(1.0), (2 * share + 40) / F.col("n")) * float(1 << 40))
+    room = F.greatest(F.lit(1), F.char_length("text") - width + 1)
+    stretch = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit("stretch")), room) + 1).cast("int"), F.lit(width))
+    ranked = near.select("lang", "place", "doc_id", stretch.alias("text")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text")))
+    return ranked.where(F.col("rank") <= share).orderBy("place", "doc_id", "text", "lang").limit(most_rows).select("lang", "text")
 
 
 def fit(docs: DataFrame, **options) -> Model | None:
@@ -196,12 +215,15 @@ def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("la
     """All columns of docs that don't clash, with lang_pred and score (0 to 1; or so named), from the whole text alone.
 
     Every byte of a text gets label probabilities from both directions; over letters they are averaged, the label with
-    the largest mean is lang_pred, and this mean is score. A null text or one without a letter has ``und`` and score 0,
-    and so has every text if there is no model; repeated rows are judged alike; an empty table gives an empty result.
+    the largest mean is lang_pred (of equal ones the first by code point), and this mean is score. A null text or one
+    without a letter has ``und`` and score 0, and so has every text if there is no model; repeated rows are judged alike;
+    a text of any length is read whole, in pieces; an empty table gives an empty result. Columns with the names of the
+    added ones are replaced, further ones of any name are kept.
     """
-    kept = [c for c in docs.columns if c not in (*names, "_text")]
-    text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
+    given = Given(docs)
+    kept = given.kept(*names)
+    text = F.when(given["text"].rlike(r"\p{L}"), given["text"])
+    schema = given.table.select(*kept).schema.add("label", "string").add("mean", "double")
 
     def run(batches):
         for batch in batches:
@@ -217,4 +239,4 @@ def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("la
                             labels[i], scores[i] = model.labels[best[i]], min(1.0, round(float(p[i, best[i]]), 4))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return docs.select(*kept, text.alias("_text")).mapInArrow(run, schema)
+    return given.back(given.table.select(*kept, text.alias("whole")).mapInArrow(run, schema), **{names[0]: "label", names[1]: "mean"})

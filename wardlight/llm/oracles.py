@@ -37,8 +37,9 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IN (SELECT node F
 
 OP5 = r"""
 WITH doc AS (
-  SELECT doc_id, source, CAST(coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-thin AS (SELECT source, doc_id, CAST(sum(size) AS BIGINT) AS size FROM doc GROUP BY source, doc_id),
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS name,
+    CAST(coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+thin AS (SELECT source, name, CAST(sum(size) AS BIGINT) AS size FROM doc GROUP BY source, name),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS w
   FROM thin GROUP BY source),
@@ -48,16 +49,16 @@ lev AS (
   FROM cap WINDOW f AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goal AS (SELECT source, source_size, budget, least(cap, coalesce(w * (SELECT max(lv) FROM lev WHERE lv * w <= cap), cap)) AS target FROM lev),
 line AS (
-  SELECT t.source, t.doc_id, t.size, e.epoch, md5(coalesce(CAST(t.doc_id AS VARCHAR), '') || ':' || e.epoch || ':17') AS place, g.target, g.budget
+  SELECT t.source, t.name, t.size, e.epoch, md5(t.name || ':' || e.epoch || ':17') AS place, g.target, g.budget
   FROM thin t JOIN goal g ON t.source IS NOT DISTINCT FROM g.source, (VALUES (1), (2)) e(epoch) WHERE t.size > 0 AND g.target > 0),
 fin AS (
-  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY epoch, place, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) / target AS finish FROM line),
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY epoch, place, name ROWS UNBOUNDED PRECEDING) AS DOUBLE) / target AS finish FROM line),
 tot AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, epoch, place, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM fin),
-took AS (SELECT source, doc_id, count(*) AS repeats FROM tot WHERE total <= budget GROUP BY source, doc_id)
+  SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, epoch, place, name ROWS UNBOUNDED PRECEDING) AS total FROM fin),
+took AS (SELECT source, name, count(*) AS repeats FROM tot WHERE total <= budget GROUP BY source, name)
 SELECT d.doc_id, d.size, g.source_size, g.target, CAST(d.size * coalesce(k.repeats, 0) AS BIGINT) AS taken
 FROM doc d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
-LEFT JOIN took k ON d.source IS NOT DISTINCT FROM k.source AND d.doc_id IS NOT DISTINCT FROM k.doc_id
+LEFT JOIN took k ON d.source IS NOT DISTINCT FROM k.source AND d.name = k.name
 """
 
 OP6 = r"""

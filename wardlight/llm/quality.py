@@ -51,14 +51,14 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     w = textops.words(data, offsets, textops.VISIBLE, False)
     lines = textops.words(data, offsets, _NOT_NEWLINE, False)
     n_texts, n = len(texts), len(w.hash)
-    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    chars = letters[w.end] - letters[w.start]
+    inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that begin no character
+    chars = w.end - w.start - (np.searchsorted(inner, w.end) - np.searchsorted(inner, w.start))
     owner = np.repeat(np.arange(n_texts), np.diff(w.first))
     salt = textops.mix(np.arange(n_texts, dtype=np.uint64) + np.uint64(1))
     per_text = lambda values, of: np.bincount(of, weights=values, minlength=n_texts).astype(np.int64)
     out = {"n_words": np.diff(w.first), "word_chars": per_text(chars, owner)}
-    symbols = np.concatenate([[0], np.cumsum(SYMBOLS[data])])
-    out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
+    symbols = np.flatnonzero(SYMBOLS[data])
+    out["n_symbols"] = np.diff(np.searchsorted(symbols, offsets))
 
     line_owner = np.repeat(np.arange(n_texts), np.diff(lines.first))
     inside = np.searchsorted(w.start, lines.end) - np.searchsorted(w.start, lines.start)
@@ -99,8 +99,8 @@ def repetition_quality(docs: DataFrame) -> DataFrame:
     lines equal to an earlier one, are set against all word characters. ``base_failed``: fewer than 50 words, or over
     half of all words in 3-word runs that occur twice or more. ``kept``: not so, and no share above its limit.
 
-    A null or empty text has no words and fails; repeated rows are judged alike; an empty table gives an empty result;
-    further columns are ignored.
+    A null or empty text has no words and fails; repeated rows are judged alike; a text of any length is measured whole, in
+    memory of some hundred bytes a word; an empty table gives an empty result; further columns are ignored.
     """
     names = ["doc_id", *_COUNTS]
 

@@ -1,8 +1,8 @@
 """Words and their hashes, straight from the buffers of an Arrow string column.
 
 Nothing here makes a Python string a word: bytes are classed by a table, words are runs of a class, and a word's hash is
-a polynomial of its bytes modulo 2**64, summed in one pass. Long texts go in pieces that end between words, so memory
-stays bounded whatever the length of a text.
+a polynomial of its bytes modulo 2**64, summed in one pass. Long texts go in pieces that end between words, so beyond
+some numbers for each word, memory doesn't grow with the length of a text.
 """
 
 from __future__ import annotations
@@ -114,3 +114,13 @@ def groups(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield at, min(stop, len(column))
         at = stop
+
+
+def counts(member: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many places of each text are true."""
+    size = np.diff(offsets)
+    out = np.zeros(len(size), dtype=np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(member, offsets[some], dtype=np.int64)
+    return out

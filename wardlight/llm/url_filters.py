@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import Given
 from .components import connected_components
 from .store import Scratch
 
@@ -79,30 +80,32 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     Pages that redirect to or name each other as canonical are one resource: connected components over ``redirects``
     (from_url, to_url) and the links in the pages themselves. A page under a rule takes the verdict of that rule, so an
     explicit allow always stands; another page is blocked if a page or a mere target of its component is blocked by a
-    rule, and else allowed. Rows with a null url, or a url without ``://``, have an empty host and path, no rule and no alias; a null
-    html has no links; repeated rows are judged alike; an empty table gives an empty result. Columns of the input
-    with the names of the added ones are replaced.
+    rule, and else allowed. Rows with a null url, or a url without ``://``, have an empty host and path, no rule and no
+    alias; a null html has no links; html of any length is read whole; repeated rows are judged alike; an empty table gives
+    an empty result. Columns of the input with the names of the added ones are replaced, further ones of any name are kept.
     """
     scratch = Scratch(pages.sparkSession, "url")
     whole = lambda p: F.struct(p["host"].alias("host"), p["path"].alias("path"), matched_rule(p["host"], p["path"], rules).alias("rule"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "decided_by", "_rule", "_node")]
-    sources = [link_edges(pages, url, html)] if html else []
+    given = Given(pages)
+    link = given[url]
+    sources = [link_edges(given.table, given.of(url), given.of(html))] if html else []
     if redirects is not None:
         sources.append(redirects.select(node(F.col("from_url")).alias("a"), node(F.col("to_url")).alias("b")))
-    judged = pages.select(*[F.col(c) for c in kept], _let(parts(F.col(url)), whole).alias("_rule"))
-    own = F.col("_rule.rule.verdict")
+    judged = given.table.withColumn("found", _let(parts(link), whole))
+    own = F.col("found.rule.verdict")
     members = connected_components(reduce(DataFrame.unionByName, sources), scratch) if sources else None
     if members is None or members.isEmpty():
         verdict, by = F.coalesce(own, F.lit("allow")), F.when(own.isNotNull(), "rule").otherwise("default")
         scratch.drop()
     else:
         members = scratch.keep(members)
-        ruled = judged.where(own == "block").select(node(F.col(url)).alias("node")).distinct()
+        ruled = judged.where(own == "block").select(node(link).alias("node")).distinct()
         named = parts(F.concat(F.lit("http://"), F.col("node")))
         listed = members.where(_let(named, lambda p: matched_rule(p["host"], p["path"], rules))["verdict"] == "block").select("component")
         bad = members.join(ruled, "node", "left_semi").select("component").unionByName(listed).distinct()
-        shut = scratch.keep(members.join(bad, "component", "left_semi").select(F.col("node").alias("_shut")).distinct())
-        judged = judged.withColumn("_node", node(F.col(url))).join(shut, F.col("_node") == F.col("_shut"), "left")
-        verdict = F.coalesce(own, F.when(F.col("_shut").isNotNull(), "block"), F.lit("allow"))
-        by = F.when(own.isNotNull(), "rule").when(F.col("_shut").isNotNull(), "alias").otherwise("default")
-    return judged.select(*[F.col(c) for c in kept], F.col("_rule.host").alias("host"), F.col("_rule.path").alias("path"), F.col("_rule.rule.rule").alias("rule"), verdict.alias("verdict"), by.alias("decided_by"))
+        shut = scratch.keep(members.join(bad, "component", "left_semi").select(F.col("node").alias("shut")).distinct())
+        scratch.drop(*[t for t in scratch.held if t is not shut])
+        judged = judged.withColumn("node", node(link)).join(shut, F.col("node") == F.col("shut"), "left")
+        verdict = F.coalesce(own, F.when(F.col("shut").isNotNull(), "block"), F.lit("allow"))
+        by = F.when(own.isNotNull(), "rule").when(F.col("shut").isNotNull(), "alias").otherwise("default")
+    return given.back(judged, host="found.host", path="found.path", rule="found.rule.rule", verdict=verdict, decided_by=by)
