@@ -80,17 +80,29 @@ def _head(n: int, percent: int) -> int:
     return min(n, window(n, percent) + window(n, percent) // 8 + 4)
 
 
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _ordered(sets: list[np.ndarray], common: np.ndarray) -> list[np.ndarray]:
+    """Each set in the order of its tokens' numbers, but with common ones (sorted) last."""
+    if not len(common) or not sets:
+        return sets
+    tokens = np.concatenate(sets)
+    late = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens = tokens[np.argsort(2 * owner + late, kind="stable")]
+    return np.split(tokens, np.cumsum([len(s) for s in sets])[:-1])
+
+
+def signatures(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
     """(doc_id, n, id, head, need): set size, 64 bits that name the set, its first tokens, and how many of these others must share.
 
-    Of equal sets that come together one has a head.
+    The order of tokens has common ones last, so a shared boilerplate makes no document a candidate. Of equal sets that
+    come together one has a head.
     """
 
     def body(rows, sets):
         names, first = [_name(s) for s in sets], {}
         for i, x in enumerate(names):
             first.setdefault(x, i)
-        heads = [s[: _head(len(s), percent)] if first[x] == i else s[:0] for i, (s, x) in enumerate(zip(sets, names, strict=True))]
+        heads = [s[: _head(len(s), percent)] if first[x] == i else s[:0] for i, (s, x) in enumerate(zip(_ordered(sets, common), names, strict=True))]
         need = [_least_shared(len(s), percent) if len(s) else 0 for s in sets]
         columns = [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), _lists(heads), pa.array(need, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "id", "head", "need"])
@@ -121,8 +133,7 @@ def _points(rows: DataFrame, common: np.ndarray, size: int, percent: int) -> Dat
         names = [_name(s) for s in sets]
         good = [i for i, (x, y) in enumerate(zip(names, rows.column(0).to_pylist(), strict=True)) if x == y]
         sets, rows = [sets[i] for i in good], rows.take(pa.array(good, pa.int64()))
-        late = [np.isin(s, common, assume_unique=True, kind="sort") if len(common) else np.zeros(len(s), dtype=bool) for s in sets]
-        first = [np.concatenate([s[~x], s[x]])[: window(len(s), percent)] for s, x in zip(sets, late, strict=True)]
+        first = [s[: window(len(s), percent)] for s in _ordered(sets, common)]
         keys = [np.array([textops.mix(s.view(np.uint64) + np.uint64(r)).min() for r in range(ROUNDS)], dtype=np.uint64).view(np.int64) for s in sets]
         counts = [np.minimum(np.bincount((s.view(np.uint64) >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
         columns = [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), _lists(keys), pa.array(counts, pa.binary()), _lists(first)]
@@ -240,7 +251,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = PERCENT) -
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.keep(signatures(docs, size, percent))
+    common = _common(docs, size)
+    signed = scratch.keep(signatures(docs, common, size, percent))
     sets = signed.where("n > 0 and doc_id is not null")
     points = scratch.keep(sets.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("need").alias("need"), F.count_if(F.size("head") > 0).alias("heads")))
 
@@ -250,7 +262,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     seen = tokens.join(shared.hint("shuffle_hash"), "token").groupBy("id").agg(F.count("*").alias("seen"))
     chosen = scratch.keep(points.join(seen, "id").where("seen >= need * heads").select("id", "doc_id"))
     scratch.sweep()
-    core = scratch.keep(_points(docs.join(chosen.where(_SOME.format("doc_id")), "doc_id"), _common(docs, size), size, percent))
+    core = scratch.keep(_points(docs.join(chosen.where(_SOME.format("doc_id")), "doc_id"), common, size, percent))
     again = core.groupBy("id").count().where("count > 1").select("id")
     if not again.isEmpty():  # rows with equal doc_id and equal sets
         core = scratch.keep(core.join(again, "id", "left_anti").unionByName(core.join(again, "id", "left_semi").dropDuplicates(["id"])))

@@ -76,18 +76,29 @@ class Scratch:
 
 
 @contextmanager
-def filtered_scans(spark):
-    """Within this, Spark may send a Bloom filter of a join's small side to the scan of the other, so that texts which no join needs aren't shuffled.
-
-    The filter has a fixed size; beyond its capacity it lets more through, and the join decides in any case.
-    """
-    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "1MB", "creationSideThreshold": "1TB"}
-    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in wanted.items()}
-    before = {k: spark.conf.get(k) for k in names}
+def settings(spark, **wanted: str):
+    """Within this, the session has these settings (dots of a name as two underscores)."""
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
     try:
         for k, v in names.items():
             spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shuffled_joins(spark):
+    """Within this, no table is broadcast whatever its size, so a plan that holds for small tables holds for large ones."""
+    return settings(spark, autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1")
+
+
+def filtered_scans(spark):
+    """Within this, no table is broadcast, but Spark may send a Bloom filter of a join's small side to the scan of the other, so that texts which no join needs aren't shuffled.
+
+    The filter has a fixed size; beyond its capacity it lets more through, and the join decides in any case.
+    """
+    bloom = "optimizer__runtime__bloomFilter__"
+    wanted = {f"{bloom}enabled": "true", f"{bloom}applicationSideScanSizeThreshold": "1KB", f"{bloom}creationSideThreshold": "1TB"}
+    return settings(spark, autoBroadcastJoinThreshold="-1", adaptive__autoBroadcastJoinThreshold="-1", **wanted)
