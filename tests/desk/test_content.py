@@ -1,10 +1,12 @@
 import json
+import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from wardlight.functions import mail, urls
-from wardlight.operators import actions, aliases, assets, injection, phishing, search, sigma
+from wardlight.operators import actions, aliases, assets, feedback, injection, phishing, search, sigma
 from wardlight.sources import ecs, external, sinks
 from wardlight.sources import ledger as lg
 from wardlight.streaming import desk
@@ -59,10 +61,25 @@ def test_hosts_as_a_browser_reads_them(spark):
     assert one(spark, urls.decode_punycode(F.lit("xn--mnchen-3ya.de"))) == "münchen.de"
 
 
-def test_authentication_results():
-    got = mail.parse_auth_results('mx; spf=pass (a (b; c)) smtp.mailfrom="x@y.com"; dkim=fail header.d=y.com; dkim=pass header.d=z.com; note="a;b"; DMARC=None')
-    assert got == {"spf": [{"result": "pass", "smtp.mailfrom": "x@y.com"}], "dkim": [{"result": "fail", "header.d": "y.com"}, {"result": "pass", "header.d": "z.com"}], "dmarc": [{"result": "none"}]}
-    assert mail.parse_auth_results(None) == {}
+def parsed(spark, header):
+    got = one(spark, mail.auth_results(F.lit(header).cast("string")))
+    return [(e["method"], e["result"], {p["key"]: p["value"] for p in e["props"]}) for e in got]
+
+
+def test_authentication_results(spark):
+    got = parsed(spark, 'mx; spf=pass (a (b; c)) smtp.mailfrom="x@y.com"; dkim=fail header.d=y.com; dkim=pass header.d=z.com; note="a;b"; DMARC=None')
+    assert got == [("spf", "pass", {"smtp.mailfrom": "x@y.com"}), ("dkim", "fail", {"header.d": "y.com"}), ("dkim", "pass", {"header.d": "z.com"}), ("dmarc", "none", {})]
+    assert parsed(spark, None) == [] and parsed(spark, "") == [] and parsed(spark, "mx; spf") == []
+    assert parsed(spark, r'mx; dmarc="pass; spf=fail" header.from=a\;b; spf=pass reason="un closed; dkim=pass') == [("dmarc", "pass; spf=fail", {"header.from": r"a\;b"}), ("spf", "pass", {"reason": "un closed; dkim=pass"})]
+
+
+def test_trace_stamps(spark):
+    hops = [
+        "from b by c; Mon, 01 Jan 2024 10:00:00 +0000", "from a; 1 Jan 24 12:00 +0200 (CEST)", "x; Mon, 01 Jan 2024 05:00:00 EST", "no date", "y; Mon, 99 Foo 2024 00:00:00 +0000", "z; Sat, 30 Dec 2023 23:59:59 -0030",
+    ]
+    got = one(spark, mail.hop_seconds(F.array(*map(F.lit, hops), F.lit(None).cast("string"))))
+    assert got == [1703982599.0, 1704103200.0, 1704103200.0, 1704103200.0]
+    assert one(spark, mail.hop_seconds(F.lit(None).cast("array<string>"))) == []
 
 
 ATT = "array<struct<name:string,mime:string,urls:array<string>,qr_urls:array<string>,encrypted:boolean>>"
@@ -192,8 +209,15 @@ def test_rotation_archives_first_and_refuses_growth(spark, tmp_path):
     with pytest.raises(RuntimeError):
         sinks.rotate(spark, classed, path, archive, 3)
     assert sinks.rotate(spark, classed, path, archive, 2).count() == 1
-    sinks.publish_staged(spark, path)
+    with pytest.raises(RuntimeError, match="grown"):
+        sinks.publish_staged(spark, path, 1)
+    sinks.publish_staged(spark, path, 2)
     assert [r["alert_id"] for r in spark.read.parquet(path).collect()] == ["b"] and spark.read.parquet(archive).count() == 1
+    with pytest.raises(RuntimeError, match="publish"):  # nothing is staged any more: the ledger comes back
+        sinks.publish_staged(spark, path, 1)
+    assert spark.read.parquet(path).count() == 1 and not sinks.recover(spark, path)
+    os.rename(tmp_path / "l", tmp_path / "l.before")
+    assert sinks.recover(spark, path) and spark.read.parquet(path).count() == 1
 
 
 def drain(df, mode, name):
@@ -217,6 +241,8 @@ def test_streams(spark, tmp_path):
     assert [r["suppress"] for r in got] == [False, True, True, False, False, True]
     last = {r["alert_id"]: (r["uid"], r["n"]) for r in drain(desk.latest_by_key(stream), "update", "last").collect()}
     assert last["a"] == ("5", 2)
+    records = {r["alert_id"]: json.loads(r["record"]) for r in spark.sql("SELECT * FROM last").collect()}
+    assert records["a"] == {"alert_id": "a", "uid": "5", "fingerprint": "f", "is_real": True}
 
 
 def test_tail_takes_each_record_once(spark, tmp_path):
@@ -227,13 +253,87 @@ def test_tail_takes_each_record_once(spark, tmp_path):
     assert sorted(r["uid"] for r in got.collect()) == ["u1", "u2"] and got.first()["alert_id"] == "A"
 
 
-def test_desk_loop_appends_once(spark, tmp_path):
+def test_desk_loop_loses_no_alert(spark, tmp_path):
     schema = "written_at timestamp, uid string, score int"
-    spark.sql("SELECT timestamp'2026-01-01' AS written_at, CAST(id AS STRING) AS uid, CAST(id AS INT) AS score FROM range(15)").coalesce(1).write.parquet(str(tmp_path / "q"))
+    spark.sql("SELECT timestamp'2026-01-01' AS written_at, lpad(CAST(id AS STRING), 3, '0') AS uid, CAST(id AS INT) AS score FROM range(25)").coalesce(1).write.parquet(str(tmp_path / "q"))
     alerts = spark.readStream.schema(schema).parquet(str(tmp_path / "q"))
+    taken = []
+
+    def work(batch):
+        taken.append(sorted(r["score"] for r in batch.collect()))
+        return batch.select("uid", "score")
+
     for k in range(2):
-        desk.run_desk(alerts, lambda b: b.select("uid", "score"), str(tmp_path / "out"), str(tmp_path / f"cp{k}"), once=True).awaitTermination()
-    assert sorted(r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(5, 15))
+        desk.run_desk(alerts, work, str(tmp_path / "out"), str(tmp_path / f"cp{k}"), once=True).awaitTermination()
+    assert sorted(r["score"] for r in spark.read.parquet(str(tmp_path / "out" / "results")).collect()) == list(range(25))
+    assert taken == [list(range(15, 25)), list(range(5, 15)), list(range(5))]
+
+
+def test_alerts_without_result_come_again(spark, tmp_path):
+    root = str(tmp_path / "out")
+    pending = spark.sql("SELECT timestamp'2026-01-01' AS written_at, lpad(CAST(id AS STRING), 3, '0') AS uid, CAST(id AS INT) AS score FROM range(6)")
+    lg.append_once(spark, pending, f"{root}/pending")
+    some = lambda b: b.where("score <> 5").select("uid", "score")
+    assert [desk.one_cycle(spark, some, root, 4) for _ in range(3)] == [4, 3, 1]
+    assert desk.one_cycle(spark, lambda b: b.select("uid", "score"), root, 4) == 1 and desk.one_cycle(spark, some, root, 4) == 0
+
+
+def test_steps_are_written_in_order_and_resumed(spark, tmp_path):
+    batch, root = spark.createDataFrame([("u1",), ("u2",)], "uid string"), str(tmp_path / "d")
+    fail = lambda b: b.select("nothing")
+    with pytest.raises(Exception, match="nothing"):
+        desk.write_in_order(spark, batch, {"closure": fail, "investigation": lambda b: b, "progress": lambda b: b}, root)
+    assert sorted(os.listdir(root)) == ["investigation"]
+    assert desk.write_in_order(spark, batch, dict.fromkeys(desk.STEPS, lambda b: b), root) == {"investigation": 0, "results": 2, "status": 2, "closure": 2, "progress": 2}
+    with pytest.raises(ValueError, match="unknown"):
+        desk.write_in_order(spark, batch, {"other": fail}, root)
+
+
+def test_feedback_takes_changed_rulings_of_ours_once(spark, tmp_path):
+    schema = "written_at timestamp, uid string, alert_id string, case_id string, human_verdict string, summary string"
+    at = datetime(2026, 1, 1)
+    rows = [(at, "1", "A", "C1", "true_positive", "x"), (at, "2", "A", "C1", "false_positive", "y"), (at, "3", "B", "C9", "true_positive", ""), (at, "4", "N", "C3", "true_positive", ""), (at, "5", "D", "C4", "maybe", ""), (at, "6", "E", "C5", "true_positive", None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(at, x, x, c) for x, c in (("A", "C1"), ("B", "C2"), ("D", "C4"), ("E", "C5"))], "written_at timestamp, uid string, alert_id string, case_id string").write.parquet(str(tmp_path / "created"))
+    spark.createDataFrame([(at, "0", "E", "C5", "true_positive", "")], schema).write.parquet(str(tmp_path / "rulings"))
+    for k in range(2):
+        desk.run_feedback(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "created"), str(tmp_path / "rulings"), str(tmp_path / f"cp{k}"), once=True).awaitTermination()
+    assert sorted(r["uid"] for r in spark.read.parquet(str(tmp_path / "rulings")).collect()) == ["0", "2"]
+    got = {r["alert_id"]: r["refused"] for r in feedback.judged_rulings(spark.read.parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "created"))).collect()}
+    assert got == {"A": None, "B": "id mismatch", "N": "no local record", "D": "unknown verdict", "E": None}
+
+
+def test_migration_runs_twice_and_stamps_increase(spark, tmp_path):
+    rows = [(datetime(2026, 1, 1, 0, 0, i // 3), f"u{i}", f"A{i % 4}", "r", None, "me") for i in range(12)]
+    local = spark.createDataFrame(rows, "written_at timestamp, uid string, alert_id string, reason string, closed_at timestamp, writer string")
+    empty = spark.createDataFrame([], "uid string, ledger string, writer string, written_at timestamp, record string")
+    first = lg.migrate(local, empty, "closures", "desk").collect()
+    stamps = sorted(r["written_at"] for r in first)
+    assert len(first) == 12 and len(set(stamps)) == 12 and len({r["uid"] for r in first}) == 12
+    half = spark.createDataFrame(first[:5], empty.schema)
+    assert {r["uid"] for r in lg.migrate(local, half, "closures", "desk").collect()} == {r["uid"] for r in first[5:]}
+    assert lg.migrate(local, spark.createDataFrame(first, empty.schema), "closures", "desk").count() == 0
+
+
+def test_backend_is_not_reverted_unnoticed():
+    assert lg.choose_backend(None, True, False) == "local" and lg.choose_backend("shared", True, True) == "shared" and lg.choose_backend("shared", True, False, True) == "shared"
+    for wanted, local, shared in (("shared", True, False), (None, False, True), ("local", True, True), ("disk", False, False)):
+        with pytest.raises(ValueError, match="."):
+            lg.choose_backend(wanted, local, shared)
+
+
+def test_a_line_that_is_being_written_is_left_out(spark, tmp_path):
+    root = tmp_path / "ledger=closures"
+    root.mkdir()
+    (root / "a.json").write_text('{"alert_id":"A","uid":"1"}\n{"alert_id":"B","uid":"2"}\n{"alert_id":"C","ui')
+    (root / "b.json").write_text('{"alert_id":"D","uid":"4"}\n')
+    assert sorted(r["alert_id"] for r in lg.read_ledger(spark, str(tmp_path), "closures").collect()) == ["A", "B", "D"]
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    try:
+        with pytest.raises(ValueError, match="ignoreCorruptFiles"):
+            lg.read_ledger(spark, str(tmp_path), "closures")
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
 
 
 def test_normalized_hits_nested_and_dotted(spark):

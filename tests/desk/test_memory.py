@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -111,9 +112,18 @@ def test_suppression_tests_in_order(spark):
 
 
 def test_signature_drops_measures_and_keeps_words():
-    sig = dedup.semantic_signature
+    sig = lambda x: json.loads(dedup.semantic_signature(json.dumps(x)) or "null")
     assert sig({"n": 4, "t": "2026-04-19T03:14:22Z", "x": "12", "message": "try 17 of 30", "ok": True, "e": {}, "l": ["b", 3, "a"]}) == {"message": "try # of #", "ok": True, "l": ["a", "b"]}
-    assert sig({"a": None, "b": [1, {}]}) is None
+    assert sig({"a": None, "b": [1, {}]}) is None and sig([1]) is None and dedup.semantic_signature("no json") is None and dedup.semantic_signature(None) is None
+    assert sig({"host": "h", "in": {"host": "k", "Message": ["a 1", ["b 2"]], "x": [{"y": "1.5"}, {"y": "v"}]}}) == {"in": {"host": "k", "Message": ["a #", ["b #"]], "x": [{"y": "v"}]}}
+
+
+def test_fingerprints_tell_what_signatures_tell(spark):
+    logs = ['{"a":"x","n":1}', '{"n":2,"a":"x"}', '{"a":"y","n":1}', '{"message":"at 5"}', '{"message":"at 77"}', None, "broken", '{"l":["q","r"]}', '{"l":["r","q"]}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(logs)], "i int, log string")
+    got = {r["i"]: r["f"] for r in df.select("i", dedup.fingerprint(F.lit("s"), F.lit("low"), F.lit("t"), F.lit("h"), F.array(F.lit("b"), F.lit("a")), F.col("log")).alias("f")).collect()}
+    same = [[i for i in got if got[i] == got[j]] for j in got]
+    assert same == [[0, 1], [0, 1], [2], [3, 4], [3, 4], [5, 6], [5, 6], [7, 8], [7, 8]]
 
 
 def test_gates(spark):

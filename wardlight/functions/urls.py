@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,15 +87,15 @@ def mixed_script(text: Column) -> Column:
     return F.exists(F.split(F.coalesce(text, F.lit("")), r"[\s@._\-<>()\"',]+"), lambda w: (F.length(w) > 1) & (count(w) > 1))
 
 
-@F.udf(T.StringType())
-def decode_punycode(h):
-    """Labels with xn-- as they are shown; a label that can't be decoded stays."""
-    if h is None:
-        return None
-    out = []
-    for label in h.split("."):
+@F.pandas_udf(T.StringType())
+def decode_punycode(hosts: pd.Series) -> pd.Series:
+    """Labels with xn-- as they are shown; a label that can't be decoded stays. Whole batches; only hosts with such a label are touched."""
+
+    def shown(label: str) -> str:
         try:
-            out.append(label.encode("ascii").decode("idna") if label.startswith("xn--") else label)
+            return label.encode("ascii").decode("idna") if label.startswith("xn--") else label
         except (UnicodeError, ValueError):
-            out.append(label)
-    return ".".join(out)
+            return label
+
+    marked = hosts.str.contains("xn--", regex=False, na=False)
+    return hosts.where(~marked, hosts[marked].map(lambda h: ".".join(map(shown, h.split(".")))))

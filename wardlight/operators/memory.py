@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nz
-from ..sources.ledger import ORDER, last_wins
+from ..sources.ledger import ORDER, last_wins, latest
 
 CORRELATION_HOURS = 72
 CAMPAIGN_SIZE = 2
@@ -24,8 +24,8 @@ def prior_sightings(probes: DataFrame, ledger: DataFrame, rulings: DataFrame) ->
     hits = mine.join(theirs, "ioc").where("alert_id <> probe_id")
     records = hits.groupBy("probe_id", "alert_id", *ORDER).agg(F.array_sort(F.collect_set("ioc")).alias("matched_iocs"), *(F.first(c).alias(c) for c in ("timestamp", "verdict", "confidence", "title")))
     last = last_wins(records, "probe_id", "alert_id")
-    latest = last_wins(rulings, "alert_id").select("alert_id", "human_verdict", F.col("summary").alias("human_summary"))
-    return last.join(latest, "alert_id", "left").select("probe_id", "alert_id", "timestamp", "verdict", "confidence", "title", "matched_iocs", "human_verdict", "human_summary")
+    ruled = latest(rulings, "alert_id", "human_verdict", "summary").withColumnRenamed("summary", "human_summary")
+    return last.join(ruled, "alert_id", "left").select("probe_id", "alert_id", "timestamp", "verdict", "confidence", "title", "matched_iocs", "human_verdict", "human_summary")
 
 
 def related_records(probes: DataFrame, ledger: DataFrame, hours: int = CORRELATION_HOURS) -> DataFrame:
@@ -96,9 +96,16 @@ def queue(scored: DataFrame, most: int | None = None) -> DataFrame:
     return ordered if most is None else ordered.limit(most)
 
 
-def queue_rank(scored: DataFrame) -> DataFrame:
-    """Each alert's place in the queue, as a column. Scores are few, so ranks within a score are joined to the sizes of the higher ones."""
-    inner = scored.withColumn("_n", F.row_number().over(Window.partitionBy("score").orderBy(*ORDER)))
-    sizes = scored.groupBy("score").count()
-    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(ahead.select("score", "_ahead"), "score").withColumn("rank", (F.col("_n") + F.col("_ahead")).cast("long")).drop("_n", "_ahead")
+def queue_rank(scored: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Each alert's place in the queue, as a column.
+
+    Alerts are numbered within their score and hour, and the sizes of what comes before are added: no task sorts a whole
+    score, and the window that adds them up has one row for each score and hour.
+    """
+    scored = scored.withColumn("_span", F.floor(F.unix_seconds("written_at") / seconds))
+    inner = scored.withColumn("_n", F.row_number().over(Window.partitionBy("score", "_span").orderBy(*ORDER)))
+    sizes = scored.groupBy("score", "_span").count()
+    before = Window.orderBy(F.desc("score"), "_span").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select(F.col("score").alias("_s"), F.col("_span").alias("_t"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    joined = inner.join(ahead, F.col("score").eqNullSafe(F.col("_s")) & F.col("_span").eqNullSafe(F.col("_t")))
+    return joined.withColumn("rank", (F.col("_n") + F.col("_ahead")).cast("long")).drop("_n", "_ahead", "_span", "_s", "_t")

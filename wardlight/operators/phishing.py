@@ -26,26 +26,30 @@ def _any(cs) -> Column:
 
 
 def identify(messages: DataFrame) -> DataFrame:
-    """Adds who sent the message and what was authenticated; spf_aligned and dkim_aligned are null where a side isn't known."""
-    m = messages.withColumn("_from", F.try_element_at("from_header", F.lit(1))).withColumn("header_from", mail.address(F.col("_from")))
-    m = m.withColumn("auth", mail.auth_results(F.try_element_at("auth_results", F.lit(1))))
-    m = m.withColumn("spf", mail.method(F.col("auth"), "spf")).withColumn("dmarc", mail.method(F.col("auth"), "dmarc")).withColumn("compauth", mail.method(F.col("auth"), "compauth"))
-    m = m.withColumn("from_domain", F.coalesce(mail.domain_of(F.col("header_from")), F.try_element_at("dmarc", F.lit("header.from"))))
-    sender = F.when(~F.try_element_at("spf", F.lit("smtp.mailfrom")).isin("<>", "", "@"), F.try_element_at("spf", F.lit("smtp.mailfrom")))
-    m = m.withColumn("envelope_from", F.coalesce(mail.domain_of(sender), sender)).withColumn("spf_result", F.try_element_at("spf", F.lit("result")))
-    m = m.withColumn("spf_aligned", urls.aligned(F.col("envelope_from"), F.col("from_domain")))
-    domain = lambda e: F.coalesce(F.try_element_at(e, F.lit("header.d")), mail.domain_of(F.try_element_at(e, F.lit("header.i"))))
-    sigs = F.coalesce(F.try_element_at("auth", F.lit("dkim")), F.array().cast("array<map<string,string>>"))
-    m = m.withColumn("_sigs", sigs).withColumn("_passing", F.filter("_sigs", lambda e: e["result"] == "pass"))
-    m = m.withColumn("_good", F.filter("_passing", lambda e: F.coalesce(urls.aligned(domain(e), F.col("from_domain")), F.lit(False))))
-    shown = F.coalesce(F.try_element_at("_good", F.lit(1)), F.try_element_at("_passing", F.lit(1)), F.try_element_at("_sigs", F.lit(1)))
-    m = m.withColumn("_shown", shown).withColumn("dkim_domain", domain(F.col("_shown"))).withColumn("dkim_result", F.try_element_at("_shown", F.lit("result")))
-    m = m.withColumn("dkim_aligned", F.when(F.size("_good") > 0, True).otherwise(urls.aligned(F.col("dkim_domain"), F.col("from_domain"))))
-    m = m.withColumn("dmarc_result", F.try_element_at("dmarc", F.lit("result")))
-    passed = F.coalesce((F.col("spf_result") == "pass") & F.col("spf_aligned"), F.lit(False)) | (F.size("_good") > 0) | F.coalesce(F.col("dmarc_result") == "pass", F.lit(False))
-    spf_domain = F.when(F.col("spf_result") == "pass", F.array(urls.org_domain(F.col("envelope_from")))).otherwise(F.array().cast("array<string>"))
-    m = m.withColumn("aligned_pass", passed).withColumn("authenticated", F.array_distinct(F.concat(spf_domain, F.transform(F.filter(F.transform("_passing", domain), lambda d: d.isNotNull()), urls.org_domain))))
-    return m.drop("_sigs", "_passing", "_good", "_shown")
+    """Adds who sent the message and what was authenticated; spf_aligned and dkim_aligned are null where a side isn't known.
+
+    Each step reads columns of the step before, so nothing is parsed or cut to its organisation twice.
+    """
+    c = F.col
+    m = messages.withColumn("_from", F.try_element_at("from_header", F.lit(1))).withColumn("auth", mail.auth_results(F.try_element_at("auth_results", F.lit(1))))
+    m = m.withColumns({"header_from": mail.address(c("_from")), "spf": mail.method(c("auth"), "spf"), "dmarc": mail.method(c("auth"), "dmarc"), "compauth": mail.method(c("auth"), "compauth"), "_dkim": F.filter("auth", lambda e: e["method"] == "dkim")})
+    sender = F.when(~mail.prop(c("spf"), "smtp.mailfrom").isin("<>", "", "@"), mail.prop(c("spf"), "smtp.mailfrom"))
+    m = m.withColumns({"from_domain": F.coalesce(mail.domain_of(c("header_from")), mail.prop(c("dmarc"), "header.from")), "_sender": sender, "spf_result": c("spf.result"), "dmarc_result": c("dmarc.result")})
+    m = m.withColumn("envelope_from", F.coalesce(mail.domain_of(c("_sender")), c("_sender")))
+    signer = lambda e: F.coalesce(mail.prop(e, "header.d"), mail.domain_of(mail.prop(e, "header.i")))
+    sigs = F.transform("_dkim", lambda e: F.struct(e["result"].alias("result"), signer(e).alias("domain")))
+    m = m.withColumns({"_from_org": urls.org_domain(c("from_domain")), "_envelope_org": urls.org_domain(c("envelope_from")), "_sigs": sigs})
+    m = m.withColumn("_sigs", F.transform("_sigs", lambda e: F.struct(e["result"].alias("result"), e["domain"].alias("domain"), urls.org_domain(e["domain"]).alias("org"))))
+    known = lambda x: F.coalesce(x, F.lit("")) != ""
+    same = lambda x, org: F.when(known(x) & known(c("from_domain")), org == c("_from_org"))
+    m = m.withColumns({"spf_aligned": same(c("envelope_from"), c("_envelope_org")), "_passing": F.filter("_sigs", lambda e: e["result"] == "pass")})
+    m = m.withColumn("_good", F.filter("_passing", lambda e: F.coalesce(same(e["domain"], e["org"]), F.lit(False))))
+    m = m.withColumn("_shown", F.coalesce(F.try_element_at("_good", F.lit(1)), F.try_element_at("_passing", F.lit(1)), F.try_element_at("_sigs", F.lit(1))))
+    m = m.withColumns({"dkim_domain": c("_shown.domain"), "dkim_result": c("_shown.result"), "dkim_aligned": F.when(F.size("_good") > 0, True).otherwise(same(c("_shown.domain"), c("_shown.org")))})
+    passed = F.coalesce((c("spf_result") == "pass") & c("spf_aligned"), F.lit(False)) | (F.size("_good") > 0) | F.coalesce(c("dmarc_result") == "pass", F.lit(False))
+    own = F.when(c("spf_result") == "pass", F.array("_envelope_org")).otherwise(F.array().cast("array<string>"))
+    signed = F.transform(F.filter("_passing", lambda e: e["domain"].isNotNull()), lambda e: e["org"])
+    return m.withColumns({"aligned_pass": passed, "authenticated": F.array_distinct(F.concat(own, signed))}).drop("_dkim", "_sender", "_envelope_org", "_sigs", "_passing", "_good", "_shown")
 
 
 def auth_signals() -> list[Column]:
@@ -53,55 +57,70 @@ def auth_signals() -> list[Column]:
     return [
         _signal(c("from_domain").isNotNull() & ~c("aligned_pass") & (c("spf").isNotNull() | c("dkim_result").isNotNull() | c("dmarc").isNotNull()), "no_aligned_authentication", "strong"),
         _signal(c("dmarc_result") == "fail", "dmarc_fail", "strong"), _signal(c("dmarc_result") == "none", "dmarc_no_policy", "moderate"), _signal(c("dmarc_result") == "bestguesspass", "dmarc_best_guess", "moderate"),
-        _signal(F.try_element_at("compauth", F.lit("result")) == "fail", "composite_auth_fail", "moderate"), _signal(F.size("auth_results") > 1, "untrusted_authentication_results", "moderate"),
+        _signal(c("compauth.result") == "fail", "composite_auth_fail", "moderate"), _signal(F.size("auth_results") > 1, "untrusted_authentication_results", "moderate"),
     ]
 
 
+def _org_of(domains: list[str]) -> Column:
+    """The organisations of listed domains, as an array of constants that the optimizer folds."""
+    return F.transform(F.array(*map(F.lit, domains)).cast("array<string>"), urls.org_domain)
+
+
+def _among(org: Column, domains: list[str]) -> Column:
+    return F.array_contains(_org_of(domains), org) if domains else F.lit(False)
+
+
+def header_facts(m: DataFrame, brands: dict[str, list[str]]) -> DataFrame:
+    """Adds _reply, _reply_org, _shown and _brand: where answers go, the name that a reader sees and the first brand in it."""
+    shown = mail.display_name(F.col("_from"))
+    m = m.withColumns({"_reply": mail.domain_of(mail.address(F.col("reply_to"))), "_shown": shown})
+    brand = F.coalesce(*(F.when(urls.brand_in(F.lower(F.col("_shown")), b), F.lit(b)) for b in brands), F.lit(None).cast("string"))
+    return m.withColumns({"_reply_org": urls.org_domain(F.col("_reply")), "_brand": brand})
+
+
 def header_signals(brands: dict[str, list[str]], free_mail: list[str]) -> list[Column]:
-    c, reply = F.col, mail.domain_of(mail.address(F.col("reply_to")))
-    elsewhere = c("from_domain").isNotNull() & reply.isNotNull() & (urls.org_domain(reply) != urls.org_domain(c("from_domain")))
-    shown = mail.display_name(c("_from"))
-    inside = F.lower(F.regexp_extract(shown, r"(?U)[\w.+-]+@[\w.-]+\.\w+", 0))
-    first = F.coalesce(*(F.when(urls.brand_in(F.lower(shown), b), F.lit(b)) for b in brands), F.lit(None).cast("string"))
-    owners = _any((first == b) & urls.org_domain(c("from_domain")).isin(*{_org(o) for o in own}) for b, own in brands.items())
+    """Over the columns of identify and header_facts."""
+    c = F.col
+    elsewhere = c("from_domain").isNotNull() & c("_reply").isNotNull() & (c("_reply_org") != c("_from_org"))
+    inside = F.lower(F.regexp_extract("_shown", r"(?U)[\w.+-]+@[\w.-]+\.\w+", 0))
+    owners = _any((c("_brand") == b) & _among(c("_from_org"), own) for b, own in brands.items())
     return [
         _signal(F.size("from_header") > 1, "multiple_from_headers", "strong"),
-        _signal(elsewhere & reply.isin(*free_mail), "reply_to_free_mail", "moderate"), _signal(elsewhere & ~reply.isin(*free_mail), "reply_to_other_domain", "weak"),
+        _signal(elsewhere & c("_reply").isin(*free_mail), "reply_to_free_mail", "moderate"), _signal(elsewhere & ~c("_reply").isin(*free_mail), "reply_to_other_domain", "weak"),
         _signal((inside != "") & c("header_from").isNotNull() & (inside != c("header_from")), "display_name_contains_other_address", "moderate"),
-        _signal(urls.mixed_script(shown), "display_name_mixed_script", "strong"), _signal(c("from_domain").isNotNull() & first.isNotNull() & ~owners, "display_name_brand_mismatch", "moderate"),
+        _signal(urls.mixed_script(c("_shown")), "display_name_mixed_script", "strong"), _signal(c("from_domain").isNotNull() & c("_brand").isNotNull() & ~owners, "display_name_brand_mismatch", "moderate"),
     ]
 
 
-def _org(domain: str) -> str:
-    labels = domain.lower().rstrip(".").split(".")
-    deep = len(labels) > 2 and (".".join(labels[-2:]) in urls.SUFFIXES or len(labels[-1]) == 2 and labels[-2] in urls.GENERIC)
-    return ".".join(labels[-3:] if deep else labels[-2:])
+def url_facts(links: Column) -> Column:
+    """For each URL what the signals ask of it: (url, authority, host, org, before)."""
+    first = F.transform(links, lambda u: F.struct(u.alias("url"), urls.authority(u).alias("authority"), urls.host(u).alias("host")))
+    return F.transform(first, lambda x: F.struct(x["url"].alias("url"), x["authority"].alias("authority"), x["host"].alias("host"), urls.org_domain(x["host"]).alias("org"), F.when(F.size(F.split(x["host"], r"\.")) > 2, F.regexp_replace(x["host"], r"\.[^.]*\.[^.]*$", "")).otherwise("").alias("before")))
 
 
-def url_signals(brands: dict[str, list[str]], shorteners: list[str], links: Column | None = None, recipients: Column | None = None) -> list[Column]:
-    """Signals of an array of URLs; each comes once, those of a brand once a brand."""
-    links = F.col("urls") if links is None else links
-    some = lambda test: F.exists(links, test)
-    shown = F.transform(F.filter(links, lambda u: F.contains(urls.host(u), F.lit("xn--"))), urls.host)
-    before = lambda h: F.when(F.size(F.split(h, r"\.")) > 2, F.regexp_replace(h, r"\.[^.]*\.[^.]*$", "")).otherwise("")
+def url_signals(brands: dict[str, list[str]], shorteners: list[str], facts: Column | None = None, recipients: Column | None = None) -> list[Column]:
+    """Signals of an array of url_facts; each comes once, those of a brand once a brand."""
+    facts = url_facts(F.col("urls")) if facts is None else facts
+    some = lambda test: F.exists(facts, test)
+    shown = F.try_element_at(F.filter(facts, lambda x: F.contains(x["host"], F.lit("xn--"))), F.lit(1))["host"]
 
     def branded(b: str, own: list[str]) -> Column:
-        return _signal(some(lambda u: urls.brand_in(before(urls.host(u)), b) & ~urls.org_domain(urls.host(u)).isin(*{_org(o) for o in own})), "brand_in_subdomain", "strong")
+        return _signal(some(lambda x: urls.brand_in(x["before"], b) & ~_among(x["org"], own)), "brand_in_subdomain", "strong")
 
     out = [
-        _signal(F.size(shown) > 0, "punycode_domain", F.when(urls.mixed_script(urls.decode_punycode(F.try_element_at(shown, F.lit(1)))), "strong").otherwise("moderate")),
-        _signal(some(urls.has_userinfo), "url_userinfo_authority", "strong"), _signal(some(lambda u: urls.is_raw_ip(urls.host(u))), "url_raw_ip_host", "moderate"),
-        _signal(some(lambda u: urls.host(u).isin(*shorteners)), "url_shortener", "weak"), *(branded(b, own) for b, own in brands.items()), _signal(some(urls.credential_path), "credential_harvest_path", "weak"),
+        _signal(shown.isNotNull(), "punycode_domain", F.when(urls.mixed_script(urls.decode_punycode(shown)), "strong").otherwise("moderate")),
+        _signal(some(lambda x: F.contains(x["authority"], F.lit("@"))), "url_userinfo_authority", "strong"), _signal(some(lambda x: urls.is_raw_ip(x["host"])), "url_raw_ip_host", "moderate"),
+        _signal(some(lambda x: x["host"].isin(*shorteners)), "url_shortener", "weak"), *(branded(b, own) for b, own in brands.items()), _signal(some(lambda x: urls.credential_path(x["url"])), "credential_harvest_path", "weak"),
     ]
     if recipients is not None:
-        named = lambda u: F.exists(recipients, lambda r: (F.length(r) >= 4) & F.regexp_like(F.lower(F.regexp_extract(u, r"(?s)#(.*)$", 1)), F.concat(F.lit(r"(?<![a-z0-9._%+-])\Q"), F.lower(r), F.lit(r"\E(?![a-z0-9._%+-])"))))
+        named = lambda x: F.exists(recipients, lambda r: (F.length(r) >= 4) & F.regexp_like(F.lower(F.regexp_extract(x["url"], r"(?s)#(.*)$", 1)), F.concat(F.lit(r"(?<![a-z0-9._%+-])\Q"), F.lower(r), F.lit(r"\E(?![a-z0-9._%+-])"))))
         out.append(_signal(some(named), "recipient_in_url_fragment", "strong"))
     return out
 
 
 def attachment_signals(brands: dict[str, list[str]]) -> Column:
     """Signals of all attachments, in their order."""
-    every = [_org(o) for own in brands.values() for o in own]
+    every = [o for own in brands.values() for o in own]
 
     def of(a: Column) -> Column:
         name, ext = a["name"], mail.extension(a["name"])
@@ -126,11 +145,8 @@ def attachment_signals(brands: dict[str, list[str]]) -> Column:
         )
 
     hosted = lambda key: F.filter(F.array_distinct(F.flatten(F.transform("attachments", lambda a: F.coalesce(a[key], F.array().cast("array<string>"))))), lambda u: urls.host(u) != "")
-    sender = urls.org_domain(F.col("from_domain"))
-
     def qr(u: Column) -> Column:
-        target = urls.org_domain(urls.host(u))
-        level = F.when(F.col("from_domain").isNull(), "moderate").when(target == sender, "weak").when(target.isin(*every), "moderate").otherwise("strong")
+        level = urls.let(urls.org_domain(urls.host(u)), lambda org: F.when(F.col("from_domain").isNull(), "moderate").when(org == F.col("_from_org"), "weak").when(_among(org, every), "moderate").otherwise("strong"))
         return F.struct(F.lit("attachment_qr_url").alias("name"), level.alias("strength"))
 
     plain = lambda u: F.struct(F.lit("attachment_embedded_url").alias("name"), F.lit("moderate").alias("strength"))
@@ -145,8 +161,9 @@ def analyze(messages: DataFrame, brands: dict[str, list[str]], shorteners: list[
     senders: authorized domains of mail providers by author domain, from the inventory.
     """
     m = identify(messages.where((F.size("from_header") > 0) | (F.size("auth_results") > 0)))
-    known = _any((urls.org_domain(F.col("from_domain")) == _org(a)) & F.arrays_overlap("authenticated", F.array(*(F.lit(_org(d)) for d in ds))) for a, ds in (senders or {}).items() if ds)
-    single = [*auth_signals(), *header_signals(brands, free_mail), *url_signals(brands, shorteners, recipients=F.col("recipients"))]
-    after = [_signal(mail.goes_backwards(mail.hop_seconds("received")), "received_chain_non_monotonic", "strong"), _signal(known, "sanctioned_bulk_sender", "weak")]
+    m = header_facts(m, brands).withColumns({"_urls": url_facts(F.col("urls")), "_hops": mail.hop_seconds(F.col("received"))})
+    known = _any(_among(F.col("_from_org"), [a]) & F.arrays_overlap("authenticated", _org_of(ds)) for a, ds in (senders or {}).items() if ds)
+    single = [*auth_signals(), *header_signals(brands, free_mail), *url_signals(brands, shorteners, F.col("_urls"), F.col("recipients"))]
+    after = [_signal(mail.goes_backwards(F.col("_hops")), "received_chain_non_monotonic", "strong"), _signal(known, "sanctioned_bulk_sender", "weak")]
     signals = F.concat(F.array_compact(F.array(*single)), attachment_signals(brands), F.array_compact(F.array(*after)))
     return m.select("alert_id", "header_from", "envelope_from", "dkim_domain", "spf_result", "dkim_result", "dmarc_result", "spf_aligned", "dkim_aligned", signals.alias("signals"))

@@ -116,23 +116,41 @@ RESUME_WINDOW_S, RESUME_SKEW_S = 30 * 60, 60
 def resume_eligible(progress: DataFrame, latest: DataFrame, now: Column, me: str | None = None, window_s: int = RESUME_WINDOW_S) -> DataFrame:
     """(alert_id, yes, reason): whether work that was started and not completed may be taken up from its recorded result.
 
-    progress is the last row of each alert, latest its last record.
+    progress is the last row of each alert, latest its last record; with the columns human_verdict and investigation (JSON) it also
+    refuses what an analyst has ruled, what can't be read, and what is about another alert.
     """
     age = F.unix_seconds(now) - F.unix_seconds("at")
-    j = progress.join(latest.select("alert_id", F.col("writer").alias("r_writer"), F.col("investigated_at").alias("done_at"), F.col("duplicate_of").alias("dup"), F.col("injection_flags").alias("flags")), "alert_id", "left")
+    text = lambda name: F.col(name) if name in latest.columns else F.lit(None).cast("string")
+    facts = latest.select("alert_id", F.col("writer").alias("r_writer"), F.col("investigated_at").alias("done_at"), F.col("duplicate_of").alias("dup"), F.col("injection_flags").alias("flags"), text("human_verdict").alias("ruling"), text("investigation").alias("kept"))
+    j = progress.join(facts, "alert_id", "left").withColumn("about", F.try_variant_get(F.try_parse_json("kept"), "$.alert_id", "string"))
     foreign = F.lit(False) if me is None else ~F.coalesce(F.col("r_writer") == me, F.lit(False))
+    stored = F.lit("investigation" in latest.columns)
     gate = ordered(
         [
+            (F.lit(window_s <= 0), False, "switched off"),
             (F.col("phase") != "started", False, "completed"),
             (F.col("at").isNull(), False, "no start time"),
             (age < -RESUME_SKEW_S, False, "started in the future"),
             (age > window_s, False, "too old"),
             (F.col("done_at").isNull(), False, "no record"),
             (foreign, False, "another writer"),
+            (nz(F.col("ruling")).isNotNull(), False, "ruled"),
             (nz(F.col("dup")).isNotNull(), False, "suppressed"),
             (F.unix_seconds("done_at") < F.unix_seconds("at") - RESUME_SKEW_S, False, "record is older than the start"),
+            (stored & ~F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json("kept")), F.lit("")), F.lit("OBJECT")), False, "unreadable record"),
+            (stored & ~F.coalesce(F.col("about") == F.col("alert_id"), F.lit(False)), False, "another alert's record"),
             (_some(F.col("flags")), False, "injection flags"),
         ],
         (True, "resume"),
     )
     return j.select("alert_id", gate.alias("g")).select("alert_id", "g.yes", "g.reason")
+
+
+#: Answers of a server that may come right on a second try. Fixed values.
+RETRYABLE = (429, 502, 503, 504)
+
+
+def may_retry(failure: Column, status: Column, replayable: Column) -> Column:
+    """Whether a failed request may be sent again. failure: 'connect' (it never arrived), 'status' (answered with ``status``), 'transport' (broke off on the way), or anything else."""
+    once_more = F.coalesce(replayable, F.lit(False))
+    return F.when(failure == "connect", True).when(failure == "status", once_more & F.coalesce(status.isin(*RETRYABLE), F.lit(False))).when(failure == "transport", once_more).otherwise(False)

@@ -53,7 +53,7 @@ def date_histogram(df: DataFrame, column: str, hours: int, *by: str) -> DataFram
     bucket = F.floor(F.unix_seconds(column) / step) * step
     counts = df.groupBy(bucket.alias("bucket"), *by).agg(F.count("*").alias("n"))
     ends = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo is not null")
-    spine = ends.select(F.explode(F.sequence("lo", "hi", F.lit(step))).alias("bucket"))
-    if by:
-        spine = spine.crossJoin(F.broadcast(counts.select(*by).distinct()))  # values of a short report axis
-    return spine.join(counts, ["bucket", *by], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    groups = counts.select(*by).distinct().crossJoin(ends) if by else ends  # ends is one row
+    spine = groups.select(*by, F.explode(F.sequence("lo", "hi", F.lit(step))).alias("bucket"))
+    same = reduce(lambda a, c: a & spine[c].eqNullSafe(counts[c]), by, spine["bucket"] == counts["bucket"])
+    return spine.join(counts, same, "left").select(spine["bucket"], *(spine[c] for c in by), F.coalesce("n", F.lit(0)).alias("n"))

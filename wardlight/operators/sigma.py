@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import let
+
 #: Where a Sigma field may stand in a raw log. Fixed values.
 FIELDS = {
     "Image": ["process_path", "process.executable", "process", "process.name"], "CommandLine": ["command_line", "process.command_line"],
@@ -21,15 +23,33 @@ DASHES = ("-", "/", "–", "—", "―")
 
 def _strings(v: Column) -> Column:
     """The strings that a variant is or lists; numbers and objects aren't read as text."""
-    kind = F.schema_of_variant(v)
-    each = F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
-    return F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(kind.startswith("ARRAY"), each).otherwise(F.array().cast("array<string>"))
+    listed = lambda x: F.transform(F.filter(F.try_variant_get(x, "$", "array<variant>"), lambda y: F.schema_of_variant(y) == "STRING"), lambda y: F.try_variant_get(y, "$", "string"))
+    none = F.array().cast("array<string>")
+    by_kind = lambda x: let(F.schema_of_variant(x), lambda kind: F.when(kind == "STRING", F.array(F.try_variant_get(x, "$", "string"))).when(kind.startswith("ARRAY"), listed(x)).otherwise(none))
+    return F.when(v.isNull(), none).otherwise(let(v, by_kind))
 
 
 def _at(raw: Column, path: str) -> Column:
-    """The strings at a path, nested or, if there is no such nesting, under the dotted name itself."""
+    """The variant at a path, nested or, if there is no such nesting, under the dotted name itself."""
     nested = "$" + "".join(f"['{p}']" for p in path.split("."))
-    return _strings(F.coalesce(F.try_variant_get(raw, nested, "variant"), F.try_variant_get(raw, f"$['{path}']", "variant")))
+    found = F.try_variant_get(raw, nested, "variant")
+    return found if "." not in path else F.coalesce(found, F.try_variant_get(raw, f"$['{path}']", "variant"))
+
+
+def field_values(raw: Column, name: str) -> Column:
+    """All strings of a Sigma field in a VARIANT raw log, in lower case."""
+    return F.transform(F.flatten(F.array(*(_strings(_at(raw, p)) for p in FIELDS.get(name, [name])))), F.lower)
+
+
+def fields_of(rule: dict) -> set[str]:
+    """The Sigma fields that a rule reads."""
+
+    def inside(selection):
+        for entry in selection if isinstance(selection, list) else [selection]:
+            if isinstance(entry, dict):
+                yield from (f.split("|")[0] for f in entry)
+
+    return {f for k, v in rule["detection"].items() if k != "condition" for f in inside(v)}
 
 
 def _any(cs) -> Column:
@@ -63,22 +83,21 @@ def check_modifiers(selection) -> None:
                     raise ValueError(f"unsupported modifiers {sorted(bad)} on {field}")
 
 
-def _field(raw: Column, field: str, patterns) -> Column:
+def _field(values: dict[str, Column], field: str, patterns) -> Column:
     name, *modifiers = field.split("|")
-    values = F.transform(F.flatten(F.array(*(_at(raw, p) for p in FIELDS.get(name, [name])))), F.lower)
     patterns = [str(p) for p in (patterns if isinstance(patterns, list) else [patterns])]
     if "windash" in modifiers:
         patterns = [x for p in patterns for x in ([d + p[1:] for d in DASHES] if p[:1] in DASHES else [p])]
     how = next((m for m in modifiers if m in MATCH), None)
-    some = lambda wanted: F.exists(values, lambda v: _any(_value(v, p, how) for p in wanted))
+    some = lambda wanted: F.exists(values[name], lambda v: _any(_value(v, p, how) for p in wanted))
     return _all(some([p]) for p in patterns) if "all" in modifiers else some(patterns)
 
 
-def _selection(raw: Column, blob: Column, selection) -> Column:
+def _selection(values: dict[str, Column], blob: Column, selection) -> Column:
     if isinstance(selection, dict):
-        return _all(_field(raw, f, p) for f, p in selection.items())
+        return _all(_field(values, f, p) for f, p in selection.items())
     if isinstance(selection, list):
-        return _any(_selection(raw, blob, x) if isinstance(x, dict) else F.contains(blob, F.lit(str(x).lower())) for x in selection)
+        return _any(_selection(values, blob, x) if isinstance(x, dict) else F.contains(blob, F.lit(str(x).lower())) for x in selection)
     return F.lit(False)
 
 
@@ -129,20 +148,26 @@ def condition(text: str, found: dict[str, Column]) -> Column:
     return out
 
 
-def compile_rule(rule: dict, raw: Column, blob: Column) -> Column:
-    """The rule as a boolean over a VARIANT raw log and its JSON text in lower case."""
+def compile_rule(rule: dict, values: dict[str, Column], blob: Column) -> Column:
+    """The rule as a boolean over the lower-case strings of its fields and the raw log's text in lower case."""
     parts = {k: v for k, v in rule["detection"].items() if k != "condition"}
     for p in parts.values():
         check_modifiers(p)
-    return condition(rule["detection"]["condition"], {k: F.coalesce(_selection(raw, blob, v), F.lit(False)) for k, v in parts.items()})
+    return condition(rule["detection"]["condition"], {k: F.coalesce(_selection(values, blob, v), F.lit(False)) for k, v in parts.items()})
 
 
 def match_rules(df: DataFrame, rules: list[dict], raw_json: str = "raw_log") -> DataFrame:
-    """df with sigma_matches: array of (rule_id, title, level, tags) for all rules that match."""
-    df = df.withColumn("_v", F.try_parse_json(raw_json))
+    """df with sigma_matches: array of (rule_id, title, level, tags) for all rules that match.
+
+    Each log is parsed once, and each field that any rule reads is looked up once a log; rules are predicates over these columns.
+    """
+    names = sorted(set().union(*(fields_of(r) for r in rules)) if rules else set())
+    df = df.withColumn("_v", F.try_parse_json(raw_json)).withColumn("_blob", F.lower(F.col(raw_json)))
+    df = df.withColumns({f"_f{i}": field_values(F.col("_v"), n) for i, n in enumerate(names)}).drop("_v")
+    values = {n: F.col(f"_f{i}") for i, n in enumerate(names)}
     hit = lambda r: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["title"]).alias("title"), F.lit(r.get("level", "medium")).alias("level"), F.array(*map(F.lit, r.get("tags", []))).cast("array<string>").alias("tags"))
-    cells = [F.when(compile_rule(r, F.col("_v"), F.lower(F.col(raw_json))), hit(r)) for r in rules]
-    return df.withColumn("sigma_matches", F.array_compact(F.array(*cells))).drop("_v")
+    cells = [F.when(compile_rule(r, values, F.col("_blob")), hit(r)) for r in rules]
+    return df.withColumn("sigma_matches", F.array_compact(F.array(*cells))).drop("_blob", *(f"_f{i}" for i in range(len(names))))
 
 
 def techniques_of(tags: Column) -> Column:

@@ -137,10 +137,16 @@ def html_links(spark, sf):
     return l.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("link").alias("distinct_links"))
 
 
-@query("SELECT seq, ioc AS ip, net24, false AS is_global FROM inv")
+_NETS = ["10.0.0.", "172.15.1.", "172.16.0.", "172.31.9.", "172.32.0.", "192.168.3.", "192.167.3.", "100.63.0.", "100.64.0.", "127.0.0.", "8.8.8.", "169.254.1.", "224.0.0.", "203.0.113.", "198.18.0.", "1.2.300."]
+
+
+@query(f", x AS (SELECT seq, ({_NETS!r})[seq % 16 + 1] AS net, (k % 256) AS last FROM inv) SELECT seq, net || last AS ip, CASE WHEN seq % 16 < 15 THEN net || '0' END AS net24, seq % 16 IN (1, 4, 6, 7, 10) AS is_global FROM x")
 def address_classes(spark, sf):
-    ip = F.element_at("iocs", 1)
-    return ledgers(spark, sf).investigations.select(F.col("uid").cast("long").alias("seq"), ip.alias("ip"), text.net24(ip).alias("net24"), text.is_global(ip).alias("is_global"))
+    """Addresses inside and next to the ranges that aren't routed."""
+    i = ledgers(spark, sf).investigations
+    seq, k = F.col("uid").cast("long"), F.regexp_extract(F.element_at("iocs", 1), r"(\d+)$", 1).cast("long")
+    ip = F.concat(F.element_at(F.array(*map(F.lit, _NETS)), (seq % 16 + 1).cast("int")), (k % 256).cast("string"))
+    return i.select(seq.alias("seq"), ip.alias("ip"), text.net24(ip).alias("net24"), text.is_global(ip).alias("is_global"))
 
 
 @query("SELECT seq, array_to_string(list_sort(list_distinct(list_transform(attack_techniques, lambda x: string_split(x, '.')[1]))), ',') AS parents FROM inv")
@@ -189,14 +195,14 @@ def attachment_names(spark, sf):
 
 
 @query(""", t AS (SELECT c_custkey AS id, unnest(['T' || (1000 + c_custkey % 40) || '.001', 'T' || (1000 + c_custkey % 25), 'T' || (1000 + c_nationkey)]) AS code FROM customer), c AS (SELECT DISTINCT id, code FROM t),
-g AS (SELECT DISTINCT 'T' || (1000 + p_partkey % 40) AS tcode, p_brand AS grp FROM part WHERE p_partkey % 3 = 0), h AS (SELECT DISTINCT id, code, grp FROM c JOIN g ON g.tcode = c.code OR g.tcode = string_split(c.code, '.')[1]),
+g AS (SELECT DISTINCT 'T' || (1000 + p_partkey % 40) AS tcode, p_brand AS grp FROM part), h AS (SELECT DISTINCT id, code, grp FROM c JOIN g ON g.tcode = c.code OR g.tcode = string_split(c.code, '.')[1]),
 r AS (SELECT id, grp, count(*) AS overlap, string_agg(code, ',' ORDER BY code) AS techniques FROM h GROUP BY id, grp)
 SELECT id AS alert_id, grp AS "group", overlap, techniques, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, grp) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, grp) <= 5""")
 def technique_groups_topk(spark, sf):
     c, key = table(spark, sf, "customer"), F.col("c_custkey")
     code = lambda n: F.concat(F.lit("T"), (1000 + n).cast("string"))
     alerts = c.select(key.alias("alert_id"), F.array(F.concat(code(key % 40), F.lit(".001")), code(key % 25), code(F.col("c_nationkey"))).alias("attack_techniques"))
-    groups = table(spark, sf, "part").where("p_partkey % 3 = 0").select(code(F.col("p_partkey") % 40).alias("tcode"), F.col("p_brand").alias("group")).distinct()
+    groups = table(spark, sf, "part").select(code(F.col("p_partkey") % 40).alias("tcode"), F.col("p_brand").alias("group")).distinct()
     return assets.rank_groups(alerts, groups).select("alert_id", "group", "overlap", F.array_join("techniques", ",").alias("techniques"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -220,11 +226,11 @@ def asset_match(spark, sf):
 
 
 @query(""", c AS (SELECT conv_id, CASE role WHEN 'user' THEN 'claude-sonnet-4-5-20250929' WHEN 'assistant' THEN 'claude-opus-4-5' ELSE 'other' END AS model, length(coalesce(text, '')) AS n FROM conversations)
-  SELECT model, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) AS DOUBLE) * CASE WHEN starts_with(model, 'claude-sonnet') THEN 3.0::DOUBLE WHEN starts_with(model, 'claude-opus') THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END / 1000000 AS cost, model <> 'other' AS priced FROM c GROUP BY model""")
+  SELECT model, CAST(sum(n) AS BIGINT) AS tokens, (CAST(sum(n) AS DOUBLE) * CASE WHEN starts_with(model, 'claude-sonnet') THEN 3.0::DOUBLE WHEN starts_with(model, 'claude-opus') THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + CAST(sum(n) * 2 AS DOUBLE) * CASE WHEN starts_with(model, 'claude-sonnet') THEN 15.0::DOUBLE WHEN starts_with(model, 'claude-opus') THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END) / 1000000 AS cost, model <> 'other' AS priced FROM c GROUP BY model""")
 def cost_estimate(spark, sf):
     model = F.when(F.col("role") == "user", "claude-sonnet-4-5-20250929").when(F.col("role") == "assistant", "claude-opus-4-5").otherwise("other")
     n = table(spark, sf, "conversations").groupBy(model.alias("model")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("tokens"))
-    return n.select("model", "tokens", policy.cost(F.col("model"), F.col("tokens").cast("double"), F.lit(0.0)).alias("cost"), policy.priced(F.col("model")).alias("priced"))
+    return n.select("model", "tokens", policy.cost(F.col("model"), F.col("tokens").cast("double"), (F.col("tokens") * 2).cast("double")).alias("cost"), policy.priced(F.col("model")).alias("priced"))
 
 
 @query(""", r AS (SELECT e, k, CASE WHEN k % 11 = 0 THEN NULL ELSE k END AS score FROM ev) SELECT e AS event_id, CASE WHEN k % 11 = 0 THEN 'medium' WHEN k >= 75 THEN 'high' WHEN k >= 25 THEN 'medium' ELSE 'low' END AS ip,
@@ -337,9 +343,10 @@ def dashboard_techniques(spark, sf):
     return search.terms(sinks.results_document(ledgers(spark, sf).investigations).select(F.explode("attack_techniques").alias("t")), "t", 10)
 
 
-@query(", b AS (SELECT epoch_ms(ts) // 1000 // 21600 * 21600 AS bucket FROM ev WHERE k < 3), s AS (SELECT unnest(range(min(bucket), max(bucket) + 1, 21600)) AS bucket FROM b) SELECT s.bucket, count(b.bucket) AS n FROM s LEFT JOIN b USING (bucket) GROUP BY s.bucket")
+@query(", b AS (SELECT epoch_ms(ts) // 1000 // 3600 * 3600 AS bucket, t AS event_type FROM ev), s AS (SELECT unnest(range(min(bucket), max(bucket) + 1, 3600)) AS bucket FROM b), k AS (SELECT DISTINCT event_type FROM b) SELECT s.bucket, k.event_type, count(b.bucket) AS n FROM s CROSS JOIN k LEFT JOIN b ON b.bucket = s.bucket AND b.event_type = k.event_type GROUP BY ALL")
 def date_histogram(spark, sf):
-    return search.date_histogram(events(spark, sf).where("k < 3"), "ts", 6)
+    """Events an hour by kind; hours without one of a kind are there too."""
+    return search.date_histogram(events(spark, sf), "ts", 1, "event_type")
 
 
 @query("SELECT l.verdict = r.human_verdict AS human_agrees, count(*) AS n FROM latest l JOIN ruled r USING (alert_id) GROUP BY 1")
@@ -379,9 +386,9 @@ def normalize_hits(spark, sf):
     return ecs.normalize_hits(hits).select("alert_id", "severity", "title", F.array_join(F.element_at("indicators", F.lit("ips")), ",").alias("ips"))
 
 
-@query()
+@query(r"""SELECT lpad(CAST(seq AS VARCHAR), 12, '0') AS uid, sha256('{"content":"{\\"message\\": \\"seen #.#\\", \\"rule\\": \\"' || detection || '\\"}","host":"' || host || '","iocs":["' || ioc || '"],"severity":"' || severity || '","source":"siem","title":"' || title || '"}') AS fingerprint FROM inv""")
 def alert_fingerprints(spark, sf):
-    """Fingerprints of whole alerts, digits of free text masked: no SQL form, compared with brute force in the tests."""
+    """Fingerprints of whole alerts: numbers and the host gone from the log, digits of its free text masked."""
     i = ledgers(spark, sf).investigations
     raw = F.to_json(F.struct(F.lit("h").alias("host"), F.concat(F.lit("seen "), F.col("duration_seconds").cast("string")).alias("message"), F.col("detection").alias("rule"), F.col("duration_seconds").alias("n")))
     return i.select("uid", dedup.fingerprint(F.lit("siem"), F.col("severity"), F.col("title"), F.col("host"), F.col("iocs"), raw).alias("fingerprint"))
@@ -390,14 +397,14 @@ def alert_fingerprints(spark, sf):
 # -- components
 
 
-@query(""", edge AS (SELECT DISTINCT 'host-' || u AS a, 'scanner-' || (u % 17) || '-' || (k % 2) AS b FROM ev WHERE k % 50 = 1), e2 AS (SELECT a AS x, b AS y FROM edge UNION SELECT b, a FROM edge),
+@query(""", edge AS (SELECT DISTINCT 'host-' || u AS a, 'scanner-' || (u % 17) || '-' || (k % 2) AS b FROM ev), e2 AS (SELECT a AS x, b AS y FROM edge UNION SELECT b, a FROM edge),
 reach(x, y) AS (SELECT x, x FROM e2 UNION SELECT r.x, e2.y FROM reach r JOIN e2 ON r.y = e2.x) SELECT x AS entity, min(y) AS root FROM reach GROUP BY x""")
 def alias_components(spark, sf):
     """Names of one thing: the least name that links lead to."""
     from ..operators.aliases import alias_roots
 
     u = F.col("user_id")
-    edges = events(spark, sf).where("k % 50 = 1").select(F.concat(F.lit("host-"), u.cast("string")).alias("a"), F.concat(F.lit("scanner-"), (u % 17).cast("string"), F.lit("-"), (F.col("k") % 2).cast("string")).alias("b")).distinct()
+    edges = events(spark, sf).select(F.concat(F.lit("host-"), u.cast("string")).alias("a"), F.concat(F.lit("scanner-"), (u % 17).cast("string"), F.lit("-"), (F.col("k") % 2).cast("string")).alias("b")).distinct()
     return alias_roots(edges)
 
 

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedup, memory, policy, reports
+from ..operators import dedup, feedback, memory, policy, reports
 from ..sources import ledger as lg
+from ..sources import sinks
 from ..sources.adapter import SQL, ledgers
 
 QUERIES: dict = {}
@@ -37,27 +38,27 @@ ms = F.unix_millis
 
 @query("SELECT alert_id, seq, verdict, confidence, epoch_ms(investigated_at) AS investigated_ms FROM latest")
 def latest_record(spark: SparkSession, sf: str) -> DataFrame:
-    return lg.last_wins(ledgers(spark, sf).investigations, "alert_id").select("alert_id", F.col("uid").cast("long").alias("seq"), "verdict", "confidence", ms("investigated_at").alias("investigated_ms"))
+    return lg.latest(ledgers(spark, sf).investigations, "alert_id", "uid", "verdict", "confidence", "investigated_at").select("alert_id", F.col("uid").cast("long").alias("seq"), "verdict", "confidence", ms("investigated_at").alias("investigated_ms"))
 
 
 @query("SELECT alert_id, human_verdict, summary FROM ruled")
 def latest_ruling(spark, sf):
-    return lg.last_wins(ledgers(spark, sf).dispositions, "alert_id").select("alert_id", "human_verdict", "summary")
+    return lg.latest(ledgers(spark, sf).dispositions, "alert_id", "human_verdict", "summary")
 
 
 @query("SELECT alert_id, epoch_ms(closed_at) AS closed_ms FROM closed")
 def latest_closure(spark, sf):
-    return lg.last_wins(ledgers(spark, sf).closures, "alert_id").select("alert_id", ms("closed_at").alias("closed_ms"))
+    return lg.latest(ledgers(spark, sf).closures, "alert_id", "closed_at").select("alert_id", ms("closed_at").alias("closed_ms"))
 
 
 @query("SELECT alert_id, case_id FROM created QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1")
 def latest_created_alert(spark, sf):
-    return lg.last_wins(ledgers(spark, sf).created_alerts, "alert_id").select("alert_id", "case_id")
+    return lg.latest(ledgers(spark, sf).created_alerts, "alert_id", "case_id")
 
 
 @query("SELECT alert_id, doc_id, phase FROM progress QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1")
 def latest_progress(spark, sf):
-    return lg.last_wins(ledgers(spark, sf).watch_progress, "alert_id").select("alert_id", "doc_id", "phase")
+    return lg.latest(ledgers(spark, sf).watch_progress, "alert_id", "doc_id", "phase")
 
 
 @query("SELECT alert_id, seq FROM inv QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq) = 1")
@@ -68,7 +69,7 @@ def first_record(spark, sf):
 @query("SELECT l.alert_id, l.verdict, r.human_verdict FROM latest l LEFT JOIN ruled r USING (alert_id)")
 def latest_with_ruling(spark, sf):
     d = ledgers(spark, sf)
-    return lg.last_wins(d.investigations, "alert_id").join(lg.last_wins(d.dispositions, "alert_id").select("alert_id", "human_verdict"), "alert_id", "left").select("alert_id", "verdict", "human_verdict")
+    return lg.latest(d.investigations, "alert_id", "verdict").join(lg.latest(d.dispositions, "alert_id", "human_verdict"), "alert_id", "left")
 
 
 _SIGHT = """, sight AS (
@@ -171,13 +172,13 @@ def dedup_reuse_gate(spark, sf):
     d = ledgers(spark, sf)
     a = dedup.find_anchor(d.probes, d.investigations, hours=240)
     facts = d.investigations.select(F.col("uid").alias("anchor_uid"), "escalation_recommended", "injection_flags", "failed_tools")
-    ruling = lg.last_wins(d.dispositions, "alert_id").select(F.col("alert_id").alias("anchor_id"), "human_verdict")
+    ruling = lg.latest(d.dispositions, "alert_id", "human_verdict").select(F.col("alert_id").alias("anchor_id"), "human_verdict")
     j = a.join(facts, "anchor_uid").join(ruling, "anchor_id", "left")
     gate = dedup.reuse_gate(F.col("anchor_verdict"), F.col("anchor_confidence"), F.col("human_verdict"), F.col("escalation_recommended"), F.col("injection_flags"), F.col("failed_tools"))
     return j.select("probe_id", "anchor_id", gate["reason"].alias("reason"))
 
 
-_WATCHED = """, cand AS (SELECT * FROM inv WHERE t = 'view' AND seq % 3 = 0 AND seq % 5 < 3),
+_WATCHED = """, cand AS (SELECT * FROM inv WHERE t = 'view' AND seq % 3 = 0),
 anc2 AS (
   SELECT p.alert_id AS probe_id, p.fingerprint, p.investigated_at AS now, i.seq AS a_seq, i.alert_id AS anchor_id, i.investigated_at AS a_at, i.verdict AS a_verdict, i.confidence AS a_confidence
   FROM cand p JOIN inv i ON p.fingerprint = i.fingerprint AND i.alert_id <> p.alert_id AND i.duplicate_of IS NULL AND i.investigated_at >= p.investigated_at - INTERVAL 480 HOUR AND i.investigated_at <= p.investigated_at
@@ -192,7 +193,7 @@ def dedup_suppress(spark, sf):
     """The whole suppression pipeline for alerts that came as duplicates."""
     d = ledgers(spark, sf)
     seq = F.col("uid").cast("long")
-    probes = d.investigations.where(F.col("title").startswith("Alert view-") & (seq % 3 == 0) & (seq % 5 < 3))
+    probes = d.investigations.where(F.col("title").startswith("Alert view-") & (seq % 3 == 0))
     return dedup.suppress(probes, d.investigations, d.dispositions, hours=480).select("probe_id", "anchor_id", "suppressions", "reason")
 
 
@@ -209,12 +210,13 @@ def real_record_ids(spark, sf):
 
 # -- gates
 
+_SIGHT_ALL = _SIGHT.replace("FROM probes p", "FROM inv p")
 _OVER = ", over AS (SELECT probe_id, alert_id AS oid FROM sightings WHERE human_verdict <> verdict QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY event_ts DESC, alert_id DESC) = 1)"
 
 
 def _gated(spark, sf):
     d = ledgers(spark, sf)
-    over = policy.overturned_precedents(memory.prior_sightings(d.probes, d.investigations, d.dispositions))
+    over = policy.overturned_precedents(memory.prior_sightings(d.investigations, d.investigations, d.dispositions))
     return d.investigations.join(over.withColumnRenamed("probe_id", "alert_id"), "alert_id", "left").withColumn("seq", F.col("uid").cast("long"))
 
 
@@ -222,14 +224,14 @@ _TESTS = """WHEN verdict <> 'false_positive' THEN 'verdict is ' || verdict {o} W
   WHEN escalation_recommended THEN 'escalation recommended' WHEN injection_flags > 0 THEN 'injection flags' WHEN is_campaign THEN 'campaign' ELSE 'clean' END AS reason"""
 
 
-@query(_SIGHT + _OVER + " SELECT seq, CASE " + _TESTS.format(o="WHEN oid IS NOT NULL THEN 'overturned precedent ' || oid") + " FROM inv LEFT JOIN over ON probe_id = alert_id")
+@query(_SIGHT_ALL + _OVER + " SELECT seq, CASE " + _TESTS.format(o="WHEN oid IS NOT NULL THEN 'overturned precedent ' || oid") + " FROM inv LEFT JOIN over ON probe_id = alert_id")
 def closure_gate(spark, sf):
     c = F.col
     g = policy.auto_close(c("verdict"), c("confidence"), c("overturned_id"), c("failed_tools"), c("escalation_recommended"), c("injection_flags"), c("is_campaign"))
     return _gated(spark, sf).select("seq", g["reason"].alias("reason"))
 
 
-@query(_SIGHT + _OVER + " SELECT seq, CASE WHEN severity = 'critical' THEN 'critical severity' WHEN oid IS NOT NULL THEN 'overturned precedent ' || oid " + _TESTS.format(o="") + " FROM inv LEFT JOIN over ON probe_id = alert_id")
+@query(_SIGHT_ALL + _OVER + " SELECT seq, CASE WHEN severity = 'critical' THEN 'critical severity' WHEN oid IS NOT NULL THEN 'overturned precedent ' || oid " + _TESTS.format(o="") + " FROM inv LEFT JOIN over ON probe_id = alert_id")
 def routing_gate(spark, sf):
     c = F.col
     g = policy.promote(c("severity"), c("verdict"), c("confidence"), c("overturned_id"), c("failed_tools"), c("escalation_recommended"), c("injection_flags"), c("is_campaign"))
@@ -368,13 +370,6 @@ def confirmed_techniques(spark, sf):
     return reports.confirmed_techniques(_cases(spark, sf))
 
 
-@query(_CASES + """, p AS (SELECT alert_id, detection, eff, investigated_at, host AS entity, 'hosts' AS section FROM cases WHERE NOT supp UNION ALL SELECT alert_id, detection, eff, investigated_at, ioc, 'ips' FROM cases WHERE NOT supp),
-g AS (SELECT entity, section, count(*) FILTER (eff = 'false_positive') AS sightings, count(DISTINCT CAST(investigated_at AS DATE)) FILTER (eff = 'false_positive') AS days, count(DISTINCT detection) FILTER (eff = 'false_positive') AS reach, count(*) FILTER (eff = 'true_positive') AS confirmed_against FROM p GROUP BY ALL)
-SELECT *, CASE WHEN confirmed_against > 0 THEN 'refused' WHEN sightings >= 3 AND days >= 2 THEN 'eligible' ELSE 'rare' END AS class FROM g WHERE sightings > 0""")
-def inventory_proposals(spark, sf):
-    return reports.inventory_proposals(_cases(spark, sf)).withColumn("class", reports.proposal_class()).drop("recurs", "known")
-
-
 @query(f", c AS (SELECT CASE WHEN alert_id IN (SELECT alert_id FROM rulings) THEN 'pinned' WHEN investigated_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY THEN 'archived' ELSE 'retained' END AS class FROM inv) SELECT class, count(*) AS n FROM c GROUP BY class")
 def rotation_plan(spark, sf):
     d = ledgers(spark, sf)
@@ -421,41 +416,50 @@ def sortable_uids(spark, sf):
     return ledgers(spark, sf).investigations.select(lg.sortable_uid(F.col("written_at"), F.col("uid").cast("long") % 1000, F.lit("-x")).alias("uid"))
 
 
-@query("""SELECT l.alert_id, l.verdict AS copilot_verdict, r.human_verdict AS label, l.verdict = r.human_verdict AS agreed FROM latest l JOIN ruled r USING (alert_id) WHERE l.duplicate_of IS NULL""")
+@query("""SELECT l.alert_id, l.verdict AS our_verdict, r.human_verdict AS label, l.verdict = r.human_verdict AS agreed FROM latest l JOIN ruled r USING (alert_id) WHERE l.duplicate_of IS NULL""")
 def exportable_cases(spark, sf):
-    """Labelled cases: the last record of alerts that an analyst has ruled, suppressed ones left out."""
     d = ledgers(spark, sf)
-    j = dedup.real(lg.last_wins(d.investigations, "alert_id")).join(lg.last_wins(d.dispositions, "alert_id").select("alert_id", "human_verdict"), "alert_id")
-    return j.select("alert_id", F.col("verdict").alias("copilot_verdict"), F.col("human_verdict").alias("label"), (F.col("verdict") == F.col("human_verdict")).alias("agreed"))
+    return sinks.labelled_cases(d.investigations, d.dispositions)
 
 
 @query("SELECT alert_id FROM ruled EXCEPT SELECT alert_id FROM latest WHERE duplicate_of IS NULL")
 def blocked_exports(spark, sf):
     d = ledgers(spark, sf)
-    return lg.last_wins(d.dispositions, "alert_id").select("alert_id").exceptAll(dedup.real(lg.last_wins(d.investigations, "alert_id")).select("alert_id"))
+    return lg.latest(d.dispositions, "alert_id").exceptAll(dedup.real(lg.latest(d.investigations, "alert_id", "duplicate_of")).select("alert_id"))
+
+
+_INCOMING = """, incoming AS (SELECT seq, alert_id, CASE WHEN k % 4 = 0 THEN 'C0' ELSE 'C' || (seq - seq % 10 + 1) END AS case_id, CASE WHEN k % 9 = 5 THEN 'unsure' ELSE ['true_positive', 'false_positive', 'inconclusive'][k % 3 + 1] END AS human_verdict,
+    'k=' || CASE WHEN k % 2 = 0 THEN k ELSE k + 1 END AS summary FROM inv WHERE seq % 5 <> 4),
+lastin AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1), made AS (SELECT * FROM created QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1),
+judged AS (SELECT i.*, CASE WHEN m.alert_id IS NULL THEN 'no local record' WHEN i.case_id <> m.case_id THEN 'id mismatch' WHEN i.human_verdict = 'unsure' THEN 'unknown verdict' END AS refused FROM lastin i LEFT JOIN made m USING (alert_id))"""
+
 
+def _incoming(spark, sf):
+    """Rulings of a case tool on most alerts; some come under a wrong case or with a word that is no verdict."""
+    i = ledgers(spark, sf).investigations
+    k, seq = F.regexp_extract(F.element_at("iocs", 1), r"(\d+)$", 1).cast("long"), F.col("uid").cast("long")
+    human = F.when(k % 9 == 5, "unsure").otherwise(F.element_at(F.array(*map(F.lit, ("true_positive", "false_positive", "inconclusive"))), (k % 3 + 1).cast("int")))
+    case = F.concat(F.lit("C"), F.when(k % 4 == 0, F.lit(0)).otherwise(seq - seq % 10 + 1).cast("string"))
+    return i.where(seq % 5 != 4).select(*lg.ORDER, "alert_id", case.alias("case_id"), human.alias("human_verdict"), F.concat(F.lit("k="), (k + k % 2).cast("string")).alias("summary"))
 
-@query(""", incoming AS (SELECT alert_id, CASE WHEN k % 2 = 0 THEN ['true_positive', 'false_positive', 'inconclusive'][k % 3 + 1] ELSE 'false_positive' END AS human_verdict, 'k=' || k AS summary, seq FROM inv WHERE seq % 14 = 0)
-  SELECT i.alert_id, i.human_verdict, i.summary FROM (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1) i
-  LEFT JOIN ruled r USING (alert_id) WHERE i.alert_id IN (SELECT alert_id FROM created) AND NOT (i.human_verdict IS NOT DISTINCT FROM r.human_verdict AND i.summary IS NOT DISTINCT FROM r.summary)""")
+
+@query(_INCOMING + " SELECT j.alert_id, j.human_verdict, j.summary FROM judged j LEFT JOIN ruled r USING (alert_id) WHERE refused IS NULL AND NOT (j.human_verdict IS NOT DISTINCT FROM r.human_verdict AND j.summary IS NOT DISTINCT FROM r.summary)")
 def sync_dispositions(spark, sf):
     """Rulings from the case tool that differ from what is recorded, for alerts that it got from us."""
     d = ledgers(spark, sf)
-    k = F.regexp_extract(F.element_at("iocs", 1), r"(\d+)$", 1).cast("long")
-    human = F.when(k % 2 == 0, F.element_at(F.array(*map(F.lit, ("true_positive", "false_positive", "inconclusive"))), (k % 3 + 1).cast("int"))).otherwise("false_positive")
-    incoming = d.investigations.where(F.col("uid").cast("long") % 14 == 0).select(*lg.ORDER, "alert_id", human.alias("human_verdict"), F.concat(F.lit("k="), k.cast("string")).alias("summary"))
-    known = lg.last_wins(incoming, "alert_id").join(d.created_alerts.select("alert_id"), "alert_id", "left_semi")
-    now = lg.last_wins(d.dispositions, "alert_id").select("alert_id", F.col("human_verdict").alias("_v"), F.col("summary").alias("_s"))
-    j = known.join(now, "alert_id", "left")
-    return j.where(~(F.col("human_verdict").eqNullSafe(F.col("_v")) & F.col("summary").eqNullSafe(F.col("_s")))).select("alert_id", "human_verdict", "summary")
+    return feedback.changed_rulings(_incoming(spark, sf), d.created_alerts, d.dispositions).select("alert_id", "human_verdict", "summary")
+
+
+@query(_INCOMING + " SELECT alert_id, refused FROM judged")
+def ruling_provenance(spark, sf):
+    return feedback.judged_rulings(_incoming(spark, sf), ledgers(spark, sf).created_alerts).select("alert_id", "refused")
 
 
 @query("SELECT l.alert_id, l.verdict, r.human_verdict, r.human_verdict = l.verdict AS human_agrees FROM latest l LEFT JOIN ruled r USING (alert_id)")
 def stamped_results(spark, sf):
     """Results documents with the ruling on them."""
     d = ledgers(spark, sf)
-    j = lg.last_wins(d.investigations, "alert_id").join(lg.last_wins(d.dispositions, "alert_id").select("alert_id", "human_verdict"), "alert_id", "left")
-    return j.select("alert_id", "verdict", "human_verdict", (F.col("human_verdict") == F.col("verdict")).alias("human_agrees"))
+    return sinks.stamp_rulings(sinks.results_document(d.investigations), d.dispositions).select("alert_id", "verdict", "human_verdict", "human_agrees")
 
 
 @query("SELECT alert_id, CAST(sum(CAST(cost_usd AS DECIMAL(18, 6))) AS DOUBLE) AS cost_usd, count(*) AS passes FROM inv GROUP BY alert_id")

@@ -1,6 +1,8 @@
 """All queries over the security domain, by name, and the SQL that must give the same rows."""
 
-from . import content, desk
+from . import content, desk, more
 
-QUERIES: dict = {**desk.QUERIES, **content.QUERIES}
-ORACLES: dict = {**desk.ORACLES, **content.ORACLES}
+#: Each of these modules registers its queries in the same two tables when it is loaded.
+MODULES = (desk, content, more)
+QUERIES: dict = dict(desk.QUERIES)
+ORACLES: dict = dict(desk.ORACLES)

@@ -51,7 +51,7 @@ def normalize_hits(hits: DataFrame, source: str = "source", doc_id: str = "doc_i
 def open_alerts(hits: DataFrame, most: int, status: str = "open", source: str = "source") -> DataFrame:
     """The newest documents in a state: a bounded fetch by its nature."""
     d = hits.withColumn("_d", F.try_parse_json(source))
-    return d.where(text(F.col("_d"), "kibana.alert.workflow_status") == status).orderBy(F.desc(text(F.col("_d"), "@timestamp"))).limit(most).drop("_d")
+    return d.where(text(F.col("_d"), "kibana.alert.workflow_status") == status).orderBy(F.desc_nulls_last(F.try_to_timestamp(text(F.col("_d"), "@timestamp")))).limit(most).drop("_d")
 
 
 def read_alert_files(spark: SparkSession, path: str) -> DataFrame:

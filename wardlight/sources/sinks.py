@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import INVESTIGATIONS
-from .ledger import last_wins
+from ..functions.text import nz
+from .ledger import exclusive, hadoop_path, latest
 
 
 def investigation_record(results: DataFrame, writer: str) -> DataFrame:
@@ -18,11 +19,12 @@ def investigation_record(results: DataFrame, writer: str) -> DataFrame:
 
 def results_document(ledger: DataFrame) -> DataFrame:
     """Flat results for dashboards: the newest record of each alert."""
-    return last_wins(ledger, "alert_id").select("alert_id", "timestamp", "investigated_at", "title", "verdict", "confidence", "host", "attack_techniques", "cost_usd", "duration_seconds", F.col("duplicate_of").isNotNull().alias("is_duplicate"))
+    shown = ("timestamp", "investigated_at", "title", "verdict", "confidence", "host", "attack_techniques", "cost_usd", "duration_seconds")
+    return latest(ledger, "alert_id", *shown, "duplicate_of").select("alert_id", *shown, F.col("duplicate_of").isNotNull().alias("is_duplicate"))
 
 
 def stamp_rulings(results: DataFrame, rulings: DataFrame) -> DataFrame:
-    human = last_wins(rulings, "alert_id").select("alert_id", "human_verdict")
+    human = latest(rulings, "alert_id", "human_verdict")
     return results.join(human, "alert_id", "left").withColumn("human_agrees", F.col("human_verdict") == F.col("verdict"))
 
 
@@ -58,11 +60,18 @@ def tags(techniques: Column, groups: Column) -> Column:
     return F.array_distinct(F.concat(bare, F.slice(groups, 1, 3)))
 
 
+def labelled_cases(ledger: DataFrame, rulings: DataFrame) -> DataFrame:
+    """(alert_id, our_verdict, label, agreed): the last record of alerts that an analyst has ruled; suppressed ones are left out."""
+    human = latest(rulings, "alert_id", "human_verdict").withColumnRenamed("human_verdict", "label")
+    last = latest(ledger, "alert_id", "verdict", "duplicate_of").where(nz(F.col("duplicate_of")).isNull())
+    return last.join(human, "alert_id").select("alert_id", F.col("verdict").alias("our_verdict"), "label", (F.col("verdict") == F.col("label")).alias("agreed"))
+
+
 def export_cases(ledger: DataFrame, rulings: DataFrame, path: str) -> None:
-    """Labelled cases as JSON, a folder for each alert: ruled, real and complete records only."""
-    human = last_wins(rulings, "alert_id").select("alert_id", F.struct("human_verdict", "source", "summary").alias("label"))
-    last = last_wins(ledger, "alert_id").where("duplicate_of is null and alert is not null").select("alert_id", "alert", F.col("verdict").alias("copilot_verdict"))
-    last.join(human, "alert_id").withColumn("agreed", F.col("copilot_verdict") == F.col("label.human_verdict")).write.mode("overwrite").partitionBy("alert_id").json(path)
+    """Labelled cases as JSON, a folder for each alert: those of labelled_cases whose alert is stored in full."""
+    human = latest(rulings, "alert_id", "source", "summary")
+    alerts = latest(ledger, "alert_id", "alert").where("alert is not null")
+    labelled_cases(ledger, rulings).join(human, "alert_id").join(alerts, "alert_id").write.mode("overwrite").partitionBy("alert_id").json(path)
 
 
 def rotate(spark: SparkSession, classed: DataFrame, ledger_path: str, archive_path: str, expected: int) -> DataFrame:
@@ -79,12 +88,46 @@ def rotate(spark: SparkSession, classed: DataFrame, ledger_path: str, archive_pa
     return spark.read.parquet(staged)
 
 
-def publish_staged(spark: SparkSession, ledger_path: str) -> None:
-    """Puts the staged table in the ledger's place by two renames."""
-    hadoop = spark._jsc.hadoopConfiguration()
-    p = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+def publish_staged(spark: SparkSession, ledger_path: str, expected: int) -> None:
+    """Puts the staged table in the ledger's place by two renames, under the ledger's lock, each of them checked.
+
+    Rows that were appended since the plan (more than ``expected``) stop it. If the second rename fails, the first is taken back.
+    ``recover`` mends what a crash between the two leaves.
+    """
+    path = ledger_path.rstrip("/")
+    fs, here = hadoop_path(spark, path)
+    _, staged = hadoop_path(spark, path + ".staged")
+    _, before = hadoop_path(spark, path + ".before")
+    with exclusive(spark, path):
+        if spark.read.parquet(path).count() != expected:
+            raise RuntimeError("the ledger has grown since the plan was made")
+        if not fs.exists(staged):
+            raise RuntimeError(f"nothing to publish: {path}.staged is missing")
+        if not fs.rename(here, before):
+            raise RuntimeError(f"could not set {path} aside")
+        done = False
+        try:
+            done = fs.rename(staged, here)
+        finally:
+            if not done:
+                fs.rename(before, here)
+        if not done:
+            raise RuntimeError(f"could not publish {path}.staged")
+        fs.delete(before, True)
+
+
+def recover(spark: SparkSession, ledger_path: str) -> bool:
+    """Puts a ledger back that a crash has left set aside; whether there was one."""
     path = ledger_path.rstrip("/")
-    fs = p(path).getFileSystem(hadoop)
-    fs.rename(p(path), p(path + ".before"))
-    fs.rename(p(path + ".staged"), p(path))
-    fs.delete(p(path + ".before"), True)
+    fs, here = hadoop_path(spark, path)
+    _, before = hadoop_path(spark, path + ".before")
+    if fs.exists(here) or not fs.exists(before):
+        return False
+    if not fs.rename(before, here):
+        raise RuntimeError(f"could not restore {path}")
+    return True
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A calibration report as one JSON file of lines, ordered; its rows are one for each fixture, mode and property."""
+    rows.orderBy("fixture", "mode", "property").coalesce(1).write.mode("overwrite").json(path)
