@@ -386,7 +386,7 @@ def normalize_hits(spark, sf):
     return ecs.normalize_hits(hits).select("alert_id", "severity", "title", F.array_join(F.element_at("indicators", F.lit("ips")), ",").alias("ips"))
 
 
-@query(r"""SELECT lpad(CAST(seq AS VARCHAR), 12, '0') AS uid, sha256('{"content":"{\\"message\\": \\"seen #.#\\", \\"rule\\": \\"' || detection || '\\"}","host":"' || host || '","iocs":["' || ioc || '"],"severity":"' || severity || '","source":"siem","title":"' || title || '"}') AS fingerprint FROM inv""")
+@query(r"""SELECT lpad(CAST(seq AS VARCHAR), 12, '0') AS uid, sha256('{"content":"{\"message\": \"seen #.#\", \"rule\": \"' || detection || '\"}","host":"' || host || '","iocs":["' || ioc || '"],"severity":"' || severity || '","source":"siem","title":"' || title || '"}') AS fingerprint FROM inv""")
 def alert_fingerprints(spark, sf):
     """Fingerprints of whole alerts: numbers and the host gone from the log, digits of its free text masked."""
     i = ledgers(spark, sf).investigations
