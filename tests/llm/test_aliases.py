@@ -1,6 +1,9 @@
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
-from wardlight.llm import url_filters
+from wardlight.llm import oracles, url_filters
 
 
 def test_targets_that_are_no_rows_block_their_aliases(spark):
@@ -30,3 +33,29 @@ def test_relative_links(spark):
     pages = [(1, "http://v.net/d/1", '<link rel=canonical href="../e/1">'), (2, "http://v.net/e/1", '<base href="http://x.com/de/"><meta http-equiv=refresh content="0;url=3">'), (3, "http://v.net/d/2", '<link rel=canonical href="9">')]
     found = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert found == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_sql_is_the_same_function(spark):
+    rng = random.Random(3)
+    hosts, paths = ["x.com", "A.example.org", "y.net", "z.Y.net", "example.org"], ["", "/", "/de/1", "/fr/2", "/es/x", "/en/1", "/p/q/r", "/p/../de/3", "/a/./b", "/p/..", "?q=1", "/s?u=http://x.com/de/1"]
+    url = lambda: rng.choice(["http://", "https://"]) + rng.choice(hosts) + rng.choice(paths)
+    href = lambda: rng.choice([url(), "//" + rng.choice(hosts) + "/de/9", rng.choice(paths), "../de/2", "b.html", "./c", "?z=2", "#top", "mailto:a@b.c", "/r?a&amp;b", url() + "#f"])
+    tags = [
+        lambda: f'<link rel="canonical" href="{href()}">', lambda: f"<LINK href='{href()}' rel=canonical>", lambda: f"<link rel=stylesheet href=s.css><link class=x rel='canonical' data-a=1 href={href()}>",
+        lambda: f'<meta http-equiv=refresh content="0;url={href()}">', lambda: f"<meta content='3; URL={href()}' http-equiv='Refresh'>", lambda: f'<base href="{href()}"><link rel=canonical href="{href()}">', lambda: "<p>canonical refresh</p>", lambda: "",
+    ]
+    rows = [(i, rng.choice([url(), url(), url(), None, "nope"]), rng.choice([rng.choice(tags)(), rng.choice(tags)() + rng.choice(tags)(), None])) for i in range(300)]
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = sorted((i, h, p, rule or "", v) for i, h, p, rule, v in con.execute(oracles.OP4).fetchall())
+    assert got == want
+    assert {v for *_, v in got} == {"allow", "block"} and sum(1 for *_, rule, v in got if not rule and v == "block") > 20
+
+
+def test_neutral_names_in_links(spark):
+    pages = [(1, "http://v.net/1", '<link rel=canonical href="http://x.com/de/2">', "k", 5, 7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, shut string, node int, _shut int")
+    out = url_filters.filter_urls(df).first()
+    assert (out["verdict"], out["shut"], out["node"], out["_shut"]) == ("block", "k", 5, 7)

@@ -1,40 +1,100 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-OP4 = r"""
-WITH RECURSIVE page AS (
-  SELECT page_id, html, url,
-    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 2) AS path,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3) AS query
-  FROM pages),
-rules(verdict, rh, rp) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
-fit AS (
-  SELECT page_id, url, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict
-  FROM (SELECT DISTINCT page_id, url, host, path FROM page) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
-  GROUP BY page_id, url),
-judged AS (
-  SELECT p.*, f.rule, f.verdict AS own, CASE WHEN host <> '' THEN host || (CASE WHEN path = '' THEN '/' ELSE path END) || query END AS node
-  FROM page p LEFT JOIN fit f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.url IS NOT DISTINCT FROM f.url),
-link AS (
-  SELECT node AS a, host, unnest([
-    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["''\s/>][^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS href
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract({url}, '{_PARTS}', 1), '{_UP}', '{_LOW}')"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract({url}, '{_PARTS}', 2)"
+
+
+def _undotted(path: str) -> str:
+    """A path with its dot segments carried out."""
+    folded = f"list_reduce(list_prepend('', string_split(substr({path}, 2), '/')), lambda done, x: CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END)"
+    whole = f"(CASE WHEN {folded} = '' THEN '/' ELSE {folded} END) || (CASE WHEN regexp_matches({path}, '/\\.\\.?$') AND {folded} <> '' THEN '/' ELSE '' END)"
+    return f"CASE WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN {whole} ELSE {path} END"
+
+
+def _node(url: str) -> str:
+    return f"CASE WHEN {_host(url)} <> '' THEN {_host(url)} || (CASE WHEN {_path(url)} = '' THEN '/' ELSE {_undotted(_path(url))} END) || regexp_extract({url}, '{_PARTS}', 3) END"
+
+
+def _resolved(link: str, base: str) -> str:
+    folder = f"CASE WHEN {_path(base)} = '' THEN '/' ELSE regexp_extract({_path(base)}, '(?s)^(.*/)', 1) END"
+    page = f"'http://' || {_host(base)} || (CASE WHEN {_path(base)} = '' THEN '/' ELSE {_path(base)} END)"
+    return f"""CASE WHEN regexp_matches({link}, '(?i)^[a-z][a-z0-9+.-]*://') THEN {link} WHEN starts_with({link}, '//') THEN 'http:' || {link} WHEN regexp_matches({link}, '(?i)^[a-z][a-z0-9+.-]*:') OR {_host(base)} = '' THEN NULL
+    WHEN starts_with({link}, '/') THEN 'http://' || {_host(base)} || {link} WHEN starts_with({link}, '?') THEN {page} || {link} WHEN starts_with({link}, '#') THEN {page} || regexp_extract({base}, '{_PARTS}', 3) ELSE 'http://' || {_host(base)} || ({folder}) || {link} END"""
+
+
+def _judged(host: str, path: str) -> str:
+    """The verdict of the longest rule that fits."""
+    return f"(SELECT max_by(verdict, length(rh || rp)) FROM rules WHERE ({host} = rh OR ends_with({host}, '.' || rh)) AND starts_with({path}, rp))"
+
+
+_REF = r"""["'']?([^"''\s>]+)"""
+
+OP4 = rf"""
+WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
+page AS (SELECT page_id, html, url, {_host("coalesce(url, '')")} AS host, {_path("coalesce(url, '')")} AS path, {_node("coalesce(url, '')")} AS node FROM pages),
+fit AS (SELECT page_id, url, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict
+  FROM (SELECT DISTINCT page_id, url, host, path FROM page) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id, url),
+judged AS (SELECT p.*, f.rule, f.verdict AS own FROM page p LEFT JOIN fit f ON p.page_id IS NOT DISTINCT FROM f.page_id AND p.url IS NOT DISTINCT FROM f.url),
+tag AS (SELECT node AS a, url, regexp_extract(list_filter(regexp_extract_all(html, '(?is)<base\b[^>]*'), lambda t: regexp_matches(t, '(?is)\bhref\s*=\s*{_REF}'))[1], '(?is)\bhref\s*=\s*{_REF}', 1) AS base,
+    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>?'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?\s*canonical["''\s/>]') AND regexp_matches(t, '(?is)\bhref\s*=\s*{_REF}'))[1], '(?is)\bhref\s*=\s*{_REF}', 1) AS canonical,
+    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh') AND regexp_matches(t, '(?is)\burl\s*=\s*{_REF}'))[1], '(?is)\burl\s*=\s*{_REF}', 1) AS refresh
   FROM judged WHERE html IS NOT NULL),
-target AS (
-  SELECT a, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || host || href END AS url
-  FROM link WHERE href <> ''),
-edge AS (
-  SELECT a, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ||
-    (CASE WHEN regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 2) = '' THEN '/' ELSE regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 2) END) ||
-    regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)', 3) AS b
-  FROM target WHERE url IS NOT NULL AND a IS NOT NULL),
+link AS (SELECT a, url, regexp_replace(coalesce(base, ''), '&amp;', '&', 'gi') AS base, regexp_replace(unnest([canonical, refresh]), '&amp;', '&', 'gi') AS href FROM tag),
+based AS (SELECT a, href, CASE WHEN base = '' THEN url ELSE coalesce({_resolved("base", "coalesce(url, '')")}, url) END AS base FROM link WHERE href <> ''),
+target AS (SELECT a, {_resolved("href", "coalesce(base, '')")} AS url FROM based),
+edge AS (SELECT a, {_node("url")} AS b FROM target WHERE url IS NOT NULL AND a IS NOT NULL),
+named AS (SELECT a AS node FROM edge WHERE b IS NOT NULL AND a <> b UNION SELECT b FROM edge WHERE b IS NOT NULL AND a <> b),
+bad AS (SELECT node FROM (SELECT node, {_host("'http://' || node")} AS h, {_path("'http://' || node")} AS p FROM named) WHERE {_judged("h", "p")} = 'block'),
 shut(node) AS (
   SELECT node FROM judged WHERE own = 'block' AND node IS NOT NULL
-  UNION
-  SELECT CASE WHEN e.a = s.node THEN e.b ELSE e.a END FROM shut s JOIN edge e ON e.a = s.node OR e.b = s.node)
+  UNION SELECT node FROM bad
+  UNION SELECT CASE WHEN e.a = s.node THEN e.b ELSE e.a END FROM shut s JOIN edge e ON e.b IS NOT NULL AND (e.a = s.node OR e.b = s.node))
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IN (SELECT node FROM shut) THEN 'block' END, 'allow') AS verdict FROM judged
 """
 
+OP2 = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS s FROM doc, unnest(range(1, greatest(2, len(w) - 1))) t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+linked AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(x, y) AS (SELECT a, b FROM linked UNION SELECT r.x, t.b FROM reach r JOIN linked t ON r.y = t.a),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id FROM doc d LEFT JOIN n USING (doc_id) LEFT JOIN least_of l ON l.x = d.doc_id
+"""
+
+
+def _quality() -> str:
+    from .quality import LINE_LIMIT, NGRAM_LIMITS
+
+    sizes = [3, *NGRAM_LIMITS]
+    steps = [
+        "doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)",
+        "word AS (SELECT rid, p, length(w[p]) AS c FROM doc, unnest(range(1, len(w) + 1)) t(p))",
+        "line AS (SELECT rid, l, count(*) AS n, coalesce(list_sum(list_transform(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), lambda x: length(x))), 0) AS c FROM (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM doc) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY ALL)",
+        "dup AS (SELECT rid, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines, CAST(sum((n - 1) * c) AS BIGINT) AS dup_line_chars FROM line GROUP BY rid)",
+    ]
+    for n in sizes:
+        steps.append(f"g{n} AS (SELECT rid, k, row_number() OVER (PARTITION BY rid, g ORDER BY k) AS nth, count(*) OVER (PARTITION BY rid, g) AS times FROM (SELECT rid, k, array_to_string(w[k:k + {n - 1}], ' ') AS g FROM doc, unnest(range(1, len(w) - {n - 2})) t(k)))")
+        which = "times > 1" if n == 3 else "nth > 1"
+        steps.append(f"c{n} AS (SELECT x.rid, count(*) AS n, CAST(sum(c) AS BIGINT) AS c FROM (SELECT DISTINCT rid, p FROM g{n}, unnest(range(k, k + {n})) t(p) WHERE {which}) x JOIN word USING (rid, p) GROUP BY x.rid)")
+    joins = " ".join(f"LEFT JOIN c{n} USING (rid)" for n in sizes)
+    limits = " AND ".join([f"dup_line_chars <= {LINE_LIMIT}::DOUBLE * word_chars", *(f"dup_chars_{n} <= {most}::DOUBLE * word_chars" for n, most in NGRAM_LIMITS.items())])
+    dups = ", ".join(f"coalesce(c{n}.c, 0) AS dup_chars_{n}" for n in NGRAM_LIMITS)
+    steps.append(f"""m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c3.n, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars, {dups} FROM doc LEFT JOIN dup USING (rid) {joins})""")
+    steps.append("f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)")
+    return f"WITH {', '.join(steps)} SELECT *, NOT base_failed AND {limits} AS kept FROM f"
+
+
 OP5 = r"""
 WITH doc AS (
   SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS name,
@@ -75,4 +135,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
 FROM doc d LEFT JOIN covered c USING (rid) LEFT JOIN found f USING (rid)
 """
 
-ORACLES = {"op6_decontamination": OP6, "op4_url_filters": OP4, "op5_mixing": OP5}
+ORACLES = {"op2_jaccard": OP2, "op4_url_filters": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op9_quality": _quality()}
