@@ -282,3 +282,38 @@ def test_pipeline_stages_against_brute_force(spark):
 
 def test_sha_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_blocks_of_candidates_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    terms = np.minimum(rng.zipf(1.3, 4000), 60).astype(np.uint64)
+    order = np.argsort(terms, kind="stable")
+    names, counts = np.unique(terms, return_counts=True)
+    segment = decontaminate.Segment(names, np.cumsum(counts), order.astype(np.int64))
+    windows = np.stack([terms[k : k + 10] for k in range(0, 3900, 7)])
+    lengths = np.full(len(windows), 10, dtype=np.int64)
+    whole = sorted(zip(*(x.tolist() for x in decontaminate.phrase_starts(segment, windows, lengths)), strict=True))
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 50)
+    assert sorted(zip(*(x.tolist() for x in decontaminate.phrase_starts(segment, windows, lengths)), strict=True)) == whole
+    want = [(i, s) for i, w in enumerate(windows) for s in range(3991) if (terms[s : s + 10] == w).all()]
+    assert whole == sorted(want)
+
+
+def test_mix_without_ids_and_with_clashing_names(spark):
+    rows = [(None, " ".join(["w"] * (1 + i % 7)) + f" t{i}", "a") for i in range(3000)] + [(None, f"x{i}", "b") for i in range(200)]
+    df = docs_of(spark, rows).selectExpr("*", "'k' as last", "1 as _p", "2 as name", "3 as p", "4 as target")
+    got = mixing.mix_sources(df, rows_a_bucket=256)
+    assert set(got.columns) == {"doc_id", "text", "source", "last", "_p", "name", "p", "size", "source_size", "target", "repeats"}
+    by = {r["source"]: (r["t"], r["got"]) for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("repeats")).alias("got")).collect()}
+    assert all(abs(t - n) <= 20 for t, n in by.values()), by
+
+
+def test_very_long_texts_in_index_mix_and_shards(spark):
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    df = docs_of(spark, [(1, long, "a"), (2, "short one", "a"), (3, None, None)])
+    bench = spark.createDataFrame([(1, " ".join(f"w{i % 977}" for i in range(970, 990)))], "item_id long, text string")
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.find_contamination(df, bench).collect()}
+    assert hits[1][0] == 300_000 and hits[1][1] == 20 * (300_000 // 977) and hits[2][1] == 0
+    assert mixing.mix_sources(df).count() == 3 and sharding.shard(df, 2).count() == 3
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.train([b"w1 w2 w3", b"zz yy xx"], ["x", "y"], rounds=2)).collect()}
+    assert found[1] in ("x", "y") and found[3] == "und"

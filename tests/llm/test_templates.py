@@ -28,3 +28,31 @@ def test_pages_of_a_host_settle_on_one_path(spark):
     rows.append((11, "https://o.test/11", "<body><article class=post><a href=/>all linked</a></article></body>"))
     got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == ("words of the article " * 20).strip() for i in range(11)) and got[11] == "all linked"
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"https://t{i}.test/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_extract.extract_pages(df).orderBy("page_id").collect()]
+
+
+def test_pages_against_their_known_articles(spark):
+    pages = {
+        "<head><title>T</title><p>Text one</p><p>Text two": "Text one\nText two",
+        "<html><head><meta charset=x><style>p{}</style><body><p>In body</p></body>": "In body",
+        "<body><div id=main><section class='share-prices'><p>Prices went up by a lot today in all of the markets.</p></section></div><nav>menu</nav></body>": "Prices went up by a lot today in all of the markets.",
+        "<article><p>First words of it.</p><p class=related>Related work is part of this text.</p><p class=ad>Buy now</p></article>": "First words of it.\nRelated work is part of this text.",
+        "<article><header><h1>Title of it</h1><p>by line</p></header><p>Body of the text.</p></article><header><h1>Site</h1></header>": "Title of it\nBody of the text.",
+        "<article><p>One</p><div class='share-box'>Tweet</div><div class='comment-list'><p>nice!</p></div><div class='top bar'>x</div></article>": "One\nx",
+        "<main><div class=part1><p>Half of the text.</p></div><div class=part2><p>Other half of it.</p></div></main><aside>no</aside>": "Half of the text.\nOther half of it.",
+        "<p>a &lt;b&gt; &amp;amp; &#x41;&#66; &nbsp; c\n\td</p><script>no</script><!-- no --><textarea>no</textarea>": "a <b> &amp; AB c d",
+        "<body><table><tr><td>x<td>y</table><ul><li>1<li>2</ul></body>": "x\ny\n1\n2",
+        "": "", "   ": "", "<div>": "", "plain": "plain",
+    }
+    assert texts_of(spark, list(pages)) == list(pages.values())
+
+
+def test_long_pages_and_clashing_names(spark):
+    long = "<article>" + "<p>some words here</p>" * 40_000 + "</article>"
+    df = spark.createDataFrame([(1, "https://l.test/", long, 4, "k", 9)], "page_id long, url string, html string, _mine int, chosen string, mine int")
+    r = html_extract.extract_pages(df).first()
+    assert r["text"].count("\n") == 39_999 and (r["_mine"], r["chosen"], r["mine"]) == (4, "k", 9)
