@@ -189,15 +189,16 @@ def sample(docs: DataFrame, a_label: int = 300, most_rows: int = 19_200, width:
     The bound is most_rows. With so many labels that a_label documents of each would exceed it, each has less, but one at least of any label
     up to most_rows labels.
     """
-    known = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    known = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     labels = max(1, counts.count())
     share = max(1, min(a_label, most_rows // labels))
+    counts = F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(most_rows))  # so many rows at most
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
-    # twice the share, so that hashing leaves each label enough; exactly the share is taken of these few
-    near = known.withColumn("place", place).join(counts, "lang").where(F.col("place") < F.least(F.lit(1.0), (2 * share + 40) / F.col("n")) * float(1 << 40))
     room = F.greatest(F.lit(1), F.char_length("text") - width + 1)
     stretch = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit("stretch")), room) + 1).cast("int"), F.lit(width))
+    # twice the share, so that hashing leaves each label enough; exactly the share is taken of these few
+    near = known.select("doc_id", "lang", "text", place.alias("place")).join(counts, "lang").where(F.col("place") < F.least(F.lit(1.0), (2 * share + 40) / F.col("n")) * float(1 << 40))
     ranked = near.select("lang", "place", "doc_id", stretch.alias("text")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text")))
     return ranked.where(F.col("rank") <= share).orderBy("place", "doc_id", "text", "lang").limit(most_rows).select("lang", "text")
 
