@@ -48,12 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("keep"), "n")
     given, rows = _neutral(docs)
     rows = rows.withColumn("key", F.col("doc_id").cast("long")).select(*given.inner, "text", "key")
-    joined = rows.join(ids, F.col("key") == F.col("keep"))
-    plain = [f.name for f in given.table.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    whole = F.struct(*given.inner)
-    one = joined.where("n > 1").groupBy("key").agg(F.min_by(whole, F.struct("text", F.xxhash64(*plain))).alias("r")).select("r.*")
-    nameless = rows.where("key is null").select(*given.inner)
-    return given.back(joined.where("n = 1").select(*given.inner).unionByName(one).unionByName(nameless))
+    joined = rows.join(ids.hint("shuffle_hash"), F.col("key") == F.col("keep"))  # shuffled whatever the size of ids
+    kept = [joined.select(*given.inner), rows.where("key is null").select(*given.inner)]
+    if not ids.where("n > 1").isEmpty():  # ids that several rows have
+        plain = [f.name for f in given.table.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        first = F.min_by(F.struct(*given.inner), F.struct("text", F.xxhash64(*plain)))
+        kept[0] = joined.where("n = 1").select(*given.inner).unionByName(joined.where("n > 1").groupBy("key").agg(first.alias("r")).select("r.*"))
+    return given.back(kept[0].unionByName(kept[1]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
