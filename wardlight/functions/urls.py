@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,14 +22,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def staged(given: dict[str, Column], *steps) -> Column:
+    """A struct built step by step: each step gets the struct so far and gives further fields (name: Column).
+
+    The whole is one expression in which each step is computed once a row, however often later ones read it. As separate
+    columns they would be written out again for each reader as soon as a filter is pushed below them.
+    """
+
+    def go(s: Column, names: list[str], rest) -> Column:
+        if not rest:
+            return s
+        new = rest[0](s)
+        kept = [n for n in names if n not in new]
+        whole = F.struct(*(s[n].alias(n) for n in kept), *(c.alias(n) for n, c in new.items()))
+        return let(whole, lambda t: go(t, [*kept, *new], rest[1:]))
+
+    return let(F.struct(*(c.alias(n) for n, c in given.items())), lambda s: go(s, list(given), steps))
+
+
 def authority(url: Column) -> Column:
-    rest = F.when(F.instr(url, "://") > 0, F.regexp_replace(url, r"^.*?://", "")).otherwise(url)
-    return F.regexp_extract(rest, r"^([^/?#\\]*)", 1)
+    return let(F.when(F.instr(url, "://") > 0, F.regexp_replace(url, r"^.*?://", "")).otherwise(url), lambda rest: F.regexp_extract(rest, r"^([^/?#\\]*)", 1))
+
+
+def host_in(authority: Column) -> Column:
+    """The host of an authority: without user, port and brackets, in lower case."""
+    return let(F.regexp_replace(authority, r"^.*@", ""), lambda bare: F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[*([^\]]*)", 1)).otherwise(F.substring_index(bare, ":", 1))))
 
 
 def host(url: Column) -> Column:
-    bare = F.regexp_replace(authority(url), r"^.*@", "")
-    return F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[*([^\]]*)", 1)).otherwise(F.substring_index(bare, ":", 1)))
+    return host_in(authority(url))
 
 
 def has_userinfo(url: Column) -> Column:
@@ -37,15 +60,16 @@ def has_userinfo(url: Column) -> Column:
 def org_domain(domain: Column) -> Column:
     """The registrable domain: two labels, or three under a two-label public suffix."""
 
-    def cut(d: Column) -> Column:
-        labels = F.filter(F.split(d, r"\."), lambda x: x != "")
+    def cut(x: Column) -> Column:
+        d, labels = x["d"], x["labels"]
         n = F.size(labels)
         tail = lambda k: F.array_join(F.slice(labels, -k, k), ".")
         last, second = F.try_element_at(labels, F.lit(-1)), F.try_element_at(labels, F.lit(-2))
         deep = (n >= 3) & (tail(2).isin(*SUFFIXES) | ((F.length(last) == 2) & last.rlike("^[a-z]{2}$") & second.isin(*GENERIC)))
         return F.when((d == "") | ~F.contains(d, F.lit(".")) | (n < 2), d).when(deep, tail(3)).otherwise(tail(2))
 
-    return let(F.regexp_replace(F.lower(F.trim(F.coalesce(domain, F.lit("")))), r"\.+$", ""), cut)
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(domain, F.lit("")))), r"\.+$", "")
+    return let(let(bare, lambda d: F.struct(d.alias("d"), F.filter(F.split(d, r"\."), lambda x: x != "").alias("labels"))), cut)
 
 
 def aligned(a: Column, b: Column) -> Column:
@@ -70,11 +94,7 @@ def brand_in(text: Column, brand: str) -> Column:
 
 
 def credential_path(url: Column) -> Column:
-    rest = F.lower(F.regexp_replace(url, r"^.*?://[^/?#\\]*", ""))
-    out = F.lit(False)
-    for p in CREDENTIAL_PATHS:
-        out = out | F.contains(rest, F.lit(p))
-    return out
+    return let(F.lower(F.regexp_replace(url, r"^.*?://[^/?#\\]*", "")), lambda rest: reduce(lambda a, p: a | F.contains(rest, F.lit(p)), CREDENTIAL_PATHS, F.lit(False)))
 
 
 #: Scripts whose mixture in one word marks a homograph.

@@ -25,39 +25,73 @@ def _any(cs) -> Column:
     return reduce(lambda a, b: a | b, cs, F.lit(False))
 
 
-def identify(messages: DataFrame) -> DataFrame:
-    """Adds who sent the message and what was authenticated; spf_aligned and dkim_aligned are null where a side isn't known.
+INPUTS = ("from_header", "reply_to", "auth_results", "received", "recipients", "urls", "attachments")
+#: What identify adds.
+FACTS = ("auth", "spf", "dmarc", "compauth", "header_from", "from_domain", "envelope_from", "spf_result", "dkim_result", "dmarc_result", "dkim_domain", "spf_aligned", "dkim_aligned", "aligned_pass", "authenticated")
 
-    Each step reads columns of the step before, so nothing is parsed or cut to its organisation twice.
-    """
-    c = F.col
-    m = messages.withColumn("_from", F.try_element_at("from_header", F.lit(1))).withColumn("auth", mail.auth_results(F.try_element_at("auth_results", F.lit(1))))
-    m = m.withColumns({"header_from": mail.address(c("_from")), "spf": mail.method(c("auth"), "spf"), "dmarc": mail.method(c("auth"), "dmarc"), "compauth": mail.method(c("auth"), "compauth"), "_dkim": F.filter("auth", lambda e: e["method"] == "dkim")})
-    sender = F.when(~mail.prop(c("spf"), "smtp.mailfrom").isin("<>", "", "@"), mail.prop(c("spf"), "smtp.mailfrom"))
-    m = m.withColumns({"from_domain": F.coalesce(mail.domain_of(c("header_from")), mail.prop(c("dmarc"), "header.from")), "_sender": sender, "spf_result": c("spf.result"), "dmarc_result": c("dmarc.result")})
-    m = m.withColumn("envelope_from", F.coalesce(mail.domain_of(c("_sender")), c("_sender")))
-    signer = lambda e: F.coalesce(mail.prop(e, "header.d"), mail.domain_of(mail.prop(e, "header.i")))
-    sigs = F.transform("_dkim", lambda e: F.struct(e["result"].alias("result"), signer(e).alias("domain")))
-    m = m.withColumns({"_from_org": urls.org_domain(c("from_domain")), "_envelope_org": urls.org_domain(c("envelope_from")), "_sigs": sigs})
-    m = m.withColumn("_sigs", F.transform("_sigs", lambda e: F.struct(e["result"].alias("result"), e["domain"].alias("domain"), urls.org_domain(e["domain"]).alias("org"))))
+
+def _same(domain: Column, org: Column, s: Column) -> Column:
+    """Whether an organisation is that of the author's domain; null if either domain isn't known."""
     known = lambda x: F.coalesce(x, F.lit("")) != ""
-    same = lambda x, org: F.when(known(x) & known(c("from_domain")), org == c("_from_org"))
-    m = m.withColumns({"spf_aligned": same(c("envelope_from"), c("_envelope_org")), "_passing": F.filter("_sigs", lambda e: e["result"] == "pass")})
-    m = m.withColumn("_good", F.filter("_passing", lambda e: F.coalesce(same(e["domain"], e["org"]), F.lit(False))))
-    m = m.withColumn("_shown", F.coalesce(F.try_element_at("_good", F.lit(1)), F.try_element_at("_passing", F.lit(1)), F.try_element_at("_sigs", F.lit(1))))
-    m = m.withColumns({"dkim_domain": c("_shown.domain"), "dkim_result": c("_shown.result"), "dkim_aligned": F.when(F.size("_good") > 0, True).otherwise(same(c("_shown.domain"), c("_shown.org")))})
-    passed = F.coalesce((c("spf_result") == "pass") & c("spf_aligned"), F.lit(False)) | (F.size("_good") > 0) | F.coalesce(c("dmarc_result") == "pass", F.lit(False))
-    own = F.when(c("spf_result") == "pass", F.array("_envelope_org")).otherwise(F.array().cast("array<string>"))
-    signed = F.transform(F.filter("_passing", lambda e: e["domain"].isNotNull()), lambda e: e["org"])
-    return m.withColumns({"aligned_pass": passed, "authenticated": F.array_distinct(F.concat(own, signed))}).drop("_dkim", "_sender", "_envelope_org", "_sigs", "_passing", "_good", "_shown")
-
-
-def auth_signals() -> list[Column]:
-    c = F.col
+    return F.when(known(domain) & known(s["from_domain"]), org == s["from_org"])
+
+
+def _parsed(s: Column) -> dict[str, Column]:
+    return {"author": F.try_element_at(s["from_header"], F.lit(1)), "auth": mail.auth_results(F.try_element_at(s["auth_results"], F.lit(1)))}
+
+
+def _methods(s: Column) -> dict[str, Column]:
+    one = {n: mail.method(s["auth"], n) for n in ("spf", "dmarc", "compauth")}
+    return one | {"header_from": mail.address(s["author"]), "dkim": F.filter(s["auth"], lambda e: e["method"] == "dkim")}
+
+
+def _domains(s: Column) -> dict[str, Column]:
+    sender = mail.prop(s["spf"], "smtp.mailfrom")
+    signer = lambda e: F.coalesce(mail.prop(e, "header.d"), mail.domain_of(mail.prop(e, "header.i")))
+    return {
+        "from_domain": F.coalesce(mail.domain_of(s["header_from"]), mail.prop(s["dmarc"], "header.from")), "envelope_from": urls.let(F.when(~sender.isin("<>", "", "@"), sender), lambda x: F.coalesce(mail.domain_of(x), x)),
+        "spf_result": s["spf"]["result"], "dmarc_result": s["dmarc"]["result"], "sigs": F.transform(s["dkim"], lambda e: F.struct(e["result"].alias("result"), signer(e).alias("domain"))),
+    }
+
+
+def _orgs(s: Column) -> dict[str, Column]:
+    named = F.transform(s["sigs"], lambda e: F.struct(e["result"].alias("result"), e["domain"].alias("domain"), urls.org_domain(e["domain"]).alias("org")))
+    return {"from_org": urls.org_domain(s["from_domain"]), "envelope_org": urls.org_domain(s["envelope_from"]), "sigs": named}
+
+
+def _signed(s: Column) -> dict[str, Column]:
+    passing = F.filter(s["sigs"], lambda e: e["result"] == "pass")
+    good = F.filter(s["sigs"], lambda e: (e["result"] == "pass") & F.coalesce(_same(e["domain"], e["org"], s), F.lit(False)))
+    return {"spf_aligned": _same(s["envelope_from"], s["envelope_org"], s), "passing": passing, "good": good}
+
+
+def _concluded(s: Column) -> dict[str, Column]:
+    first = lambda c: F.try_element_at(c, F.lit(1))
+    none = F.array().cast("array<string>")
+    passed = F.coalesce((s["spf_result"] == "pass") & s["spf_aligned"], F.lit(False)) | (F.size(s["good"]) > 0) | F.coalesce(s["dmarc_result"] == "pass", F.lit(False))
+    signers = F.transform(F.filter(s["passing"], lambda e: e["domain"].isNotNull()), lambda e: e["org"])
+    return {"shown": F.coalesce(first(s["good"]), first(s["passing"]), first(s["sigs"])), "aligned_pass": passed, "authenticated": F.array_distinct(F.concat(F.when(s["spf_result"] == "pass", F.array(s["envelope_org"])).otherwise(none), signers))}
+
+
+def _shown(s: Column) -> dict[str, Column]:
+    return {"dkim_domain": s["shown"]["domain"], "dkim_result": s["shown"]["result"], "dkim_aligned": F.when(F.size(s["good"]) > 0, True).otherwise(_same(s["shown"]["domain"], s["shown"]["org"], s))}
+
+
+_IDENTITY = (_parsed, _methods, _domains, _orgs, _signed, _concluded, _shown)
+
+
+def identify(messages: DataFrame) -> DataFrame:
+    """Adds who sent the message and what was authenticated (FACTS); spf_aligned and dkim_aligned are null where a side isn't known."""
+    found = urls.staged({n: F.col(n) for n in INPUTS}, *_IDENTITY)
+    return messages.withColumn("_found", found).select("*", *(F.col(f"_found.{n}").alias(n) for n in FACTS)).drop("_found")
+
+
+def auth_signals(s: Column) -> list[Column]:
+    c = lambda n: s[n]
     return [
         _signal(c("from_domain").isNotNull() & ~c("aligned_pass") & (c("spf").isNotNull() | c("dkim_result").isNotNull() | c("dmarc").isNotNull()), "no_aligned_authentication", "strong"),
         _signal(c("dmarc_result") == "fail", "dmarc_fail", "strong"), _signal(c("dmarc_result") == "none", "dmarc_no_policy", "moderate"), _signal(c("dmarc_result") == "bestguesspass", "dmarc_best_guess", "moderate"),
-        _signal(c("compauth.result") == "fail", "composite_auth_fail", "moderate"), _signal(F.size("auth_results") > 1, "untrusted_authentication_results", "moderate"),
+        _signal(c("compauth")["result"] == "fail", "composite_auth_fail", "moderate"), _signal(F.size(c("auth_results")) > 1, "untrusted_authentication_results", "moderate"),
     ]
 
 
@@ -70,45 +104,46 @@ def _among(org: Column, domains: list[str]) -> Column:
     return F.array_contains(_org_of(domains), org) if domains else F.lit(False)
 
 
-def header_facts(m: DataFrame, brands: dict[str, list[str]]) -> DataFrame:
-    """Adds _reply, _reply_org, _shown and _brand: where answers go, the name that a reader sees and the first brand in it."""
-    shown = mail.display_name(F.col("_from"))
-    m = m.withColumns({"_reply": mail.domain_of(mail.address(F.col("reply_to"))), "_shown": shown})
-    brand = F.coalesce(*(F.when(urls.brand_in(F.lower(F.col("_shown")), b), F.lit(b)) for b in brands), F.lit(None).cast("string"))
-    return m.withColumns({"_reply_org": urls.org_domain(F.col("_reply")), "_brand": brand})
+def header_facts(s: Column, brands: dict[str, list[str]]) -> dict[str, Column]:
+    """Where answers go, the name that a reader sees and the first brand in it."""
+    name = mail.display_name(s["author"])
+    reply = mail.domain_of(mail.address(s["reply_to"]))
+    brand = urls.let(F.lower(name), lambda x: F.coalesce(*(F.when(urls.brand_in(x, b), F.lit(b)) for b in brands), F.lit(None).cast("string")))
+    return {"name": name, "reply": reply, "reply_org": urls.org_domain(reply), "brand": brand}
 
 
-def header_signals(brands: dict[str, list[str]], free_mail: list[str]) -> list[Column]:
-    """Over the columns of identify and header_facts."""
-    c = F.col
-    elsewhere = c("from_domain").isNotNull() & c("_reply").isNotNull() & (c("_reply_org") != c("_from_org"))
-    inside = F.lower(F.regexp_extract("_shown", r"(?U)[\w.+-]+@[\w.-]+\.\w+", 0))
-    owners = _any((c("_brand") == b) & _among(c("_from_org"), own) for b, own in brands.items())
+def header_signals(s: Column, brands: dict[str, list[str]], free_mail: list[str]) -> list[Column]:
+    c = lambda n: s[n]
+    elsewhere = c("from_domain").isNotNull() & c("reply").isNotNull() & (c("reply_org") != c("from_org"))
+    inside = F.lower(F.regexp_extract(c("name"), r"(?U)[\w.+-]+@[\w.-]+\.\w+", 0))
+    owners = _any((c("brand") == b) & _among(c("from_org"), own) for b, own in brands.items())
     return [
-        _signal(F.size("from_header") > 1, "multiple_from_headers", "strong"),
-        _signal(elsewhere & c("_reply").isin(*free_mail), "reply_to_free_mail", "moderate"), _signal(elsewhere & ~c("_reply").isin(*free_mail), "reply_to_other_domain", "weak"),
+        _signal(F.size(c("from_header")) > 1, "multiple_from_headers", "strong"),
+        _signal(elsewhere & c("reply").isin(*free_mail), "reply_to_free_mail", "moderate"), _signal(elsewhere & ~c("reply").isin(*free_mail), "reply_to_other_domain", "weak"),
         _signal((inside != "") & c("header_from").isNotNull() & (inside != c("header_from")), "display_name_contains_other_address", "moderate"),
-        _signal(urls.mixed_script(c("_shown")), "display_name_mixed_script", "strong"), _signal(c("from_domain").isNotNull() & c("_brand").isNotNull() & ~owners, "display_name_brand_mismatch", "moderate"),
+        _signal(urls.mixed_script(c("name")), "display_name_mixed_script", "strong"), _signal(c("from_domain").isNotNull() & c("brand").isNotNull() & ~owners, "display_name_brand_mismatch", "moderate"),
     ]
 
 
 def url_facts(links: Column) -> Column:
     """For each URL what the signals ask of it: (url, authority, host, org, before)."""
-    first = F.transform(links, lambda u: F.struct(u.alias("url"), urls.authority(u).alias("authority"), urls.host(u).alias("host")))
-    return F.transform(first, lambda x: F.struct(x["url"].alias("url"), x["authority"].alias("authority"), x["host"].alias("host"), urls.org_domain(x["host"]).alias("org"), F.when(F.size(F.split(x["host"], r"\.")) > 2, F.regexp_replace(x["host"], r"\.[^.]*\.[^.]*$", "")).otherwise("").alias("before")))
+    def told(u: Column) -> Column:
+        steps = (lambda s: {"authority": urls.authority(s["url"])}, lambda s: {"host": urls.host_in(s["authority"])}, lambda s: {"org": urls.org_domain(s["host"]), "before": F.when(F.size(F.split(s["host"], r"\.")) > 2, F.regexp_replace(s["host"], r"\.[^.]*\.[^.]*$", "")).otherwise("")})
+        return urls.staged({"url": u}, *steps)
 
+    return F.transform(links, told)
 
-def url_signals(brands: dict[str, list[str]], shorteners: list[str], facts: Column | None = None, recipients: Column | None = None) -> list[Column]:
-    """Signals of an array of url_facts; each comes once, those of a brand once a brand."""
-    facts = url_facts(F.col("urls")) if facts is None else facts
+
+def url_signals(facts: Column, brands: dict[str, list[str]], shorteners: list[str], recipients: Column | None = None, decoded: Column | None = None) -> list[Column]:
+    """Signals of an array of url_facts; each comes once, those of a brand once a brand. decoded: the first host with a punycode label as it is shown."""
     some = lambda test: F.exists(facts, test)
-    shown = F.try_element_at(F.filter(facts, lambda x: F.contains(x["host"], F.lit("xn--"))), F.lit(1))["host"]
 
     def branded(b: str, own: list[str]) -> Column:
         return _signal(some(lambda x: urls.brand_in(x["before"], b) & ~_among(x["org"], own)), "brand_in_subdomain", "strong")
 
+    level = F.lit("moderate") if decoded is None else F.when(urls.mixed_script(decoded), "strong").otherwise("moderate")
     out = [
-        _signal(shown.isNotNull(), "punycode_domain", F.when(urls.mixed_script(urls.decode_punycode(shown)), "strong").otherwise("moderate")),
+        _signal(some(lambda x: F.contains(x["host"], F.lit("xn--"))), "punycode_domain", level),
         _signal(some(lambda x: F.contains(x["authority"], F.lit("@"))), "url_userinfo_authority", "strong"), _signal(some(lambda x: urls.is_raw_ip(x["host"])), "url_raw_ip_host", "moderate"),
         _signal(some(lambda x: x["host"].isin(*shorteners)), "url_shortener", "weak"), *(branded(b, own) for b, own in brands.items()), _signal(some(lambda x: urls.credential_path(x["url"])), "credential_harvest_path", "weak"),
     ]
@@ -118,17 +153,25 @@ def url_signals(brands: dict[str, list[str]], shorteners: list[str], facts: Colu
     return out
 
 
-def attachment_signals(brands: dict[str, list[str]]) -> Column:
+def first_punycode(links: Column) -> Column:
+    """The first host of an array of URLs that has a punycode label."""
+    return F.try_element_at(F.filter(F.transform(F.filter(links, lambda u: F.contains(F.lower(u), F.lit("xn--"))), urls.host), lambda h: F.contains(h, F.lit("xn--"))), F.lit(1))
+
+
+def attachment_signals(s: Column, brands: dict[str, list[str]]) -> Column:
     """Signals of all attachments, in their order."""
     every = [o for own in brands.values() for o in own]
 
     def of(a: Column) -> Column:
-        name, ext = a["name"], mail.extension(a["name"])
-        effective = mail.effective_name(name)
-        parts = F.filter(F.split(F.lower(effective), r"\."), lambda p: p != "")
+        first = lambda x: {"base": mail.base_name(x["name"]), "effective": mail.effective_name(x["name"])}
+        second = lambda x: {"ext": mail.extension_of(x["effective"]), "parts": F.filter(F.split(F.lower(x["effective"]), r"\."), lambda p: p != "")}
+        return urls.let(urls.staged({"name": a["name"], "mime": F.lower(a["mime"]), "encrypted": a["encrypted"]}, first, second), judged)
+
+    def judged(x: Column) -> Column:
+        name, ext, effective, parts = x["name"], x["ext"], x["effective"], x["parts"]
         last, before = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
         is_in = lambda c, s: c.isin(*sorted(s))
-        wrong = _any((F.lower(a["mime"]) == m) & ~is_in(ext, e) for m, e in mail.EXPECTED.items())
+        wrong = _any((x["mime"] == m) & ~is_in(ext, e) for m, e in mail.EXPECTED.items())
         by_type = (
             F.when(is_in(ext, mail.EXECUTABLE | mail.SCRIPT), _signal(F.lit(True), "attachment_executable_type", "strong"))
             .when(is_in(ext, mail.SHORTCUT), _signal(F.lit(True), "attachment_shortcut_type", "strong"))
@@ -138,21 +181,21 @@ def attachment_signals(brands: dict[str, list[str]]) -> Column:
         )
         return F.array_compact(
             F.array(
-                _signal(F.contains(name, F.lit("‮")), "attachment_bidi_filename", "strong"), _signal((effective != "") & (effective != mail.base_name(name)), "attachment_filename_obscured", "moderate"),
+                _signal(F.contains(name, F.lit("‮")), "attachment_bidi_filename", "strong"), _signal((effective != "") & (effective != x["base"]), "attachment_filename_obscured", "moderate"),
                 _signal((F.size(parts) >= 3) & is_in(last, mail.EXECUTABLE | mail.SCRIPT | mail.SHORTCUT) & is_in(before, mail.DOCUMENT), "attachment_double_extension", "strong"), by_type,
-                _signal(a["encrypted"] & (is_in(ext, mail.ARCHIVE) | (ext == "")), "attachment_encrypted_archive", "moderate"), _signal((ext != "") & wrong, "attachment_type_mismatch", "moderate"),
+                _signal(x["encrypted"] & (is_in(ext, mail.ARCHIVE) | (ext == "")), "attachment_encrypted_archive", "moderate"), _signal((ext != "") & wrong, "attachment_type_mismatch", "moderate"),
             )
         )
 
-    hosted = lambda key: F.filter(F.array_distinct(F.flatten(F.transform("attachments", lambda a: F.coalesce(a[key], F.array().cast("array<string>"))))), lambda u: urls.host(u) != "")
+    hosted = lambda key: F.filter(F.array_distinct(F.flatten(F.transform(s["attachments"], lambda a: F.coalesce(a[key], F.array().cast("array<string>"))))), lambda u: urls.host(u) != "")
     def qr(u: Column) -> Column:
-        level = urls.let(urls.org_domain(urls.host(u)), lambda org: F.when(F.col("from_domain").isNull(), "moderate").when(org == F.col("_from_org"), "weak").when(_among(org, every), "moderate").otherwise("strong"))
+        level = urls.let(urls.org_domain(urls.host(u)), lambda org: F.when(s["from_domain"].isNull(), "moderate").when(org == s["from_org"], "weak").when(_among(org, every), "moderate").otherwise("strong"))
         return F.struct(F.lit("attachment_qr_url").alias("name"), level.alias("strength"))
 
     plain = lambda u: F.struct(F.lit("attachment_embedded_url").alias("name"), F.lit("moderate").alias("strength"))
     shown = lambda key, f: F.transform(F.slice(hosted(key), 1, MOST_CHANNEL_URLS), f)
     many = F.array_compact(F.array(*(_signal(F.size(hosted(k)) > MOST_CHANNEL_URLS, f"attachment_{n}_urls_truncated", "moderate") for k, n in (("qr_urls", "qr"), ("urls", "embedded")))))
-    return F.concat(F.flatten(F.transform("attachments", of)), shown("qr_urls", qr), shown("urls", plain), many)
+    return F.concat(F.flatten(F.transform(s["attachments"], of)), shown("qr_urls", qr), shown("urls", plain), many)
 
 
 def analyze(messages: DataFrame, brands: dict[str, list[str]], shorteners: list[str], free_mail: list[str], senders: dict[str, list[str]] | None = None) -> DataFrame:
@@ -160,10 +203,19 @@ def analyze(messages: DataFrame, brands: dict[str, list[str]], shorteners: list[
 
     senders: authorized domains of mail providers by author domain, from the inventory.
     """
-    m = identify(messages.where((F.size("from_header") > 0) | (F.size("auth_results") > 0)))
-    m = header_facts(m, brands).withColumns({"_urls": url_facts(F.col("urls")), "_hops": mail.hop_seconds(F.col("received"))})
-    known = _any(_among(F.col("_from_org"), [a]) & F.arrays_overlap("authenticated", _org_of(ds)) for a, ds in (senders or {}).items() if ds)
-    single = [*auth_signals(), *header_signals(brands, free_mail), *url_signals(brands, shorteners, F.col("_urls"), F.col("recipients"))]
-    after = [_signal(mail.goes_backwards(F.col("_hops")), "received_chain_non_monotonic", "strong"), _signal(known, "sanctioned_bulk_sender", "weak")]
-    signals = F.concat(F.array_compact(F.array(*single)), attachment_signals(brands), F.array_compact(F.array(*after)))
-    return m.select("alert_id", "header_from", "envelope_from", "dkim_domain", "spf_result", "dkim_result", "dmarc_result", "spf_aligned", "dkim_aligned", signals.alias("signals"))
+    own = messages.where((F.size("from_header") > 0) | (F.size("auth_results") > 0)).withColumn("_decoded", urls.decode_punycode(first_punycode(F.col("urls"))))
+
+    def facts(s: Column) -> dict[str, Column]:
+        return header_facts(s, brands) | {"links": url_facts(s["urls"]), "hops": mail.hop_seconds(s["received"])}
+
+    def judge(s: Column) -> dict[str, Column]:
+        known = _any(_among(s["from_org"], [a]) & F.arrays_overlap(s["authenticated"], _org_of(ds)) for a, ds in (senders or {}).items() if ds)
+        single = [*auth_signals(s), *header_signals(s, brands, free_mail), *url_signals(s["links"], brands, shorteners, s["recipients"], s["decoded"])]
+        after = [_signal(mail.goes_backwards(s["hops"]), "received_chain_non_monotonic", "strong"), _signal(known, "sanctioned_bulk_sender", "weak")]
+        return {"signals": F.concat(F.array_compact(F.array(*single)), attachment_signals(s, brands), F.array_compact(F.array(*after)))}
+
+    def kept(s: Column) -> Column:
+        return F.struct(*(s[n].alias(n) for n in ("header_from", "envelope_from", "dkim_domain", "spf_result", "dkim_result", "dmarc_result", "spf_aligned", "dkim_aligned", "signals")))
+
+    whole = urls.staged({n: F.col(n) for n in INPUTS} | {"decoded": F.col("_decoded")}, *_IDENTITY, facts, judge)
+    return own.select("alert_id", urls.let(whole, kept).alias("_r")).select("alert_id", "_r.*")

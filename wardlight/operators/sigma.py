@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import let
+from ..functions.urls import let, staged
 
 #: Where a Sigma field may stand in a raw log. Fixed values.
 FIELDS = {
@@ -159,15 +159,21 @@ def compile_rule(rule: dict, values: dict[str, Column], blob: Column) -> Column:
 def match_rules(df: DataFrame, rules: list[dict], raw_json: str = "raw_log") -> DataFrame:
     """df with sigma_matches: array of (rule_id, title, level, tags) for all rules that match.
 
-    Each log is parsed once, and each field that any rule reads is looked up once a log; rules are predicates over these columns.
+    Each log is parsed once, and each field that any rule reads is looked up once a log; rules are predicates over these.
     """
     names = sorted(set().union(*(fields_of(r) for r in rules)) if rules else set())
-    df = df.withColumn("_v", F.try_parse_json(raw_json)).withColumn("_blob", F.lower(F.col(raw_json)))
-    df = df.withColumns({f"_f{i}": field_values(F.col("_v"), n) for i, n in enumerate(names)}).drop("_v")
-    values = {n: F.col(f"_f{i}") for i, n in enumerate(names)}
     hit = lambda r: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["title"]).alias("title"), F.lit(r.get("level", "medium")).alias("level"), F.array(*map(F.lit, r.get("tags", []))).cast("array<string>").alias("tags"))
-    cells = [F.when(compile_rule(r, values, F.col("_blob")), hit(r)) for r in rules]
-    return df.withColumn("sigma_matches", F.array_compact(F.array(*cells))).drop("_blob", *(f"_f{i}" for i in range(len(names))))
+
+    def read(s: Column) -> dict[str, Column]:
+        return {f"f{i}": field_values(s["doc"], n) for i, n in enumerate(names)} | {"blob": F.lower(s["raw"])}
+
+    def judge(s: Column) -> dict[str, Column]:
+        values = {n: s[f"f{i}"] for i, n in enumerate(names)}
+        cells = [F.when(compile_rule(r, values, s["blob"]), hit(r)) for r in rules]
+        return {"found": F.array_compact(F.array(*cells))}
+
+    raw = F.col(raw_json)
+    return df.withColumn("sigma_matches", staged({"raw": raw, "doc": F.try_parse_json(raw)}, read, judge)["found"])
 
 
 def techniques_of(tags: Column) -> Column:

@@ -127,7 +127,7 @@ def url_host_org(spark, sf):
   SELECT page_id, signal FROM s WHERE hit""")
 def url_signals(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.array("url").alias("urls"))
-    found = F.array_compact(F.array(*phishing.url_signals({"blog": ["blog.test"]}, ["m.adult-x.example.net"])))
+    found = urls.let(phishing.url_facts(F.col("urls")), lambda facts: F.array_compact(F.array(*phishing.url_signals(facts, {"blog": ["blog.test"]}, ["m.adult-x.example.net"]))))
     return pages.select("page_id", F.explode(found).alias("s")).select("page_id", F.col("s.name").alias("signal"))
 
 
