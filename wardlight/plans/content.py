@@ -41,13 +41,13 @@ m AS (SELECT e, unnest([CASE WHEN t IN ('click', 'error') AND (contains(cmd, ' -
 
 @query(f", {_SIGMA} SELECT rule, count(*) AS n, CAST(sum(e) AS BIGINT) AS ids FROM m WHERE rule IS NOT NULL GROUP BY rule")
 def sigma_rules(spark, sf):
-    hits = sigma.match_rules(_logs(spark, sf), _RULES).select("event_id", F.explode("sigma_matches").alias("m"))
+    hits = sigma.match_rules(_logs(spark, sf), _RULES).select("event_id", F.explode_outer("sigma_matches").alias("m")).where("m is not null")
     return hits.groupBy(F.col("m.rule_id").alias("rule")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query(f", {_SIGMA} SELECT e AS event_id, CASE rule WHEN 'r1' THEN 'T1059.001' ELSE 'T1110' END AS technique FROM m WHERE rule IN ('r1', 'r2')")
 def sigma_techniques(spark, sf):
-    hits = sigma.match_rules(_logs(spark, sf), _RULES).select("event_id", F.explode("sigma_matches").alias("m"))
+    hits = sigma.match_rules(_logs(spark, sf), _RULES).select("event_id", F.explode_outer("sigma_matches").alias("m")).where("m is not null")
     return hits.select("event_id", F.explode(sigma.techniques_of(F.col("m.tags"))).alias("technique"))
 
 
@@ -174,7 +174,7 @@ s AS (SELECT e, unnest(['no_aligned_authentication', 'dmarc_fail', 'dmarc_no_pol
   unnest([NOT ((spf AND own) OR dkim OR dmarc = 'pass'), dmarc = 'fail', dmarc = 'none', k % 6 = 0, k % 8 = 0, true, k % 9 = 0, k % 4 = 0, k % 4 = 0, k % 4 = 0, k % 10 = 0, true]) AS hit FROM m)
 SELECT name, count(*) AS n, CAST(sum(e) AS BIGINT) AS ids FROM s WHERE hit GROUP BY name""")
 def mail_signals(spark, sf):
-    found = phishing.analyze(_messages(spark, sf), {"pay": ["pay.test"]}, ["sh.test"], ["freemail.test"]).select("alert_id", F.explode("signals").alias("s"))
+    found = phishing.analyze(_messages(spark, sf), {"pay": ["pay.test"]}, ["sh.test"], ["freemail.test"]).select("alert_id", F.explode_outer("signals").alias("s")).where("s is not null")
     return found.groupBy(F.col("s.name").alias("name")).agg(F.count("*").alias("n"), F.sum(F.col("alert_id").cast("long")).alias("ids"))
 
 
