@@ -33,9 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null lang are judged and not learned from; if no row has a lang, none can be judged and all go. Of equally
     probable languages any counts; repeated rows are judged alike; other nulls don't matter.
     """
-    given, rows = _neutral(docs)
+    given = Given(docs)
+    rows = given.table.withColumnRenamed(given.of("text"), "text")  # each text goes to the network once
     named = langid.identify(rows, langid.fit(docs.select("doc_id", "text", "lang")))
-    return given.back(named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return given.back(kept.withColumnRenamed("text", given.of("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
