@@ -15,7 +15,7 @@ from .columns import Given
 #: Bytes in a piece that the network reads at once, and of context on either side of it.
 PIECE, CONTEXT = 448, 32
 #: Pieces in a batch.
-BATCH = 768
+BATCH = 512
 #: Bytes that count when probabilities are pooled: letters of ASCII and all bytes of other characters.
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
