@@ -224,7 +224,7 @@ def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> D
     chosen = scratch.keep(own.groupBy("p1", "p2").agg(F.max(first)["k"].alias("chosen")))
     scratch.drop(cast)
     here = given.table.select(*kept, given[source].alias("page"), mine.alias("mine"), names[0].alias("o1"), names[1].alias("o2"))
-    joined = here.join(chosen, (F.col("o1") == F.col("p1")) & (F.col("o2") == F.col("p2")), "left").select(*kept, "page", "mine", "chosen")
+    joined = here.join(chosen.hint("shuffle_hash"), (F.col("o1") == F.col("p1")) & (F.col("o2") == F.col("p2")), "left").select(*kept, "page", "mine", "chosen")
     schema = joined.select(*kept).schema.add("found", "string")
 
     def take(batches):
