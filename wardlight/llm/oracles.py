@@ -135,4 +135,54 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
 FROM doc d LEFT JOIN covered c USING (rid) LEFT JOIN found f USING (rid)
 """
 
-ORACLES = {"op2_jaccard": OP2, "op4_url_filters": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op9_quality": _quality()}
+OP11 = r"""
+WITH doc AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+one AS (SELECT row_number() OVER () AS r, * FROM doc),
+word AS (SELECT lang, source, t, r, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS t FROM one) GROUP BY ALL),
+kept AS (SELECT lang, t, CAST(sum(n) AS BIGINT) AS n FROM word GROUP BY lang, t HAVING count(*) >= 10),
+cnt AS (SELECT lang, source, t, CAST(sum(n) AS BIGINT) AS n FROM word JOIN (SELECT lang, t FROM kept) USING (lang, t) GROUP BY ALL),
+size AS (SELECT lang, CAST(count(*) AS BIGINT) AS v, CAST(sum(n) AS BIGINT) AS n FROM kept GROUP BY lang),
+tot AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM cnt GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(o.n, 0) + 2 * s.v) AS p, 1 + 1000000000 * (k.n + 2) // (s.n + 2 * s.v) AS q
+      FROM grp g JOIN kept k ON g.lang = k.lang JOIN size s ON s.lang = g.lang LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t LEFT JOIN tot o ON o.lang = g.lang AND o.source = g.source),
+pair AS (SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.t = y.t AND x.source <> y.source GROUP BY ALL),
+every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(v.value, 0) AS value FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pair v ON v.lang = x.lang AND v.source = x.source AND v.item = y.source),
+term AS (SELECT lang, source, 'term' AS part, t AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (SELECT * FROM every UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+OP12 = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+  WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vec a JOIN vec b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(x, y) AS (SELECT a, b FROM link UNION SELECT r.x, l.b FROM reach r JOIN link l ON r.y = l.a),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+n AS (SELECT a, CAST(count(*) AS BIGINT) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id, coalesce(e.vec_id <= l.y, true) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least_of l ON l.x = e.vec_id
+"""
+
+OP13 = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+same AS (SELECT text, min(doc_id) AS least FROM doc GROUP BY text),
+bad AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 3 * length(d.text), regexp_matches(d.text, '[#$%&*|]'), coalesce(d.doc_id > s.least, false)] AS f
+  FROM doc d JOIN same s ON d.text = s.text LEFT JOIN lab l ON d.doc_id = l.doc_id),
+mask AS (SELECT part, f, CAST(count(*) AS BIGINT) AS n, CAST(sum(good) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM bad GROUP BY part, f),
+perm(o) AS (SELECT '' UNION ALL SELECT o || x FROM perm, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) t(x) WHERE NOT contains(o, x)),
+place AS (SELECT o AS filter_order, k AS step, CAST(ascii(o[k]) - 64 AS INT) AS x FROM perm, unnest(range(1, 6)) t(k) WHERE length(o) = 5),
+went AS (SELECT m.*, p.filter_order, list_min(list_filter([1, 2, 3, 4, 5], lambda k: m.f[ascii(p.filter_order[k]) - 64])) AS gone FROM mask m, (SELECT DISTINCT filter_order FROM place) p),
+step AS (
+  SELECT w.part, p.filter_order, p.step, p.x, CAST(sum(CASE WHEN coalesce(gone, 9) > p.step THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN gone = p.step THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN f[p.x] AND gone < p.step THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN f[p.x] AND len(list_filter(f, lambda y: y)) = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN gone = p.step THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN gone = p.step THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM went w JOIN place p USING (filter_order) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM step
+"""
+
+ORACLES = {"op2_jaccard": OP2, "op4_url_filters": OP4, "op5_mixing": OP5, "op6_decontamination": OP6, "op9_quality": _quality(), "op11_divergence": OP11, "op12_embedding_dedup": OP12, "op13_filter_audit": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup, url_filters
+from . import decontaminate, divergence, embedding_dedup, filter_audit, html_extract, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +68,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_jaccard, op3_substring_dedup, op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op8_line_dedup, op9_quality, op10_html)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_jaccard, op3_substring_dedup, op4_url_filters, op5_mixing, op6_decontamination, op7_sharding, op8_line_dedup, op9_quality, op10_html, op11_divergence, op12_embedding_dedup, op13_filter_audit)}
