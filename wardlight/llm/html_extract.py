@@ -15,7 +15,8 @@ from .store import Scratch
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript title textarea iframe svg math object select option".split())
+RAW = frozenset("script style noscript title textarea iframe noembed noframes xmp".split())
+HIDDEN = frozenset("template svg math object select datalist".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body center".split())
 BOILERPLATE = frozenset("nav header footer aside form menu button dialog".split())
@@ -24,15 +25,21 @@ SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 #: The support that one unseen page gives a path, and the part of a page's best score that covers its article.
 PRIOR, COVER = 0.95, 0.5
 #: Words of class, id and role that mark what surrounds an article, and that mark the article itself.
-ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
 #: Words that tell where a part stands or what shape it has, and nothing about what is in it; and those of ASIDE_WORDS that mark even a paragraph or a heading.
 PLACE_WORDS = frozenset("area bar bottom box col column container fixed global group inner item items left link links list main outer page primary right row secondary section site sticky top wrap wrapper".split())
-LINE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner cookie cookies promo promoted sponsor sponsored".split())
+LINE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner comment comments consent cookie cookies notice notices promo promoted sponsor sponsored".split())
+#: Words that mark reader comments whatever stands beside them in a name, but for words that tell only whether there are any; and what a name of a cookie notice may hold besides.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply".split())
+STATE_WORDS = frozenset("allowed closed count disabled enabled has no number off on open with without".split())
+CONSENT_WORDS = frozenset("accept alert gdpr info law message policy settings wall warning".split())
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dd dt li td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*\Z|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
+# a tag holds no further "<" outside quotes; what does is text
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/><]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^<>]*\Z|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/><]*)(?P<rest2>[^<>]*)>", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -48,7 +55,8 @@ class Node:
 def _marks(rest: str) -> tuple[str, set[str], set[str]]:
     """The generalised class names of a tag, all words of its class, id and role, and those words that alone say what it is.
 
-    A name of several words, such as ``share-prices``, says so only if its other words are words of place.
+    A name of several words, such as ``share-prices``, says so only if its other words are words of place; one with a
+    word for comments, such as ``reader-comments``, says so in any case but ``comments-open`` and its like.
     """
     classes, found, sure = [], set(), set()
     for key, *value in _MARK.findall(rest):
@@ -56,8 +64,10 @@ def _marks(rest: str) -> tuple[str, set[str], set[str]]:
         for name in text.split():
             words = [w for w in re.split(r"[^a-z]+", name) if w]
             found.update(words)
-            if all(w in ASIDE_WORDS or w in PLACE_WORDS for w in words):
+            if all(w in ASIDE_WORDS or w in PLACE_WORDS for w in words) or {"cookie", "cookies", "consent"}.intersection(words) and all(w in ASIDE_WORDS or w in PLACE_WORDS or w in CONSENT_WORDS for w in words):
                 sure.update(words)
+            elif not STATE_WORDS.intersection(words):
+                sure.update(COMMENT_WORDS.intersection(words))
         if key.lower() == "class":
             classes = sorted({re.sub(r"\d+", "#", c) for c in text.split()})
     return "".join(f".{c}" for c in classes), found, sure & ASIDE_WORDS
@@ -85,7 +95,8 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
     """
     root = Node("", "", False, False, 0.0, None)
     here, blocks, containers, parts = root, [], [], []
-    raw, at, link = None, 0, 0
+    at, link = 0, 0
+    hidden: list[str] = []  # open elements from a hidden one on
 
     def flush():
         if parts:
@@ -109,30 +120,38 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
             flush()
             here = node.parent
 
-    for m in _TOKEN.finditer(page):
-        if raw is None and m.start() > at:
+    while (m := _TOKEN.search(page, at)) is not None:
+        if not hidden and m.start() > at:
             parts.append((page[at : m.start()], link > 0))
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
-            if raw is None and m["cdata"]:
+            if not hidden and m["cdata"]:
                 parts.append((html.escape(m["cdata"]), link > 0))
             continue
-        ends = bool(m["end"] or m["end2"])
-        if raw is not None:
-            if ends and name == raw:
-                raw = None
-            continue
-        if ends:
+        if m["end"] or m["end2"]:
+            if hidden and name in hidden:
+                while hidden.pop() != name:
+                    pass
+                continue
+            if hidden and not (name in BLOCK and _within(here, {name})):
+                continue
+            hidden.clear()  # an element around it ends: it was never closed
             if name == "a":
                 link = max(0, link - 1)
             elif name == "p" or name in BLOCK and name != "br":
                 flush()
                 close({name}, {"table"} if name in ("li", "p") else ())
             continue
-        if name in RAW:
-            if not m.group().endswith("/>"):
-                raw = name
+        if name in RAW:  # no tags inside; a title or textarea that never ends is none
+            if (over := _RAW_END[name].search(page, at)) is not None:
+                at = over.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            continue
+        if hidden or name in HIDDEN:
+            if not m.group().endswith("/>") and (name in HIDDEN or name in BLOCK and name not in VOID):
+                hidden.append(name)
             continue
         if name == "a":
             link += 1
@@ -153,7 +172,7 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
         here = Node(name, f"{here.path}>{name}{shown}" if name in CONTAINER else here.path, aside, lead and aside, weight, here)
         if name in CONTAINER and not aside:
             containers.append(here)
-    if raw is None and at < len(page):
+    if not hidden and at < len(page):
         parts.append((page[at:], link > 0))
     flush()
     return blocks, containers
