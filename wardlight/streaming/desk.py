@@ -1,15 +1,14 @@
-"""The desk as streams: tailing the shared log, state by key, suppression in flight, the health of cycles."""
+"""The desk as streams: tailing the shared log, the loop of cycles, feedback, the health of cycles."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.reports import consecutive_sick
 from ..operators.feedback import changed_rulings
 from ..sources.ledger import append_once, hadoop_path, last_wins, unpack
+from .state import latest_by_key, suppress_in_flight, suppressions_in_flight, watchdog
 
 LAG = "300 seconds"
 
@@ -25,71 +24,6 @@ def tail(log: DataFrame, name: str, lag: str = LAG) -> DataFrame:
     return unpack(fresh, name)
 
 
-def latest_by_key(stream: DataFrame, key: str = "alert_id", order: str = "uid") -> DataFrame:
-    """(key, order, record, n): the record with the largest order of each key so far, as JSON, and how many rows it has had; updated as rows come."""
-    rows = stream.select(key, order, F.to_json(F.struct(*stream.columns)).alias("record"))
-
-    def step(k, batches, state):
-        best, record, n = state.get if state.exists else ("", "", 0)
-        for b in batches:
-            n += len(b)
-            top = b.loc[b[order].idxmax()] if b[order].dtype != object else b.sort_values(order).iloc[-1]
-            if str(top[order]) > best:
-                best, record = str(top[order]), top["record"]
-        state.update((best, record, n))
-        yield pd.DataFrame({key: [k[0]], order: [best], "record": [record], "n": [n]})
-
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, {order} string, record string, n long", f"{order} string, record string, n long", "update", GroupStateTimeout.NoTimeout)
-
-
-def suppressions_in_flight(stream: DataFrame, cap: int = 25) -> DataFrame:
-    """(fingerprint, uid, suppress): in order of uid within a batch, whether an alert may be suppressed under the cap of its fingerprint.
-
-    A real record (is_real) sets the count back to none.
-    """
-
-    def step(k, batches, state):
-        seen, used = state.get if state.exists else (False, 0)
-        rows = pd.concat(list(batches)).sort_values("uid")
-        out = []
-        for uid, real in zip(rows["uid"], rows["is_real"], strict=True):
-            if real:
-                seen, used, yes = True, 0, False
-            else:
-                yes = seen and used < cap
-                used += yes
-            out.append((k[0], uid, bool(yes)))
-        state.update((bool(seen), int(used)))
-        yield pd.DataFrame(out, columns=["fingerprint", "uid", "suppress"])
-
-    return stream.groupBy("fingerprint").applyInPandasWithState(step, "fingerprint string, uid string, suppress boolean", "seen boolean, used long", "append", GroupStateTimeout.NoTimeout)
-
-
-def watchdog(stream: DataFrame, page_after: int = 3, exit_after: int = 30) -> DataFrame:
-    """(desk, cycle, streak, action) from a stream of cycles (desk, cycle, crashed, failed, worked, failed_ids)."""
-
-    def step(k, batches, state):
-        streak, paged, crashed, ids = state.get if state.exists else (0, False, False, "")
-        known = set(filter(None, ids.split("\n")))
-        out = []
-        for row in pd.concat(list(batches)).sort_values("cycle").itertuples():
-            action = None
-            if row.crashed or row.failed > 0 and row.worked == 0:
-                streak, crashed = streak + 1, crashed or bool(row.crashed)
-                known |= set(row.failed_ids if row.failed_ids is not None else ())
-                if streak >= exit_after and (crashed or len(known) > 1):
-                    action = "exit"
-                elif streak >= page_after and not paged:
-                    action, paged = "page", True
-            else:
-                streak, paged, crashed, known = 0, False, False, set()
-            out.append((k[0], row.cycle, streak, action))
-        state.update((streak, paged, crashed, "\n".join(sorted(known))))
-        yield pd.DataFrame(out, columns=["desk", "cycle", "streak", "action"])
-
-    return stream.groupBy("desk").applyInPandasWithState(step, "desk string, cycle long, streak long, action string", "streak long, paged boolean, crashed boolean, ids string", "append", GroupStateTimeout.NoTimeout)
-
-
 def one_cycle(spark: SparkSession, work, root: str, most: int = 10) -> int:
     """Works on the first ``most`` alerts by priority of those that are pending and have no result yet; how many there were.
 
@@ -173,4 +107,4 @@ def health_transitions(cycles: DataFrame) -> DataFrame:
     return c.where(F.coalesce(before, F.lit(False)) != F.col("sick")).select("desk", "cycle", "sick")
 
 
-__all__ = ["tail", "latest_by_key", "suppressions_in_flight", "watchdog", "one_cycle", "run_desk", "write_in_order", "run_feedback", "health_transitions", "last_wins"]
+__all__ = ["tail", "latest_by_key", "suppressions_in_flight", "suppress_in_flight", "watchdog", "one_cycle", "run_desk", "write_in_order", "run_feedback", "health_transitions", "last_wins"]
