@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df from a table in the session's checkpoint folder, or checkpointed in a folder of its own where none is set."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if spark.sparkContext.getCheckpointDir() is None:
-            if not spark.conf.get("spark.master", "local").startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wardlight-"))
-        return df.checkpoint()
-    path = f"{root.rstrip('/')}/wardlight/aliases-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import Scratch
+from .components import connected_components
 
 
-def alias_roots(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def alias_roots(edges: DataFrame) -> DataFrame:
     """(entity, root) for the ends of edges (a, b): the least name that can be reached.
 
-    Each round gives a name the least root among its neighbours and then that root's own root, so chains halve. Lineage
-    is cut every round.
+    An edge without one of its ends says nothing; a name that is linked with itself alone is its own root. The names'
+    table stays in the session's shared folder until ``storage.release``.
     """
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
-    now = _cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "entity"))
-    for _ in range(most_rounds):
-        near = both.join(now.select(F.col("entity").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("r"))
-        step = now.join(near, F.col("entity") == F.col("a")).select("entity", F.least("root", "r").alias("new"), "root")
-        jump = step.select(F.col("entity").alias("e2"), F.col("new").alias("up"))
-        step = _cut(step.join(jump, F.col("new") == F.col("e2")).select("entity", "up", "root"))
-        if step.where("up <> root").isEmpty():
-            return now
-        now = step.select("entity", F.col("up").alias("root"))
-    raise RuntimeError("no fixpoint")
+    scratch = Scratch(edges.sparkSession, "aliases")
+    known = edges.where("a is not null and b is not null").select(F.col("a").cast("string"), F.col("b").cast("string"))
+    found = connected_components(known, scratch)
+    ends = known.select(F.col("a").alias("entity")).unionByName(known.select(F.col("b").alias("entity"))).distinct()
+    roots = ends.join(found, F.col("entity") == F.col("node"), "left").select("entity", F.coalesce("component", "entity").alias("root"))
+    out = scratch.keep(roots)
+    scratch.drop(*(t for t in scratch.held if t is not out))
+    return out

@@ -28,17 +28,42 @@ def prior_sightings(probes: DataFrame, ledger: DataFrame, rulings: DataFrame) ->
     return last.join(ruled, "alert_id", "left").select("probe_id", "alert_id", "timestamp", "verdict", "confidence", "title", "matched_iocs", "human_verdict", "human_summary")
 
 
+def newest_overturned(probes: DataFrame, ledger: DataFrame, rulings: DataFrame) -> DataFrame:
+    """(probe_id, overturned_id): for each probe the newest of its prior sightings whose verdict an analyst has changed.
+
+    The same as ``policy.overturned_precedents`` of ``prior_sightings``, without their pairs: only ruled alerts count, and of an
+    indicator the two newest with different ids are enough, as a probe passes over itself at most. An alert whose last
+    record differs from indicator to indicator is paired, for which of them is its last depends on what the probe shares.
+    """
+    ruled = latest(rulings, "alert_id", "human_verdict").where(nz(F.col("human_verdict")).isNotNull())
+    records = ledger.join(ruled, "alert_id").select("alert_id", "human_verdict", *ORDER, "timestamp", "verdict", F.explode(F.array_distinct("iocs")).alias("ioc"))
+    last = last_wins(records, "ioc", "alert_id").withColumn("changed", F.col("human_verdict") != F.col("verdict"))
+    order = F.struct(*ORDER)
+    several = last.groupBy("alert_id").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo <> hi").select("alert_id")
+    newest = F.row_number().over(Window.partitionBy("ioc").orderBy(F.desc("timestamp"), F.desc("alert_id")))
+    best = last.join(several, "alert_id", "left_anti").where("changed").select("ioc", "alert_id", "timestamp", newest.alias("place")).where("place <= 2")
+    mine = probes.select(F.col("alert_id").alias("probe_id"), F.explode(F.array_distinct("iocs")).alias("ioc"))
+    once = mine.join(best, "ioc").where("alert_id <> probe_id").select("probe_id", "timestamp", "alert_id")
+    paired = mine.join(last.join(several, "alert_id"), "ioc").where("alert_id <> probe_id").groupBy("probe_id", "alert_id").agg(F.max(F.struct(*ORDER, "timestamp", "changed")).alias("r"))
+    rest = paired.where("r.changed").select("probe_id", F.col("r.timestamp").alias("timestamp"), "alert_id")
+    return once.unionByName(rest).groupBy("probe_id").agg(F.max(F.struct("timestamp", "alert_id")).alias("r")).select("probe_id", F.col("r.alert_id").alias("overturned_id"))
+
+
 def related_records(probes: DataFrame, ledger: DataFrame, hours: int = CORRELATION_HOURS) -> DataFrame:
     """(probe_id, alert_id, order, signal): every link by indicator, host or /24 within the window, on event time, both ways.
 
-    An OR of three conditions would be a nested loop; this is a union of three equi-joins, each with the window as
-    residual. Technique overlap never links.
+    An OR of three conditions would be a nested loop; this is a union of three equi-joins by the key and a span of time as
+    long as the window, of which a probe looks into three; so a frequent key meets only what happened around the probe.
+    Technique overlap never links.
     """
     window_us = hours * 3_600_000_000
+    span = lambda c: F.floor(F.unix_micros(c) / window_us)
+    looks = lambda mine: mine.withColumn("span", F.explode(F.array(span("p_time") - 1, span("p_time"), span("p_time") + 1)))
+    spans = lambda theirs: theirs.withColumn("span", span("timestamp"))
 
     def link(name: str, mine: DataFrame, theirs: DataFrame) -> DataFrame:
         near = F.abs(F.unix_micros("p_time") - F.unix_micros("timestamp")) <= window_us
-        return mine.join(theirs, "key").where(near & (F.col("alert_id") != F.col("probe_id"))).select("probe_id", "alert_id", *ORDER, F.concat(F.lit(f"{name}:"), "key").alias("signal"))
+        return looks(mine).join(spans(theirs), ["key", "span"]).where(near & (F.col("alert_id") != F.col("probe_id"))).select("probe_id", "alert_id", *ORDER, F.concat(F.lit(f"{name}:"), "key").alias("signal"))
 
     side = lambda df, key, *cols: df.select(*cols, key.alias("key")).where("key is not null and key <> ''")
     p = [F.col("alert_id").alias("probe_id"), F.col("timestamp").alias("p_time")]
@@ -49,7 +74,7 @@ def related_records(probes: DataFrame, ledger: DataFrame, hours: int = CORRELATI
     mine = probes.select(*p, pair(probes).alias("x")).select("probe_id", "p_time", F.col("x.net").alias("key"), F.col("x.ip").alias("p_ip")).where("key is not null")
     theirs = ledger.select(*r, pair(ledger).alias("x")).select("alert_id", *ORDER, "timestamp", F.col("x.net").alias("key"), F.col("x.ip").alias("ip")).where("key is not null")
     near = F.abs(F.unix_micros("p_time") - F.unix_micros("timestamp")) <= window_us
-    subnet = mine.join(theirs, "key").where(near & (F.col("alert_id") != F.col("probe_id")) & (F.col("ip") != F.col("p_ip"))).select("probe_id", "alert_id", *ORDER, F.concat(F.lit("related_ip:"), "key").alias("signal"))
+    subnet = looks(mine).join(spans(theirs), ["key", "span"]).where(near & (F.col("alert_id") != F.col("probe_id")) & (F.col("ip") != F.col("p_ip"))).select("probe_id", "alert_id", *ORDER, F.concat(F.lit("related_ip:"), "key").alias("signal"))
     return shared.unionByName(host).unionByName(subnet)
 
 

@@ -216,7 +216,7 @@ _OVER = ", over AS (SELECT probe_id, alert_id AS oid FROM sightings WHERE human_
 
 def _gated(spark, sf):
     d = ledgers(spark, sf)
-    over = policy.overturned_precedents(memory.prior_sightings(d.investigations, d.investigations, d.dispositions))
+    over = memory.newest_overturned(d.investigations, d.investigations, d.dispositions)
     return d.investigations.join(over.withColumnRenamed("probe_id", "alert_id"), "alert_id", "left").withColumn("seq", F.col("uid").cast("long"))
 
 
@@ -429,18 +429,18 @@ def blocked_exports(spark, sf):
 
 
 _INCOMING = """, incoming AS (SELECT seq, alert_id, CASE WHEN k % 4 = 0 THEN 'C0' ELSE 'C' || (seq - seq % 10 + 1) END AS case_id, CASE WHEN k % 9 = 5 THEN 'unsure' ELSE ['true_positive', 'false_positive', 'inconclusive'][k % 3 + 1] END AS human_verdict,
-    'k=' || CASE WHEN k % 2 = 0 THEN k ELSE k + 1 END AS summary FROM inv WHERE seq % 5 <> 4),
+    'k=' || CASE WHEN k % 2 = 0 THEN k ELSE k + 1 END AS summary FROM inv),
 lastin AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1), made AS (SELECT * FROM created QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1),
 judged AS (SELECT i.*, CASE WHEN m.alert_id IS NULL THEN 'no local record' WHEN i.case_id <> m.case_id THEN 'id mismatch' WHEN i.human_verdict = 'unsure' THEN 'unknown verdict' END AS refused FROM lastin i LEFT JOIN made m USING (alert_id))"""
 
 
 def _incoming(spark, sf):
-    """Rulings of a case tool on most alerts; some come under a wrong case or with a word that is no verdict."""
+    """Rulings of a case tool on all alerts; some come under a wrong case or with a word that is no verdict."""
     i = ledgers(spark, sf).investigations
     k, seq = F.regexp_extract(F.element_at("iocs", 1), r"(\d+)$", 1).cast("long"), F.col("uid").cast("long")
     human = F.when(k % 9 == 5, "unsure").otherwise(F.element_at(F.array(*map(F.lit, ("true_positive", "false_positive", "inconclusive"))), (k % 3 + 1).cast("int")))
     case = F.concat(F.lit("C"), F.when(k % 4 == 0, F.lit(0)).otherwise(seq - seq % 10 + 1).cast("string"))
-    return i.where(seq % 5 != 4).select(*lg.ORDER, "alert_id", case.alias("case_id"), human.alias("human_verdict"), F.concat(F.lit("k="), (k + k % 2).cast("string")).alias("summary"))
+    return i.select(*lg.ORDER, "alert_id", case.alias("case_id"), human.alias("human_verdict"), F.concat(F.lit("k="), (k + k % 2).cast("string")).alias("summary"))
 
 
 @query(_INCOMING + " SELECT j.alert_id, j.human_verdict, j.summary FROM judged j LEFT JOIN ruled r USING (alert_id) WHERE refused IS NULL AND NOT (j.human_verdict IS NOT DISTINCT FROM r.human_verdict AND j.summary IS NOT DISTINCT FROM r.summary)")

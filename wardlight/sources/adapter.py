@@ -65,7 +65,7 @@ def ledgers(spark: SparkSession, sf_dir: str) -> Ledgers:
         e.where((verdict == "false_positive") & (confidence == "high") & (eid % 11 == 0)).select(*stamp, alert_id.alias("alert_id"), F.lit("auto").alias("reason"), minutes(F.col("ts"), F.lit(two_hours)).alias("closed_at"), writer.alias("writer")),
         e.where(eid % 10 == 1).select(*stamp, alert_id.alias("alert_id"), F.concat(F.lit("C"), text(eid)).alias("case_id"), F.col("ts").alias("created_at"), writer.alias("writer")),
         e.select(*stamp, alert_id.alias("alert_id"), F.concat(F.lit("D"), text(eid)).alias("doc_id"), F.when(eid % 2 == 0, "started").otherwise("completed").alias("phase"), F.col("ts").alias("at"), writer.alias("writer")),
-        inv.where((F.col("title").startswith("Alert error-")) & (F.unix_millis("written_at") % 10 == 0)),
+        inv.where(F.unix_millis("written_at") % 20 == 0),
     )
 
 
@@ -91,7 +91,7 @@ rulings AS (
 closures AS (SELECT seq, alert_id, event_ts + INTERVAL 2 HOUR AS closed_at, writer FROM inv WHERE verdict = 'false_positive' AND confidence = 'high' AND seq % 11 = 0),
 created AS (SELECT seq, alert_id, 'C' || seq AS case_id FROM inv WHERE seq % 10 = 1),
 progress AS (SELECT seq, alert_id, 'D' || seq AS doc_id, CASE WHEN seq % 2 = 0 THEN 'started' ELSE 'completed' END AS phase, event_ts AS started_at, writer FROM inv),
-probes AS (SELECT * FROM inv WHERE t = 'error' AND seq % 10 = 0),
+probes AS (SELECT * FROM inv WHERE seq % 20 = 0),
 latest AS (SELECT * FROM inv QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1),
 ruled AS (SELECT * FROM rulings QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1),
 closed AS (SELECT * FROM closures QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC) = 1)
