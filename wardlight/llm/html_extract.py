@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import Given
 from .store import Scratch
@@ -207,6 +209,23 @@ def host(url):
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _packed(rows: DataFrame, place: int) -> DataFrame:
+    """rows with the text column at this place compressed, as it goes through the shuffle whole."""
+
+    def pack(batches):
+        for batch in batches:
+            pages = [None if p is None else zlib.compress(p, 1) for p in batch.column(place).cast(pa.binary()).to_pylist()]
+            columns = [pa.array(pages, pa.binary()) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    fields = [T.StructField(f.name, T.BinaryType()) if i == place else f for i, f in enumerate(rows.schema.fields)]
+    return rows.mapInArrow(pack, T.StructType(fields))
+
+
+def _unpacked(page: bytes | None) -> str:
+    return zlib.decompress(page).decode("utf-8", "replace") if page else ""
+
+
 def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
     """All columns of pages that don't clash, with text (the article) in place of the markup.
 
@@ -242,14 +261,14 @@ def extract_pages(pages: DataFrame, url: str = "url", source: str = "html") -> D
     first = F.struct(F.coalesce("support", F.lit(0.0)).alias("support"), (-F.col("length")).alias("length"), "k")
     chosen = scratch.keep(own.groupBy("p1", "p2").agg(F.max(first)["k"].alias("chosen")))
     scratch.drop(cast)
-    here = given.table.select(*kept, given[source].alias("page"), mine.alias("mine"), names[0].alias("o1"), names[1].alias("o2"))
+    here = _packed(given.table.select(*kept, given[source].alias("page"), mine.alias("mine"), names[0].alias("o1"), names[1].alias("o2")), len(kept))
     joined = here.join(chosen.hint("shuffle_hash"), (F.col("o1") == F.col("p1")) & (F.col("o2") == F.col("p2")), "left").select(*kept, "page", "mine", "chosen")
     schema = joined.select(*kept).schema.add("found", "string")
 
     def take(batches):
         for batch in batches:
             columns = [batch.column(i) for i in range(len(kept))]
-            texts = [extract(page.as_py() or "", h, key) for page, h, key in zip(batch.column(len(kept)), batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist(), strict=True)]
+            texts = [extract(_unpacked(page.as_py()), h, key) for page, h, key in zip(batch.column(len(kept)), batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*kept, "found"])
 
     out = joined.mapInArrow(take, schema)
