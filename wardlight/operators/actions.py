@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_global, is_ipv4, parent_by_cut
+from ..functions import addresses
+from ..functions.text import parent_by_cut
 
 #: Bars, account names that aren't accounts, and technique families by action.
 ABUSE_BAR, HASH_BAR, DOMAIN_BAR, POPULAR_SCANS, MOST_ACCOUNTS = 75, 0.5, 0.5, 100, 3
@@ -49,7 +50,7 @@ def by_reputation(cases: DataFrame, reputations: DataFrame) -> DataFrame:
     named = cases.select("alert_id", F.explode(F.array_distinct(F.concat("ips", "hashes", "domains"))).alias("subject"))
     r = reputations.join(named, ["alert_id", "subject"], "left_semi")
     ip, share = F.col("kind") == "ip", F.try_divide(F.col("malicious").cast("double"), F.col("sampled"))
-    refused = F.when(ip & ~is_ipv4(F.col("subject")), "not an address").when(ip & ~is_global(F.col("subject")), "not globally routable").when(ip & F.coalesce("whitelisted", F.lit(False)), "whitelisted shared infrastructure")
+    refused = F.when(ip & addresses.normal(F.col("subject")).isNull(), "not an address").when(ip & ~addresses.is_global(F.col("subject")), "not globally routable").when(ip & F.coalesce("whitelisted", F.lit(False)), "whitelisted shared infrastructure")
     caution = F.when((F.col("kind") == "domain") & (F.col("total") >= POPULAR_SCANS), "shared infrastructure")
     strong = F.when(ip, F.col("score") >= ABUSE_BAR).when(F.col("kind") == "hash", F.col("found") & (share >= HASH_BAR)).otherwise(F.col("found") & (share >= DOMAIN_BAR))
     return r.where(F.coalesce(strong, F.lit(False))).select("alert_id", F.concat(F.lit("block_"), "kind").alias("action"), F.col("subject").alias("target"), F.lit("reputation").alias("basis"), refused.alias("withheld"), caution.alias("caution"), F.lit("bad reputation").alias("rationale")).select(*COLUMNS)

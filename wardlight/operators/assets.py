@@ -62,14 +62,19 @@ def match_assets(alerts: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     return first.select("alert_id", (F.col("m.stage") * 1000 + F.col("m.i")).cast("long").alias("place"), "m.entity", "m.entity_type", "m.name", "m.role", "m.owner")
 
 
+def group_hits(alerts: DataFrame, technique_groups: DataFrame) -> DataFrame:
+    """(alert_id, code, group): groups known for a code of an alert or for its parent."""
+    codes = alerts.select("alert_id", F.explode(technique_codes(F.col("attack_techniques"))).alias("code"))
+    tried = codes.select("alert_id", "code", F.explode(F.array_distinct(F.array("code", F.substring_index("code", ".", 1)))).alias("tcode"))
+    return tried.join(technique_groups, "tcode").select("alert_id", "code", "group")
+
+
 def rank_groups(alerts: DataFrame, technique_groups: DataFrame, aliases: DataFrame | None = None, top: int = 5) -> DataFrame:
     """(alert_id, group, overlap, techniques, rank): groups known for an alert's techniques or their parents, by how many, then by name.
 
     alerts: alert_id, attack_techniques; technique_groups: tcode, group; aliases: group, aliases.
     """
-    codes = alerts.select("alert_id", F.explode(technique_codes(F.col("attack_techniques"))).alias("code"))
-    tried = codes.select("alert_id", "code", F.explode(F.array_distinct(F.array("code", F.substring_index("code", ".", 1)))).alias("tcode"))
-    hits = tried.join(technique_groups, "tcode").groupBy("alert_id", "group").agg(F.countDistinct("code").alias("overlap"), F.array_sort(F.collect_set("code")).alias("techniques"))
+    hits = group_hits(alerts, technique_groups).groupBy("alert_id", "group").agg(F.countDistinct("code").alias("overlap"), F.array_sort(F.collect_set("code")).alias("techniques"))
     order = Window.partitionBy("alert_id").orderBy(F.desc("overlap"), "group")
     out = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     if aliases is not None:
