@@ -60,6 +60,22 @@ def _all(cs) -> Column:
     return reduce(lambda a, b: a & b, cs, F.lit(True))
 
 
+def wildcard(p: str) -> str:
+    """A pattern with ``*``, ``?`` and classes such as ``[a-c]`` or ``[!x]`` as a regular expression; a bracket that isn't closed is itself."""
+    out, at = [], 0
+    while at < len(p):
+        c = p[at]
+        end = p.find("]", at + 2 + (p[at + 1 : at + 2] == "!")) if c == "[" else -1
+        if end > 0:
+            inner = re.sub(r"([\\\[\]&^~|])", r"\\\1", p[at + 1 : end].removeprefix("!"))
+            out.append(f"[{'^' if p[at + 1] == '!' else ''}{inner}]")
+            at = end + 1
+            continue
+        out.append(".*" if c == "*" else "." if c == "?" else re.escape(c))
+        at += 1
+    return "".join(out)
+
+
 def _value(v: Column, pattern: str, modifier: str | None) -> Column:
     p = pattern.lower()
     if modifier == "contains":
@@ -69,8 +85,7 @@ def _value(v: Column, pattern: str, modifier: str | None) -> Column:
     if modifier == "endswith":
         return v.endswith(p) | (v == p.lstrip("\\/"))
     if "*" in p or "?" in p:
-        wild = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in p)
-        return v.rlike(f"(?s)^{wild}$")
+        return v.rlike(f"(?s)^{wildcard(p)}$")
     return v == p
 
 
@@ -101,8 +116,11 @@ def _selection(values: dict[str, Column], blob: Column, selection) -> Column:
     return F.lit(False)
 
 
-def condition(text: str, found: dict[str, Column]) -> Column:
-    """A condition over named selections: or, and, not, brackets, ``N of x*``, ``all of x*``, ``them``."""
+def condition(text: str, found: dict, number=lambda c: c.cast("int"), zero=None):
+    """A condition over named selections: or, and, not, brackets, ``N of x*``, ``all of x*``, ``them``.
+
+    Selections are Columns, or whatever else knows ``&``, ``|`` and ``~``; then ``number`` makes one countable, and ``zero`` is the count of none.
+    """
     tokens = re.findall(r"[()]|[^\s()]+", text)
 
     def peek() -> str:
@@ -136,7 +154,7 @@ def condition(text: str, found: dict[str, Column]) -> Column:
         if peek() == "of":
             tokens.pop(0)
             names = fnmatch.filter(found, p) if (p := tokens.pop(0)) != "them" else list(found)
-            hits = sum((found[n].cast("int") for n in names), F.lit(0))
+            hits = sum((number(found[n]) for n in names), F.lit(0) if zero is None else zero)
             return hits >= (max(1, len(names)) if word == "all" else int(word))
         if word not in found:
             raise ValueError(f"unknown selection {word}: {text}")
