@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import nz, one_line
 from ..sources.ledger import ORDER, first_wins, latest
 from .dedup import real
+from .selection import percentiles
 
 MIN_FIRINGS, MIN_EVIDENCE, NOISE_RATE = 5, 2, 0.8
 RECUR_SIGHTINGS, RECUR_DAYS = 3, 2
@@ -76,9 +77,13 @@ def escalation_precision(scored: DataFrame) -> DataFrame:
 
 
 def time_to_verdict(ledger: DataFrame) -> DataFrame:
-    """Seconds from an alert to its first real record: the median, and the nearest-rank 90th percentile. Times before the alert don't count."""
+    """Seconds from an alert to its first real record: the median, and the nearest-rank 90th percentile. Times before the alert don't count.
+
+    Both are exact and found by counting, so no task holds all times.
+    """
     first = first_wins(real(ledger).select("alert_id", *ORDER, "investigated_at", "timestamp"), "alert_id").select((F.unix_millis("investigated_at") - F.unix_millis("timestamp")).alias("ms")).where("ms >= 0")
-    return first.agg(F.count("*").alias("n"), F.expr("percentile(ms, 0.5)").alias("median_ms"), F.expr("percentile_disc(0.9) within group (order by ms)").cast("long").alias("p90_ms"))
+    found = percentiles(first, "ms", [0.5], [0.9])
+    return ledger.sparkSession.createDataFrame([(found["n"], found["between"][0.5], found["nearest"][0.9])], "n long, median_ms double, p90_ms long")
 
 
 # -- digest
