@@ -317,3 +317,19 @@ def test_very_long_texts_in_index_mix_and_shards(spark):
     assert mixing.mix_sources(df).count() == 3 and sharding.shard(df, 2).count() == 3
     found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.train([b"w1 w2 w3", b"zz yy xx"], ["x", "y"], rounds=2)).collect()}
     assert found[1] in ("x", "y") and found[3] == "und"
+
+
+def test_items_of_any_length_are_asked_in_pieces(spark, monkeypatch):
+    rng = random.Random(12)
+    item = lambda n: " ".join(rng.choices(["ab", "c", "d-e", "Ééé", "f1"], k=n))
+    items = [(i, item(n)) for i, n in enumerate([0, 1, 9, 10, 11, 19, 20, 21, 300, 2500])] + [(77, "w" * 5000 + " x"), (78, None)]
+    long = items[9][1]
+    rows = [(i, long[a : a + 400], "s") for i, a in enumerate(range(0, 6000, 130))] + [(900, long, "s"), (901, items[8][1] + " " + items[5][1], "s"), (902, "w" * 5000 + " x", "s")]
+    df, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], sorted(map(tuple, r["spans"]))) for r in decontaminate.find_contamination(df, bench).collect()}
+    whole = found()
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    assert found() == whole and whole[900][0] == whole[900][1] and "77" in whole[902][2]
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 5000)
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 250_000)  # less than the windows of one item
+    assert found() == whole

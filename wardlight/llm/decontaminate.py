@@ -18,6 +18,8 @@ WINDOW = 10
 GAP = 1 << 10
 #: Bytes of text in a segment of the index, of benchmark text that is asked in one turn, and of its windows at most; candidates that are held at once.
 SEGMENT, ITEMS_AT_ONCE, MOST_BYTES, CANDIDATES = 1 << 22, 1 << 21, 1 << 28, 1 << 18
+#: Bytes of a piece of an item; a longer item is asked in pieces that overlap by a window less one word.
+PIECE = 1 << 17
 
 
 class Segment:
@@ -171,6 +173,32 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), add, lambda done: done["n"])
 
 
+def _pieces(items: DataFrame) -> DataFrame:
+    """(item_id, text): long items cut between words, so that each of their windows stands whole in exactly one piece."""
+    most = PIECE
+
+    def cut(batches):
+        for batch in batches:
+            ids, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                if len(raw) <= most:
+                    ids.append(item)
+                    texts.append(raw)
+                    continue
+                data = np.frombuffer(raw, dtype=np.uint8)
+                w = textops.words(data, np.array([0, len(data)]), textops.ALNUM, True)
+                begin, n = 0, len(w.start)
+                while begin == 0 and n or begin + WINDOW <= n:
+                    end = min(n, max(begin + WINDOW, int(np.searchsorted(w.end, w.start[begin] + most, side="right"))))
+                    ids.append(item)
+                    texts.append(raw[w.start[begin] : w.end[end - 1]])
+                    begin = end - WINDOW + 1 if end < n else n
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["item_id", "text"])
+
+    return items.mapInArrow(cut, "item_id string, text string")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) for each row of docs: which benchmark windows stand where in its text.
 
@@ -182,13 +210,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0) ->
     A null or empty text has no words and no hit, and so has an item; a null item_id is left out; repeated rows are
     answered one by one, and so are repeated items; an empty table on either side gives no hits; further columns are
     ignored. The benchmark is asked in turns of about ITEMS_AT_ONCE bytes over the same index, and the driver holds one
-    turn at a time.
+    turn at a time; an item of any length is asked in pieces, so no turn outgrows MOST_BYTES.
     """
     scratch = Scratch(docs.sparkSession, "index")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     turns = -(-total // ITEMS_AT_ONCE) or 1
     index = scratch.keep(build_index(docs))
+    items = _pieces(items)
     answers = []
     for k in range(turns):
         table = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == k).toArrow()
