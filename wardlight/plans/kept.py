@@ -12,7 +12,9 @@ from ..sources.versions import Versioned
 from ..storage import Scratch
 from .desk import _CORR, _SIGHT, ms, query
 
-_NUMBER = F.col("uid").cast("long")
+
+def _number():
+    return F.col("uid").cast("long")
 
 
 def _ledger(spark: SparkSession, sf: str, refresh=lambda ledger, root: None) -> tuple[Ledgers, Versioned, str]:
@@ -20,10 +22,10 @@ def _ledger(spark: SparkSession, sf: str, refresh=lambda ledger, root: None) ->
     d = ledgers(spark, sf)
     root = Scratch(spark, "kept").root
     ledger = Versioned(spark, f"{root}/ledger")
-    last = d.investigations.agg(F.max(_NUMBER)).first()[0] or 0
+    last = d.investigations.agg(F.max(_number())).first()[0] or 0
     third = last // 3 + 1
     for k in range(3):
-        ledger.append_once(d.investigations.where(_NUMBER.between(k * third - third // 10, (k + 1) * third - 1)))
+        ledger.append_once(d.investigations.where(_number().between(k * third - third // 10, (k + 1) * third - 1)))
         refresh(ledger, root)
     return d, ledger, root
 
@@ -35,7 +37,7 @@ def view_latest(spark: SparkSession, sf: str) -> DataFrame:
     _, ledger, root = _ledger(spark, sf, lambda ledger, root: made(ledger, root).refresh())
     view = made(ledger, root)
     view.compact()
-    return view.read().select("alert_id", _NUMBER.alias("seq"), "verdict")
+    return view.read().select("alert_id", _number().alias("seq"), "verdict")
 
 
 def _index(spark, sf) -> tuple[Ledgers, PostingIndex]:
@@ -56,7 +58,7 @@ def index_prior_sightings(spark, sf):
 def index_correlate(spark, sf):
     """Correlation out of the index of postings."""
     d, index = _index(spark, sf)
-    return index.correlate(d.probes, memory.CORRELATION_HOURS).select("probe_id", "alert_id", _NUMBER.alias("seq"), F.array_join("signals", ",").alias("signals"))
+    return index.correlate(d.probes, memory.CORRELATION_HOURS).select("probe_id", "alert_id", _number().alias("seq"), F.array_join("signals", ",").alias("signals"))
 
 
 @query("SELECT seq, CASE WHEN verdict = 'false_positive' AND investigated_at < TIMESTAMP '2024-01-10 00:00:00' THEN 'archive' ELSE 'live' END AS place FROM inv")
@@ -66,5 +68,5 @@ def versioned_rotation(spark, sf):
     archive = Versioned(spark, f"{root}/archive")
     ledger.rotate(archive, (F.col("verdict") == "false_positive") & (F.col("investigated_at") < F.lit("2024-01-10 00:00:00").cast("timestamp")))
     tables = [(t, name) for t, name in ((ledger, "live"), (archive, "archive")) if t.snapshot()["parts"]]
-    rows = [t.read().select(_NUMBER.alias("seq"), F.lit(name).alias("place")) for t, name in tables]
+    rows = [t.read().select(_number().alias("seq"), F.lit(name).alias("place")) for t, name in tables]
     return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
