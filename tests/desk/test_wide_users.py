@@ -32,3 +32,8 @@ USERS = (0, 255, 65535, 65536, 65537, 65538, 65791, 65792, 89999, 1048575, 10485
 def test_owners_of_users_beyond_two_octets(spark, tmp_path):
     sf = tables(spark, tmp_path, [(i, u, (i * 37) % 100) for i, u in enumerate(USERS * 3)])
     assert same(spark, "network_owners", sf) == 2 * 3 * len(USERS)
+
+
+def test_actions_on_users_beyond_two_octets(spark, tmp_path):
+    sf = tables(spark, tmp_path, [(15 * i + n, u, 75 + (i + n) % 25) for i, u in enumerate(USERS) for n in (0, 10)])
+    assert same(spark, "reputation_actions", sf) >= len(USERS)
