@@ -37,3 +37,12 @@ def test_owners_of_users_beyond_two_octets(spark, tmp_path):
 def test_actions_on_users_beyond_two_octets(spark, tmp_path):
     sf = tables(spark, tmp_path, [(15 * i + n, u, 75 + (i + n) % 25) for i, u in enumerate(USERS) for n in (0, 10)])
     assert same(spark, "reputation_actions", sf) >= len(USERS)
+
+
+def test_arriving_alerts_in_many_files_are_all_decided(spark, tmp_path):
+    sf = tables(spark, tmp_path, [(21 * e, e // 20 % 3, 20 * (e // 5 % 2)) for e in range(600)])
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        assert same(spark, "suppress_stream", sf) == 30
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")

@@ -56,20 +56,23 @@ SELECT p.probe_id, a.anchor_id, CASE WHEN a.seq IS NULL THEN 0 ELSE (SELECT coun
     WHEN a.escalation_recommended THEN 'escalated' WHEN a_flags > 0 THEN 'injection' WHEN a.blind THEN 'blind: ip_reputation' WHEN x.hv IS NOT NULL THEN 'confirmed' ELSE 'clean' END AS reason
 FROM pr p LEFT JOIN anc a ON a.seq = p.seq LEFT JOIN bad b ON b.seq = p.seq LEFT JOIN hv x ON x.seq = p.seq AND x.alert_id = a.anchor_id""")
 def suppress_stream(spark, sf):
-    """Every twentieth alert as it comes again under a new id, decided in flight on what stands before it."""
+    """Every twentieth alert as it comes again under a new id, decided in flight on what stands before it.
+
+    All files are one batch, however many: their order isn't that of time, and what a batch brings behind the watermark would be dropped.
+    """
     root = Scratch(spark, "suppress").root
     d = ledgers(spark, sf)
     later = lambda df: df.withColumn("written_at", F.col("written_at") + F.expr("INTERVAL 1 DAY"))  # noqa: E731  the watermark begins at 1970, as these stamps do
     again = later(d.probes).withColumn("alert_id", F.concat(F.lit("P"), F.col("uid").cast("long").cast("string")))
-    ledger = later(d.investigations)
+    ledger = state.concerned(again, later(d.investigations))
     events = state.suppression_events(again, ledger, state.fingerprinted_rulings(later(d.dispositions), ledger))
     events.write.parquet(f"{root}/events/part=0")
-    last = events.agg(F.max("time")).first()[0]
+    last = spark.read.schema(events.schema).parquet(f"{root}/events/part=0").agg(F.max("time")).first()[0]
     beat = [("", last + timedelta(days=1), 0, "", state.RULING, "")] if last else []  # moves the time on
     beat = spark.createDataFrame(beat, "fingerprint string, time timestamp, t long, uid string, kind int, alert_id string")
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in beat.columns]
     beat.select("*", *none).select(*events.columns).write.parquet(f"{root}/events/part=1")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/events")
     out = state.suppress_in_flight(stream, lag=timedelta(seconds=1), hours=240, record=False)
     out.writeStream.format("parquet").option("checkpointLocation", f"{root}/check").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out").select("probe_id", "anchor_id", "suppressions", "reason")

@@ -69,6 +69,11 @@ def fingerprinted_rulings(rulings: DataFrame, ledger: DataFrame) -> DataFrame:
     return rulings.select("written_at", "uid", "alert_id", "human_verdict").join(of, "alert_id")
 
 
+def concerned(probes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The records that can count in a decision on these alerts: those of their fingerprints, of whatever alert."""
+    return ledger.join(probes.select("fingerprint").distinct(), "fingerprint", "left_semi")
+
+
 def _gate(ruling: str | None, anchor: dict) -> tuple[bool, str]:
     """The tests of dedup.reuse_gate, in their order."""
     if ruling and ruling != "false_positive":
@@ -111,6 +116,7 @@ class Suppression(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Each state is read once a call, since every access goes to the JVM and back."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = list(self.waiting.get()) if self.waiting.exists() else []
         due = sorted((dict(zip(_FIELDS, r, strict=True)) for r in waiting if r[0] <= passed), key=lambda e: (e["t"], e["uid"], e["kind"]))
@@ -121,68 +127,72 @@ class Suppression(StatefulProcessor):
                 self.handle.registerTimer(-(-min(r[0] for r in left) // 1000))
             else:
                 self.waiting.clear()
-        out = self._work(key[0], due) if due else []
-        self._forget(passed)
-        return iter(out)
-
-    def _work(self, fingerprint: str, due: list[dict]) -> list[Row]:
         real = [dict(zip(_FIELDS, v, strict=True)) for _, v in self.real.iterator()]
         copies = [r[0] for r in self.copies.get()] if self.copies.exists() else []
+        worked = {k[0]: v[0] for k, v in self.worked.iterator()}
+        out = self._work(key[0], due, real, copies, worked) if due else []
+        self._forget(passed, real, copies, worked)
+        return iter(out)
+
+    def _work(self, fingerprint: str, due: list[dict], real: list[dict], copies: list[int], worked: dict[str, int]) -> list[Row]:
+        """The decisions; what is new is put into the state and into the three collections."""
+        asked = any(e["kind"] == PROBE for e in due)
+        ruled = {k[0]: v[0] for k, v in self.ruled.iterator()} if asked else {}
         out, reused = [], []
         for e in due:
             if e["kind"] == RULING:
                 self.ruled.updateValue((e["alert_id"],), (e["human"],))
+                ruled[e["alert_id"]] = e["human"]
             elif e["kind"] == RECORD and e["copy"]:
                 if e["at"] is not None:
                     reused.append(e["at"])
             elif e["kind"] == RECORD:
                 self.worked.updateValue((e["alert_id"],), (e["t"],))
+                worked[e["alert_id"]] = e["t"]
                 if e["at"] is not None and e["mine"]:
                     real.append(e)
                     self.real.updateValue((e["uid"],), tuple(e[c] for c in _FIELDS))
             else:
-                anchor, n, yes, why = self._decide(e, real, copies + reused)
+                anchor, n, yes, why = self._decide(e, real, copies + reused, worked, ruled)
                 if yes and self.record:
                     reused.append(e["at"])
                 out.append(Row(fingerprint=fingerprint, probe_id=e["alert_id"], uid=e["uid"], anchor_id=anchor["alert_id"] if anchor else None, suppressions=n, suppressed=yes, reason=why))
         if reused:
             self.copies.appendList([(at,) for at in reused])
-        ends = [e["at"] for e in real] + copies + reused
+            copies.extend(reused)
+        ends = [e["at"] for e in real] + copies
         if ends:
             self.handle.registerTimer((max(ends) + self.window + self.slack) // 1000 + 1)
         return out
 
-    def _decide(self, probe: dict, real: list[dict], copies: list[int]):
+    def _decide(self, probe: dict, real: list[dict], copies: list[int], worked: dict[str, int], ruled: dict[str, str]):
         now = probe["at"]
         fit = [e for e in real if now - self.window <= e["at"] <= now and e["alert_id"] != probe["alert_id"]]
         anchor = max(fit, key=lambda e: (e["t"], e["uid"]), default=None)
         n = sum(anchor["at"] <= at <= now for at in copies) if anchor else 0
         if (probe["injected"] or 0) > 0:
             return anchor, n, False, "injected"
-        if self.worked.containsKey((probe["alert_id"],)):
+        if probe["alert_id"] in worked:
             return anchor, n, False, "already investigated"
         if anchor is None:
             return None, 0, False, "no anchor"
         if n >= self.cap:
             return anchor, n, False, "cap"
-        ruled = {k[0]: v[0] for k, v in self.ruled.iterator()}
         if any(v and v != "false_positive" for v in ruled.values()):
             return anchor, n, False, "overturned"
         return anchor, n, *_gate(ruled.get(anchor["alert_id"]), anchor)
 
-    def _forget(self, passed: int) -> None:
+    def _forget(self, passed: int, real: list[dict], copies: list[int], worked: dict[str, int]) -> None:
         end = passed - self.window - self.slack
-        for uid in [k for k, v in self.real.iterator() if v[4] < end]:
-            self.real.removeKey(uid)
-        copies = [tuple(r) for r in self.copies.get()] if self.copies.exists() else []
-        kept = [r for r in copies if r[0] >= end]
+        for uid in {e["uid"] for e in real if e["at"] < end}:
+            self.real.removeKey((uid,))
+        kept = [(at,) for at in copies if at >= end]
         if len(kept) < len(copies):
             self.copies.put(kept) if kept else self.copies.clear()
-        worked = [(k, v[0]) for k, v in self.worked.iterator()]
-        for alert_id in [k for k, t in worked if t < passed - self.remember]:
-            self.worked.removeKey(alert_id)
-        later = [t for _, t in worked if t >= passed - self.remember]
-        if later and not kept and not any(True for _ in self.real.iterator()):  # the last thing to end
+        for alert_id in [k for k, t in worked.items() if t < passed - self.remember]:
+            self.worked.removeKey((alert_id,))
+        later = [t for t in worked.values() if t >= passed - self.remember]
+        if later and not kept and not any(e["at"] >= end for e in real):  # the last thing to end
             self.handle.registerTimer((max(later) + self.remember) // 1000 + 1)
 
     def close(self) -> None:
