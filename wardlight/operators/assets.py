@@ -69,14 +69,33 @@ def group_hits(alerts: DataFrame, technique_groups: DataFrame) -> DataFrame:
     return tried.join(technique_groups, "tcode").select("alert_id", "code", "group")
 
 
+def technique_sets(alerts: DataFrame) -> DataFrame:
+    """(alert_id, codes): the distinct technique codes of each alert in order, as one text. Alerts without a code don't appear.
+
+    Alerts of one rule have the same codes, and the groups that know them are the same; so these are sought once a set.
+    """
+    found = alerts.select("alert_id", technique_codes(F.col("attack_techniques")).alias("c")).where(F.size("c") > 0)
+    every = found.groupBy("alert_id").agg(F.array_distinct(F.flatten(F.collect_set("c"))).alias("c"))
+    return every.select("alert_id", F.array_join(F.array_sort("c"), ",").alias("codes"))
+
+
+def set_hits(sets: DataFrame, technique_groups: DataFrame) -> DataFrame:
+    """group_hits of each different set, under its codes in place of alert_id."""
+    one = sets.select("codes").distinct().select(F.col("codes").alias("alert_id"), F.split("codes", ",").alias("attack_techniques"))
+    return group_hits(one, technique_groups)
+
+
 def rank_groups(alerts: DataFrame, technique_groups: DataFrame, aliases: DataFrame | None = None, top: int = 5) -> DataFrame:
     """(alert_id, group, overlap, techniques, rank): groups known for an alert's techniques or their parents, by how many, then by name.
 
-    alerts: alert_id, attack_techniques; technique_groups: tcode, group; aliases: group, aliases.
+    alerts: alert_id, attack_techniques; technique_groups: tcode, group; aliases: group, aliases. The groups are ranked once for
+    each different set of codes, and the alerts take the rows of theirs.
     """
-    hits = group_hits(alerts, technique_groups).groupBy("alert_id", "group").agg(F.countDistinct("code").alias("overlap"), F.array_sort(F.collect_set("code")).alias("techniques"))
+    sets = technique_sets(alerts)
+    hits = set_hits(sets, technique_groups).groupBy("alert_id", "group").agg(F.countDistinct("code").alias("overlap"), F.array_sort(F.collect_set("code")).alias("techniques"))
     order = Window.partitionBy("alert_id").orderBy(F.desc("overlap"), "group")
-    out = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumnRenamed("alert_id", "codes")
+    out = sets.join(best, "codes").drop("codes")
     if aliases is not None:
         out = out.join(aliases.select("group", F.slice("aliases", 1, 4).alias("aliases")), "group", "left")
     return out
