@@ -128,3 +128,13 @@ def test_edges_of_passages(spark):
     assert out.columns == df.columns and out.where("spans = 7 and cut = 'k' and h = 1 and c0 = 2").count() == len(rows)
     left = sorted((r["doc_id"] or 0, len((r["text"] or "").split())) for r in out.collect())
     assert (1, 50) in left and (0, 50) in left and [n for d, n in left if d == 2][0] < 25 and [n for d, n in left if d == 8][0] < 30_040
+
+
+def test_every_document_has_a_row(spark, tmp_path):
+    from wardlight.llm import queries
+
+    shared = " ".join(f"word{i}" for i in range(60))
+    spark.createDataFrame([(1, shared), (2, shared + " end"), (3, "alone"), (4, None), (5, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert all(got[i]["n_passages"] > 0 for i in (1, 2)) and all(sum(got[i][c] for c in got[i].asDict() if c != "doc_id") == 0 for i in (3, 4, 5))

@@ -27,8 +27,9 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document that shares a passage with another; other documents don't appear."""
-    return substring_dedup.by_document(substring_dedup.repeated_passages(table(spark, sf_dir, "documents")))
+    """A row for each document; one that shares no passage with another has zeros."""
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.every_document(docs, substring_dedup.by_document(substring_dedup.repeated_passages(docs)))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

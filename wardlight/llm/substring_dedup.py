@@ -207,6 +207,13 @@ def by_document(passages: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.countDistinct("cluster").alias("n_clusters"), F.sum("all").cast("long").alias("n_repeated_words"), F.sum("gone").cast("long").alias("n_removed_words"))
 
 
+def every_document(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The columns of by_document for each doc_id of docs, zeros where it has no row; ids that repeat are one document, and rows without doc_id have none."""
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    numbers = [c for c in counts.columns if c != "doc_id"]
+    return ids.join(counts, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers))
+
+
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs with the words of removed passages cut from text; white space before a cut word goes with it.
 
