@@ -143,3 +143,15 @@ def test_a_question_opens_few_files_and_many_are_joined(spark, tmp_path, monkeyp
     ledger.append_once(rows.where("id < 60") if "id" in rows.columns else rows.limit(60).withColumn("uid", F.concat(F.lit("9"), "uid")))
     new = size(f"{tmp_path}/ledger/parts") - whole
     assert index.refresh()["parts"] == 1 and new < 0.25 * whole  # an append reads its own part only
+
+
+def test_rows_in_reach_of_older_parts_are_written_once(spark, tmp_path, monkeypatch):
+    table = Versioned(spark, f"{tmp_path}/t")
+    rows = lambda a, b: spark.range(a, b).select(F.format_string("%05d", "id").alias("uid"), F.col("id").alias("n"))
+    assert table.append_once(rows(0, 100)) == 100
+    staged, stage = [], table.stage
+    monkeypatch.setattr(table, "stage", lambda df, *a, **k: staged.append(part := stage(df, *a, **k)) or part)
+    assert table.append_once(rows(90, 200)) == 100 and [p["rows"] for p in staged] == [100]
+    assert table.append_once(rows(150, 260).unionByName(rows(250, 260))) == 60
+    assert table.append_once(rows(0, 260)) == 0
+    assert sorted(r["n"] for r in table.read().collect()) == list(range(260))

@@ -11,6 +11,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .ledger import hadoop_path
 
@@ -109,13 +110,30 @@ class Versioned:
         """Appends the rows whose key isn't there yet, each key once; how many. A second run appends none.
 
         Only parts whose range of keys meets that of the new rows are read, and after a lost race only those that have
-        come since. Rows without key are left out.
+        come since. Rows without key are left out. Keys that repeat are looked for among the staged keys, and rows are dealt by key only
+        if there are any.
         """
-        part = self.stage(new.where(F.col(key).isNotNull()).dropDuplicates([key]), key)
-        checked: set[str] = set()
+        fresh = new.where(F.col(key).isNotNull())
+        ends = fresh.agg(F.min(key).cast("string").alias("lo"), F.max(key).cast("string").alias("hi")).first()
+        if ends["lo"] is None:
+            return 0
+        base = self.snapshot()
+        checked = {p["name"] for p in base["parts"]}
+        near = self._near(base["parts"], ends)
+        if near:  # so that the rows are written once, and only those in reach of older parts are shuffled
+            inside = F.lit(True)
+            if isinstance(new.schema[key].dataType, StringType):
+                inside = F.col(key).between(min(p["lo"] for p in near), max(p["hi"] for p in near))
+            joined = fresh.where(inside).join(self.read(near).select(key), key, "left_anti").select(*new.columns)
+            fresh = fresh.where(~inside).unionByName(joined)
+        part = self.stage(fresh, key)
+        if part is not None and not self.read([part]).groupBy(key).count().where("count > 1").isEmpty():
+            once = self.stage(self.read([part]).dropDuplicates([key]), key)
+            self.discard(part["name"])
+            part = once
         while part is not None:
             base = self.snapshot()
-            near = [p for p in base["parts"] if p["name"] not in checked and p["lo"] is not None and p["lo"] <= part["hi"] and p["hi"] >= part["lo"]]
+            near = self._near([p for p in base["parts"] if p["name"] not in checked], part)
             checked |= {p["name"] for p in base["parts"]}
             if near:
                 rows = self.read([part])
@@ -130,6 +148,10 @@ class Versioned:
                 continue
         return 0
 
+    def _near(self, parts: list[dict], ends) -> list[dict]:
+        """The parts whose range of keys meets this one."""
+        return [p for p in parts if p["lo"] is not None and p["lo"] <= ends["hi"] and p["hi"] >= ends["lo"]]
+
     def rewrite(self, make: Callable[[DataFrame], DataFrame], key: str = "uid") -> dict:
         """Replaces all rows by ``make`` of them in one version, as a rotation or a compaction does; again from the start if others were faster."""
         while True:
