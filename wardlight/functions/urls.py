@@ -41,12 +41,13 @@ def staged(given: dict[str, Column], *steps) -> Column:
 
 
 def authority(url: Column) -> Column:
-    return let(F.when(F.instr(url, "://") > 0, F.regexp_replace(url, r"^.*?://", "")).otherwise(url), lambda rest: F.regexp_extract(rest, r"^([^/?#\\]*)", 1))
+    return F.regexp_extract(url, r"^(?:.*?://)?+([^/?#\\]*)", 1)
 
 
 def host_in(authority: Column) -> Column:
     """The host of an authority: without user, port and brackets, in lower case."""
-    return let(F.regexp_replace(authority, r"^.*@", ""), lambda bare: F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[*([^\]]*)", 1)).otherwise(F.substring_index(bare, ":", 1))))
+    behind_user = F.when(F.contains(authority, F.lit("@")), F.regexp_replace(authority, r"^.*@", "")).otherwise(authority)
+    return let(behind_user, lambda bare: F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[*([^\]]*)", 1)).otherwise(F.substring_index(bare, ":", 1))))
 
 
 def host(url: Column) -> Column:
@@ -57,19 +58,35 @@ def has_userinfo(url: Column) -> Column:
     return F.contains(authority(url), F.lit("@"))
 
 
+def _bare(domain: Column) -> Column:
+    name = F.lower(F.trim(F.coalesce(domain, F.lit(""))))
+    return F.when(F.contains(F.substring(name, -3, 3), F.lit(".")), F.regexp_replace(name, r"\.+$", "")).otherwise(name)
+
+
+def _single_dots(bare: Column) -> Column:
+    return F.when(F.startswith(bare, F.lit(".")) | F.contains(bare, F.lit("..")), F.regexp_replace(bare, r"^\.+|(?<=\.)\.+", "")).otherwise(bare)
+
+
+def _cut(bare: Column, dotted: Column) -> Column:
+    """The last labels of a domain; dotted has no empty label."""
+    tail = lambda k: F.substring_index(dotted, ".", -k)
+    last, second = tail(1), F.substring_index(tail(2), ".", 1)
+    deep = tail(2).isin(*SUFFIXES) | ((F.length(last) == 2) & last.rlike("^[a-z]{2}$") & second.isin(*GENERIC))
+    return F.when(~F.contains(dotted, F.lit(".")), bare).when(deep, tail(3)).otherwise(tail(2))
+
+
 def org_domain(domain: Column) -> Column:
-    """The registrable domain: two labels, or three under a two-label public suffix."""
+    """The registrable domain: two labels, or three under a two-label public suffix.
+
+    An expression without lambdas, so Spark compiles it, finds its repeated parts and folds it over constants. Inside of a
+    lambda nothing is compiled and repeated parts are computed again; org_within is for there.
+    """
+    return _cut(_bare(domain), _single_dots(_bare(domain)))
 
-    def cut(x: Column) -> Column:
-        d, labels = x["d"], x["labels"]
-        n = F.size(labels)
-        tail = lambda k: F.array_join(F.slice(labels, -k, k), ".")
-        last, second = F.try_element_at(labels, F.lit(-1)), F.try_element_at(labels, F.lit(-2))
-        deep = (n >= 3) & (tail(2).isin(*SUFFIXES) | ((F.length(last) == 2) & last.rlike("^[a-z]{2}$") & second.isin(*GENERIC)))
-        return F.when((d == "") | ~F.contains(d, F.lit(".")) | (n < 2), d).when(deep, tail(3)).otherwise(tail(2))
 
-    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(domain, F.lit("")))), r"\.+$", "")
-    return let(let(bare, lambda d: F.struct(d.alias("d"), F.filter(F.split(d, r"\."), lambda x: x != "").alias("labels"))), cut)
+def org_within(domain: Column) -> Column:
+    """org_domain for the body of a lambda."""
+    return let(_bare(domain), lambda bare: let(_single_dots(bare), lambda dotted: _cut(bare, dotted)))
 
 
 def aligned(a: Column, b: Column) -> Column:
@@ -93,8 +110,17 @@ def brand_in(text: Column, brand: str) -> Column:
     return text.rlike(rf"(?<![a-z0-9])\Q{brand}\E" + ("(?![a-z0-9])" if len(brand) <= 4 else ""))
 
 
+def after_authority(url: Column) -> Column:
+    """Path, query and fragment, in lower case."""
+    return F.lower(F.regexp_replace(url, r"^.*?://[^/?#\\]*", ""))
+
+
+def is_credential_path(rest: Column) -> Column:
+    return reduce(lambda a, p: a | F.contains(rest, F.lit(p)), CREDENTIAL_PATHS, F.lit(False))
+
+
 def credential_path(url: Column) -> Column:
-    return let(F.lower(F.regexp_replace(url, r"^.*?://[^/?#\\]*", "")), lambda rest: reduce(lambda a, p: a | F.contains(rest, F.lit(p)), CREDENTIAL_PATHS, F.lit(False)))
+    return let(after_authority(url), is_credential_path)
 
 
 #: Scripts whose mixture in one word marks a homograph.
@@ -104,7 +130,8 @@ SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Hebrew")
 def mixed_script(text: Column) -> Column:
     """Whether a word of the text mixes letters of two of the scripts."""
     count = lambda w: sum((w.rlike(rf"\p{{Is{s}}}").cast("int") for s in SCRIPTS[1:]), w.rlike(r"\p{IsLatin}").cast("int"))
-    return F.exists(F.split(F.coalesce(text, F.lit("")), r"[\s@._\-<>()\"',]+"), lambda w: (F.length(w) > 1) & (count(w) > 1))
+    beyond_ascii = F.octet_length(text) > F.length(text)  # all scripts but Latin are, so other texts aren't split
+    return F.coalesce(beyond_ascii, F.lit(False)) & F.exists(F.split(F.coalesce(text, F.lit("")), r"[\s@._\-<>()\"',]+"), lambda w: (F.length(w) > 1) & (count(w) > 1))
 
 
 @F.pandas_udf(T.StringType())
